@@ -1,0 +1 @@
+"""millrace.streaming"""
