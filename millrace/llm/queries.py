@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, sentencepiece_bpe, toxicity
+from millrace.llm import exact_dedup, jaccard, sentencepiece_bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.decisions(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_decisions(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_toxicity": op10_toxicity,
