@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, jaccard, sentencepiece_bpe, toxicity
+from millrace.llm import exact_dedup, jaccard, mixing, sentencepiece_bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.decisions(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+OP1_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS block,
+         trim(regexp_replace(coalesce(text, ''), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')) AS t
+  FROM documents),
+n AS (SELECT doc_id, source, block, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS n_tokens FROM d),
+b AS (SELECT source, block, sum(n_tokens) AS tokens FROM n GROUP BY ALL),
+s AS (SELECT source, CAST(sum(tokens) AS DOUBLE) AS total FROM b GROUP BY ALL),
+a AS (SELECT source, total, total / sum(total) OVER () AS share FROM s),
+r(step, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN flat THEN (lo + hi) / 2 ELSE lo END, CASE WHEN flat THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT r.step, r.lo, r.hi,
+               (SELECT exp((1 - (r.lo + r.hi) / 2) * (max(ln(share)) - min(ln(share)))) > 2.0
+                    OR ln(sum(exp((r.lo + r.hi) / 2 * ln(share)))) - (r.lo + r.hi) / 2 * sum(ln(share) * exp((r.lo + r.hi) / 2 * ln(share))) / sum(exp((r.lo + r.hi) / 2 * ln(share)))
+                       > 0.97 * ln(count(*)) FROM a WHERE total > 0) AS flat
+        FROM r WHERE r.step < 50)),
+e AS (SELECT round(max(hi), 9) AS x FROM r WHERE step = 50),
+z AS (SELECT e.x, sum(exp(e.x * ln(a.share))) AS z, max(ln(a.share)) AS top, sum(a.total) AS whole FROM a, e WHERE a.total > 0 GROUP BY e.x),
+w AS (SELECT a.source, a.total, exp(z.x * ln(a.share)) / z.z AS weight,
+             round(exp(z.x * ln(a.share)) / z.z * z.whole * z.z * exp((1 - z.x) * z.top) / a.total, 9) AS repeats FROM a, z),
+p AS (SELECT b.source, b.block, b.tokens, w.total, w.weight, w.repeats, unnest(range(1, CAST(ceil(w.repeats) AS BIGINT) + 1)) AS pass
+      FROM b JOIN w ON b.source IS NOT DISTINCT FROM w.source),
+q AS (SELECT *, (pass - 1) * total + sum(tokens) OVER (PARTITION BY source, pass ORDER BY md5(concat_ws('|', 'mix-1', CAST(pass AS VARCHAR), source, block)), block ROWS UNBOUNDED PRECEDING) - tokens AS used FROM p),
+k AS (SELECT * FROM q WHERE pass <= floor(repeats) OR used < repeats * total)
+SELECT n.doc_id, n.source, CAST(n.n_tokens AS BIGINT) AS n_tokens, CAST(k.pass AS INTEGER) AS pass, k.block, round(k.weight, 9) AS weight, round(k.used / (k.repeats * k.total), 9) AS position
+FROM n JOIN k ON n.block = k.block AND n.source IS NOT DISTINCT FROM k.source
+"""
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -38,6 +72,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
@@ -45,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
