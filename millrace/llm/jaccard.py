@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm.leaf_pairs import tally
 from millrace.llm.polyhash import mix
 from millrace.llm.scratch import small, write
 from millrace.llm.shingles import WORDS, shingle_sets
@@ -144,26 +145,7 @@ class _Leaf:
         p, q = np.nonzero(linked)
         if not len(p):
             return
-        root = np.arange(m)
-        while True:  # the smallest of each connected part
-            before = root.copy()
-            np.minimum.at(root, p, root[q])
-            np.minimum.at(root, q, root[p])
-            root = root[root]
-            if (root == before).all():
-                break
-        # Pairs that meet in an earlier leaf have been counted there.
-        longest = max(map(len, leaves))
-        lists = np.array([[*x, *[-1] * (longest - len(x))] for x in leaves], np.int64)
-        earlier = np.array([[*(v < leaf for v in x), *[False] * (longest - len(x))] for x in leaves], bool)
-        counts = np.zeros(m, np.int64)
-        weights = np.array(sizes, np.int64)
-        for start in range(0, len(p), 100_000):
-            i, j = p[start : start + 100_000], q[start : start + 100_000]
-            again = ((lists[i][:, :, None] == lists[j][:, None, :]) & earlier[i][:, :, None] & earlier[j][:, None, :]).any(axis=(1, 2))
-            i, j = i[~again], j[~again]
-            np.add.at(counts, i, weights[j])
-            np.add.at(counts, j, weights[i])
+        counts, root = tally(leaf, leaves, np.array(sizes, np.int64), p, q)
         touched = np.zeros(m, bool)
         touched[p] = touched[q] = True
         for k in np.flatnonzero(touched):

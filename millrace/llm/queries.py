@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, jaccard, mixing, sentencepiece_bpe, suffix_dedup, toxicity
+from millrace.llm import chat_format, exact_dedup, jaccard, licenses, line_dedup, mixing, rp_forest, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(rows.unionByName(extra))
+
+
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.decisions(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.decisions(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +50,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,6 +88,45 @@ SELECT n.doc_id, n.source, CAST(n.n_tokens AS BIGINT) AS n_tokens, CAST(k.pass A
 FROM n JOIN k ON n.block = k.block AND n.source IS NOT DISTINCT FROM k.source
 """
 
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, r, t)) AS loss_sha256,
+       CAST(sum(15 + 2 * length(t) - length(regexp_replace(t, '[\\#<]', '', 'g')) + 2 * length(r) - length(regexp_replace(r, '[\\#<:]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    """The sentence table and the chain of rules as SQL."""
+    known = ", ".join(f"('{s}', '<{name}>')" for name, sentences in licenses.SENTENCES.items() for s in sentences)
+    steps, times, names = [], [], {}
+    for i, (name, sequence) in enumerate(licenses.RULES):
+        pattern = "".join(f"<{x}>" for x in sequence)
+        steps.append(f"replace(r{i}, '{pattern}', '#') AS r{i + 1}")
+        times.append(f"(length(r{i}) - length(r{i + 1})) // {len(pattern) - 1} AS t{i}")
+        names.setdefault(name, []).append(i)
+    each = ", ".join(f"max(t{i}) AS t{i}" for i in range(len(times)))
+    found = ", ".join(f"CASE WHEN {' + '.join(f't{i}' for i in which)} > 0 THEN '{name}' END" for name, which in names.items())
+    return f"""
+WITH k(s, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+c AS (SELECT row, 'a' AS cut, regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\f\\r\\x0B]*\\n|[.!?;:]+[ \\t\\f\\r\\x0B]|\\n', '|', 'g') AS x FROM d
+      UNION ALL SELECT row, 'b', regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\n\\f\\r\\x0B]|\\n[ \\t\\n\\f\\r\\x0B]*\\n', '|', 'g') FROM d),
+w AS (SELECT row, cut, string_split(regexp_replace(x, '[^a-z0-9|]+', ' ', 'g'), '|') AS parts FROM c),
+u AS (SELECT row, cut, unnest(parts) AS s, unnest(range(1, len(parts) + 1)) AS at FROM w),
+i AS (SELECT u.row, u.cut, string_agg(k.id, '' ORDER BY u.at) AS r0 FROM u JOIN k ON trim(u.s) = k.s GROUP BY u.row, u.cut),
+m AS (SELECT row, {", ".join(steps)}, {", ".join(times)} FROM i),
+g AS (SELECT row, {each} FROM m GROUP BY row)
+SELECT d.doc_id, CAST(coalesce({" + ".join(f"t{i}" for i in range(len(times)))}, 0) AS BIGINT) AS n_matches, concat_ws(',', {found}) AS licenses
+FROM d LEFT JOIN g ON d.row = g.row
+"""
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -77,14 +135,20 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_chat_format": op2_chat_format,
+    "op3_rp_forest": op3_rp_forest,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
+    "op5_license_scan": _license_sql(),
     "op7_exact_dedup": OP7_SQL,
 }
