@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.polyhash import byte_view, chunks
+
 #: The mark that stands for a space.
 MARK = "▁"
 #: Segments that a worker remembers.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 150_000
 #: Segments up to this many characters are merged in arrays.
 SHORT = 24
 #: Before these a text is cut after a letter, if no piece has the two together.
@@ -240,7 +242,9 @@ def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = encode_batch(batch.column(1).to_pylist(), model)
+            rows, texts = [], batch.column(1)
+            for first, last in chunks(byte_view(texts)[1], CHUNK_CHARS):
+                rows += encode_batch(texts.slice(first, last - first).to_pylist(), model)
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())],

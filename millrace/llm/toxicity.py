@@ -15,6 +15,7 @@ documents whole. Label, language, source and id are never inputs of a score.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,8 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.polyhash import byte_view, chunks
+
 #: Rows of either class that training reads at most.
-ROWS_PER_CLASS = 4000
+ROWS_PER_CLASS = 2500
+#: Bytes of text whose words are held at once.
+PART_BYTES = 4 << 20
 BUCKETS = 1 << 32
 #: A term is kept if it stands in so many sampled texts and its counts are so many deviations apart.
 LEAST_TEXTS, LEAST_Z = 3, 2.5
@@ -71,6 +76,8 @@ def terms(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray,
     Terms are hashes; with kept (hashes in order) only those, as places in kept.
     """
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     lists = pc.split_pattern_regex(texts, r"[^\pL\pM\pN]+")
     offsets = lists.offsets.to_numpy()
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -88,6 +95,13 @@ def terms(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray,
     return ids, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in stretches of about PART_BYTES, so that a batch of long texts needs no more memory than a short one."""
+    _, offsets = byte_view(texts)
+    for first, last in chunks(offsets, PART_BYTES):
+        yield texts.slice(first, last - first)
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows between starts, also of empty ranges."""
     total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
@@ -174,17 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def buckets(batches):
         for batch in batches:
-            ids, starts = terms(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["id", "toxic", "ids"])
+            start = 0
+            for part in _parts(batch.column(1)):
+                ids, starts = terms(part)
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((ids - (BUCKETS >> 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(2).slice(start, len(part)), lists], ["id", "toxic", "ids"])
+                start += len(part)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = texts.select("_mr_id", "_mr_text", F.col("_mr_toxic").cast("int")).mapInArrow(buckets, f"id {kind}, toxic int, ids array<bigint>").toArrow()
+    rows = texts.select("_mr_id", "_mr_text", F.col("_mr_toxic").cast("int")).mapInArrow(buckets, f"id {kind}, toxic int, ids array<int>").toArrow()
     rows = rows.sort_by([("id", "ascending")]).combine_chunks()
     lists = rows.column("ids").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy().astype(np.int64)[offsets[0] : offsets[-1]] if len(lists) else np.zeros(0, np.int64)
+    values = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64) + (BUCKETS >> 1) if len(lists) else np.zeros(0, np.int64)
     starts = offsets - offsets[0] if len(lists) else np.zeros(1, np.int64)
     return train(values, starts, (rows.column("toxic").to_numpy() > 0).astype(float))
 
@@ -196,10 +213,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        machine = Machine(*shared.value)
-        ids, starts = terms(texts, machine.hashes)
-        raw, _ = _forward(machine.bias, machine.values[ids], machine.weights[ids], machine.factors[ids], starts)
-        return pa.array(sigmoid(raw), pa.float64())
+        machine, out = Machine(*shared.value), []
+        for part in _parts(texts):
+            ids, starts = terms(part, machine.hashes)
+            raw, _ = _forward(machine.bias, machine.values[ids], machine.weights[ids], machine.factors[ids], starts)
+            out.append(sigmoid(raw))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return run(F.col(text))
 
