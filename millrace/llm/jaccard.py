@@ -9,8 +9,8 @@ or above the threshold are links. A leaf that is still large after the last leve
 all alike) is compared whole as well, in pairs of blocks of BLOCK sets, each pair of blocks a task of
 its own, so no bucket is capped and no candidate is dropped.
 
-A pair of similarity s meets in a run with probability s**depth or more. At s = 0.8 eight runs miss
-it with probability 3e-6 if leaves are of the first level and 0.003 at the third.
+A pair of similarity s meets in a run with probability s**depth or more. At s = 0.8 ten runs miss it
+with probability 1e-7 if leaves are of the first level, 4e-5 at the second and 8e-4 at the third.
 
 Equal sets are one class with a size; copies are never expanded into pairs. A pair that meets in
 several leaves counts in the first of them only, which both sets can tell from their lists of leaves,
@@ -34,7 +34,7 @@ from millrace.llm.scratch import small, write
 from millrace.llm.shingles import WORDS, shingle_sets
 
 THRESHOLD = 0.8
-RUNS, LEVELS = 8, 4
+RUNS, LEVELS = 10, 3
 #: Buckets of more sets are split by a further token.
 SPLIT = 256
 #: Leaves of more sets are compared in pairs of blocks of about so many.

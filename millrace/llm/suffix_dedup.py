@@ -165,24 +165,30 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for k, tie, text, novel in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = (text or "").encode()
+            starts: set[int] = set()
             for one in novel:
                 at = one["start"]
-                if not one["hot"]:
+                if one["hot"]:
+                    starts.update(range(max(0, at - LEFT), min(at, len(data) - LENGTH) + 1))
+                else:
                     rows.append((one["gram"], k, tie, at, min(at, LEFT), data[max(0, at - LEFT) : at + LENGTH]))
-                    continue
-                for start in range(max(0, at - LEFT), min(at, len(data) - LENGTH) + 1):
-                    window = data[start : start + LENGTH]
-                    group = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                    rows.append((group, k, tie, start, 0, window))
+            for start in starts:
+                window = data[start : start + LENGTH]
+                group = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                rows.append((group, k, tie, start, 0, window))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gram", "k", "tie", "at", "left", "bytes"])
 
 
 class Suffixes:
-    """Contexts in rows of SPAN bytes, grouped by gram and in document order within a group."""
+    """Contexts in rows of SPAN bytes, grouped by gram and in document order within a group.
 
-    def __init__(self, gram: np.ndarray, left: np.ndarray, contexts: pa.Array):
+    place: a number that rises with the place of the anchor; rows of equal documents share it.
+    """
+
+    def __init__(self, gram: np.ndarray, left: np.ndarray, contexts: pa.Array, place: np.ndarray | None = None):
+        self.place = np.arange(len(gram)) if place is None else place
         data, offsets = byte_view(contexts)
         n = len(gram)
         size = np.diff(offsets)
@@ -263,8 +269,9 @@ class Suffixes:
                 whole = np.array(sorted(whole, key=lambda r: (self.group[r], self.bytes[r, columns].tobytes())))
                 same = (self.group[whole[1:]] == self.group[whole[:-1]]) & (self.bytes[whole[1:], columns] == self.bytes[whole[:-1], columns]).all(axis=1)
             begins = np.flatnonzero(np.concatenate([[True], ~same]))
-            earliest = np.repeat(np.minimum.reduceat(whole, begins), np.diff(np.append(begins, len(whole))))
-            found[whole[whole > earliest], back] = True
+            place = self.place[whole]
+            earliest = np.repeat(np.minimum.reduceat(place, begins), np.diff(np.append(begins, len(whole))))
+            found[whole[place > earliest], back] = True
         return found
 
 
@@ -275,7 +282,9 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         table = table.combine_chunks()
         gram, k, tie, at, left = (table.column(i).to_numpy() for i in range(5))
         contexts = table.column(5).combine_chunks() if table.column(5).num_chunks != 1 else table.column(5).chunk(0)
-        found = np.pad(Suffixes(gram, left, contexts).repeats(), ((0, 0), (1, 1))).astype(np.int8)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (k[1:] != k[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] != at[:-1])
+        found = np.pad(Suffixes(gram, left, contexts, np.cumsum(new)).repeats(), ((0, 0), (1, 1))).astype(np.int8)
         change = np.diff(found, axis=1)
         row, first = np.nonzero(change == 1)  # from so many bytes before the anchor
         _, last = np.nonzero(change == -1)  # up to less than so many
@@ -334,14 +343,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     unique = plain.groupBy("k").count().where("count > 1").isEmpty()
     keyed = plain.select("k", (F.lit(0) if unique else F.xxhash64("text")).cast("long").alias("tie"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.mapInArrow(_find_anchors, "route long, context long, k long, tie long, start int, end int")
+    # Rows of one id and text are one document.
+    single = keyed if unique else keyed.dropDuplicates(["k", "tie"])
+    found = single.mapInArrow(_find_anchors, "route long, context long, k long, tie long, start int, end int")
     found = found.repartition(parts, "route").sortWithinPartitions("route", "context", "k", "tie", "start")
     split = write(found.mapInArrow(_split_contexts, "k long, tie long, start int, end int, gram long"), "contexts").df
     novel = split.where("end = 0")
     hot = write(novel.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
     novel = novel.join(small(hot), "gram", "left").select("k", "tie", F.struct("start", "gram", F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
     lists = novel.groupBy("k", "tie").agg(F.collect_list("one").alias("novel"))
-    fetched = keyed.join(lists, ["k", "tie"]).select("k", "tie", "text", "novel").mapInArrow(_fetch, "gram long, k long, tie long, at int, left int, bytes binary")
+    fetched = single.join(lists, ["k", "tie"]).select("k", "tie", "text", "novel").mapInArrow(_fetch, "gram long, k long, tie long, at int, left int, bytes binary")
     fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram", "k", "tie", "at")
     sorted_ = fetched.mapInArrow(_sort_suffixes, "k long, tie long, start int, end int")
     covers = split.where("end > 0").select("k", "tie", "start", "end").unionByName(sorted_)
