@@ -31,11 +31,11 @@ from millrace.llm.leaf_pairs import tally
 from millrace.llm.scratch import small, write
 
 THRESHOLD = 0.93
-TREES = 8
+TREES = 5
 LEAF, BLOCK = 512, 1024
 SAMPLE, DEPTH, ROUNDS = 4096, 8, 12
 #: Half the width of the spill zone, for unit vectors (a pair at the threshold is 0.37 apart; its projections differ by 0.05 in 64 dimensions).
-SPILL = 0.045
+SPILL = 0.035
 #: A node is dense if a side would hold more than this share of it.
 DENSE = 0.9
 
@@ -82,13 +82,14 @@ def _route(node: int, x: np.ndarray, rows: np.ndarray, splits: dict[int, float])
 
 
 def _grow(rows: DataFrame) -> DataFrame:
-    """From (rep, vec, node) of the roots to those of the leaves, with the number of vectors n in the leaf."""
+    """From (rep, vec, node) of the roots to (rep, node, n) of the leaves, n being the vectors in the leaf."""
     leaves = None
+    kind = rows.schema["vec"].dataType.simpleString()
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     for _ in range(ROUNDS):
         sized = write(counts, "nodes")
         large = small(write(sized.df.where(F.col("n") > LEAF), "large"))
-        settled = rows.join(small(sized), "node").where(F.col("n") <= LEAF).select("rep", "vec", "node", "n")
+        settled = rows.join(small(sized), "node").where(F.col("n") <= LEAF).select("rep", "node", "n")
         leaves = settled if leaves is None else leaves.unionByName(settled)
         if sized.df.where(F.col("n") > LEAF).isEmpty():
             return leaves
@@ -103,8 +104,8 @@ def _grow(rows: DataFrame) -> DataFrame:
 
         trees = write(sample.groupBy("node").applyInPandas(fit, "node long, splits binary"), "trees")
         # Dense nodes have no split: leaves as they are.
-        dense = rows.join(small(trees), "node").where("splits IS NULL").select("rep", "vec", "node").join(large, "node")
-        leaves = leaves.unionByName(dense.select("rep", "vec", "node", "n"))
+        dense = rows.join(small(trees), "node").where("splits IS NULL").select("rep", "node").join(large, "node")
+        leaves = leaves.unionByName(dense.select("rep", "node", "n"))
         going = rows.join(small(trees), "node").where("splits IS NOT NULL").select("node", "splits", "rep", "vec")
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +131,9 @@ def _grow(rows: DataFrame) -> DataFrame:
                 take = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(take), lists.take(take), pa.array(np.concatenate(names) if names else np.zeros(0, np.int64))], ["rep", "vec", "node"])
 
-        rows = write(going.mapInArrow(route, "rep long, vec array<double>, node long").distinct(), "rows").df
+        rows = write(going.mapInArrow(route, f"rep long, vec {kind}, node long"), "rows").df
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return leaves.unionByName(rows.join(counts, "node").select("rep", "vec", "node", "n"))
+    return leaves.unionByName(rows.join(counts, "node").select("rep", "node", "n"))
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
@@ -188,7 +189,9 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     an empty frame.
     """
     spark = table.sparkSession
-    vec = F.col(embedding).cast("array<double>")
+    # Single precision stays as it is while stored and sent; all arithmetic is in double precision.
+    single = table.schema[embedding].dataType.simpleString() == "array<float>"
+    vec = F.col(embedding).cast("array<float>" if single else "array<double>")
     fine = F.col(vec_id).isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False))
     fine &= F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
     kind = F.xxhash64(F.size(vec), F.col(label)) if label else F.xxhash64(F.size(vec))
@@ -202,7 +205,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     members = write(_grow(roots), "leaves").df.where("n > 1")
     lists = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("leaves"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(small(write(lists, "lists")), "rep").join(small(write(classes.select("rep", "size"), "sizes")), "rep")
+    placed = members.join(small(write(lists, "lists")), "rep").join(classes.select("rep", "size", "vec"), "rep")
     placed = placed.select("*", F.pmod(F.xxhash64("rep", "node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select(F.col("node").alias("leaf"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "size", "leaves", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
