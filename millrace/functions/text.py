@@ -72,11 +72,15 @@ def leaks_special(text: Column) -> Column:
 
 def repeats_phrase(text: Column, times: int = 3, least_words: int = 9) -> Column:
     """A phrase of three words occurs so often. Equal phrases stand together once sorted, so no shuffle is needed."""
+    # Inside a lambda an expression is computed for every element, so words and phrases are passed on as values.
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    phrases = lambda w: F.sort_array(F.zip_with(pairs(w), F.slice(w, 3, F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
+    # zip_with fills up with nulls, which equal nothing.
+    again = lambda p: F.exists(F.zip_with(p, F.slice(p, times, F.size(p)), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
-    phrases = F.array_sort(F.zip_with(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)), F.slice(words, 3, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
-    # zip_with fills up with nulls, which sort last.
-    again = F.exists(F.zip_with(phrases, F.slice(phrases, times, F.size(phrases)), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
-    return F.coalesce(F.when(F.size(words) >= least_words, again), F.lit(False))
+    found = once(words, lambda w: F.when(F.size(w) >= least_words, once(phrases(w), again)))
+    return F.coalesce(found, F.lit(False))
 
 
 def plain_decimal(number: Column) -> Column:
