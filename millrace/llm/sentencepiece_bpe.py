@@ -14,11 +14,14 @@ agenda_agrees is false.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,18 @@ from millrace.llm.polyhash import byte_view, chunks
 #: The mark that stands for a space.
 MARK = "▁"
 #: Segments that a worker remembers.
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 400_000
 #: Segments up to this many characters are merged in arrays.
 SHORT = 24
+#: Segments merged in one array, which then stays in the processor's cache.
+LEARN_ROWS = 4_000
 #: Before these a text is cut after a letter, if no piece has the two together.
 STOPS = ".,;:!?"
 LETTER = "[A-Za-zÀ-ɏ]"
 #: Ids of symbols that are no piece: this and the code point.
 LONE = 1 << 21
 #: The score rank of a pair that forms no piece.
-NEVER = np.iinfo(np.int64).max
+NEVER = np.iinfo(np.int32).max
 #: Texts given to the library at once hold about this many characters.
 CHUNK_CHARS = 2_000_000
 
@@ -69,6 +74,11 @@ class Agenda(dict):
         word = f"[^{MARK}]" if "\n" in inner else f"[^{MARK}\n]"
         self.segments = re.compile(f"{MARK}*(?:(?![{stops}]){word})+(?:(?<={LETTER})(?=[{stops}])|{word}*)|{MARK}*{word}+|{MARK}+|\n").findall
 
+        # The symbol of each code point.
+        self.single = np.arange(LONE, LONE + 0x110000, dtype=np.int32)
+        for piece in self.ids:
+            if len(piece) == 1:
+                self.single[ord(piece)] = self.ids[piece]
         self._pairs(merged)
 
     def _pairs(self, merged: list[str]) -> None:
@@ -84,28 +94,26 @@ class Agenda(dict):
         scores = sorted({x[1] for x in found})
         place = {x: i for i, x in enumerate(scores)}
         self.pair_keys = np.array([x[0] for x in found] or [-1], np.int64)
-        self.pair_ranks = np.array([place[x[1]] for x in found] or [NEVER], np.int64)
-        self.pair_ids = np.array([x[2] for x in found] or [0], np.int64)
+        self.pair_ranks = np.array([place[x[1]] for x in found] or [NEVER], np.int32)
+        self.pair_ids = np.array([x[2] for x in found] or [0], np.int32)
 
     def _symbol(self, symbol: str) -> int:
         return self.ids[symbol] if symbol in self.ids else LONE + ord(symbol)
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that two symbols form."""
-        key = left << 22 | right
+        key = left.astype(np.int64) << 22 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NEVER), self.pair_ids[at]
+        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], np.int32(NEVER)), self.pair_ids[at]
 
     def learn(self, segments: list[str]) -> None:
         """Put new short segments of one length range into the table, all merged together."""
         width = max(map(len, segments))
-        symbols = np.full((len(segments), width + 1), -1, np.int64)
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        known = np.array([self._symbol(chr(c)) for c in distinct], np.int64)
+        symbols = np.full((len(segments), width + 1), -1, np.int32)
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         lengths = np.array([len(x) for x in segments])
         columns = np.arange(width + 1)
-        symbols[columns < lengths[:, None]] = known[inverse]
+        symbols[columns < lengths[:, None]] = self.single[codes]
         ranks, ids = self._look(symbols[:, :-1], symbols[:, 1:])
         rows, cols = np.arange(len(segments)), columns[:-1]
         done_rows, done_symbols = [], []
@@ -122,19 +130,20 @@ class Agenda(dict):
                     break
             symbols[n, at] = ids[n, at]
             # What stands right of the merged pair moves one place to the left.
-            symbols[:, :-1] = np.where(columns[:-1] > at[:, None], symbols[:, 1:], symbols[:, :-1])
-            symbols[:, -1] = -1
-            ranks[:, :-1] = np.where(cols[:-1] > at[:, None], ranks[:, 1:], ranks[:, :-1])
-            ids[:, :-1] = np.where(cols[:-1] > at[:, None], ids[:, 1:], ids[:, :-1])
-            ranks[:, -1] = NEVER
+            right = cols > at[:, None]
+            np.copyto(symbols[:, :-1], symbols[:, 1:], where=right)
+            np.copyto(ranks[:, :-1], ranks[:, 1:], where=right[:, :-1])
+            np.copyto(ids[:, :-1], ids[:, 1:], where=right[:, :-1])
+            symbols[:, -1], ranks[:, -1] = -1, NEVER
             for side in (at - 1, at):
                 ok = side >= 0
                 r, i = self._look(symbols[n[ok], side[ok]], symbols[n[ok], side[ok] + 1])
                 ranks[n[ok], side[ok]], ids[n[ok], side[ok]] = r, i
         for which, left in zip(done_rows, done_symbols, strict=True):
-            for row, ends in zip(which.tolist(), left.tolist(), strict=True):
-                out = ends[: ends.index(-1)]
-                if max(out) >= LONE:
+            sizes, lone = (left >= 0).sum(axis=1).tolist(), (left >= LONE).any(axis=1).tolist()
+            for row, ends, n, odd in zip(which.tolist(), left.tolist(), sizes, lone, strict=True):
+                out = ends[:n]
+                if odd:
                     out = [i for x in out for i in ([x] if x < LONE else self._fallback(chr(x - LONE)))]
                 self[segments[row]] = tuple(out)
 
@@ -180,21 +189,16 @@ class Agenda(dict):
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
         cut = [self.segments(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
-        new = {x for segments in cut for x in segments if x not in self}
+        every = set(chain.from_iterable(cut))
+        new = every.difference(self)
         if len(self) + len(new) > self.cache:
             self.clear()
-            new = {x for segments in cut for x in segments}
+            new = every
         for low, high in ((0, 8), (8, 12), (12, 16), (16, SHORT)):
             some = [x for x in new if low < len(x) <= high]
-            for start in range(0, len(some), 20_000):
-                self.learn(some[start : start + 20_000])
-        out = []
-        for segments in cut:
-            ids: list[int] = []
-            for x in map(self.__getitem__, segments):
-                ids += x
-            out.append(ids)
-        return out
+            for start in range(0, len(some), LEARN_ROWS):
+                self.learn(some[start : start + LEARN_ROWS])
+        return [list(chain.from_iterable(map(self.__getitem__, segments))) for segments in cut]
 
 
 @lru_cache(maxsize=2)
@@ -202,16 +206,29 @@ def _loaded(model: bytes):
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return processor, Agenda(processor)
+    return processor, Agenda(processor), [str(i) for i in range(processor.get_piece_size())].__getitem__
 
 
 def _hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """Nothing here makes reference cycles, and the collector would walk the whole table again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+@_no_collector()
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[int, str, str, bool]]:
     """For each text: count of ids with the end id, digest of the ids, digest of the decoded text, agreement."""
-    processor, agenda = _loaded(model)
+    processor, agenda, digits = _loaded(model)
     rows, start = [], 0
     while start < len(texts):
         end, chars = start, 0
@@ -225,7 +242,7 @@ def encode_batch(texts: list[str], model: bytes) -> list[tuple[int, str, str, bo
             agrees.append(ours == theirs)
             theirs.append(processor.eos_id())
         for ids, decoded, same in zip(expected, processor.decode(expected, num_threads=1), agrees, strict=True):
-            rows.append((len(ids), _hex(" ".join(map(str, ids))), _hex(decoded), same))
+            rows.append((len(ids), _hex(" ".join(map(digits, ids))), _hex(decoded), same))
         start = end
     return rows
 
