@@ -14,8 +14,10 @@ at equal places, about one for 35 bytes; the context of an anchor is what window
    fetched, and their suffixes sorted by a mergesort whose comparisons find the common extension of
    two suffixes by binary search over prefix polynomial hashes. Suffixes that start one byte earlier
    follow by one stable pass over that byte. Neighbours that agree in LENGTH bytes, checked byte by
-   byte, are repeats; the earliest of them stays. A gram with more than HOT contexts is split first:
-   each of its windows goes to the group of its own hash.
+   byte, are repeats; the earliest of them stays. So a sorted group has at most HOT contexts. The
+   windows of a gram with more stay out of the sort: each goes to the partition of its own hash, once
+   for a stretch of an Arrow batch, and of equal windows, which follow each other in document order
+   there, all but the first are repeats. No task holds them.
 3. Covers are gathered for each document and applied to its bytes.
 """
 
@@ -38,6 +40,8 @@ LEFT = LENGTH - GRAM
 SPAN = LEFT + LENGTH
 #: Grams with more first contexts than this are split by window.
 HOT = 50_000
+#: Windows of such grams and contexts fetched at once.
+FETCHED_ROWS = 20_000
 #: Contexts sorted at once (a group is never divided).
 SORTED_ROWS = 8000
 _FIRST, _SECOND = Poly(61), Poly(62)
@@ -160,25 +164,51 @@ def _split_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (k, tie, text, novel) to the contexts: (gram, k, tie, at, left, bytes); of hot grams every window is a context."""
+    """From (k, tie, text, novel) to (gram, k, tie, at, left, bytes, end): contexts with end 0.
+
+    Of hot grams every window, with left -1; those that the stretch has seen become covers (end > 0).
+    """
+    names = ["gram", "k", "tie", "at", "left", "bytes", "end"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
     for batch in batches:
+        ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         rows: list[tuple] = []
-        for k, tie, text, novel in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            data = (text or "").encode()
-            starts: set[int] = set()
-            for one in novel:
+        seen: set[bytes] = set()  # windows of the stretch; texts come in document order
+        for i in np.lexsort((ties, ids)).tolist():
+            k, tie, data = int(ids[i]), int(ties[i]), (batch.column(2)[i].as_py() or "").encode()
+            begin, low, high = 0, -1, -1  # the next window, and the stretch of bytes known to be covered
+            for one in sorted(batch.column(3)[i].as_py(), key=lambda x: x["start"]):
                 at = one["start"]
-                if one["hot"]:
-                    starts.update(range(max(0, at - LEFT), min(at, len(data) - LENGTH) + 1))
-                else:
-                    rows.append((one["gram"], k, tie, at, min(at, LEFT), data[max(0, at - LEFT) : at + LENGTH]))
-            for start in starts:
-                window = data[start : start + LENGTH]
-                group = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                rows.append((group, k, tie, start, 0, window))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gram", "k", "tie", "at", "left", "bytes"])
+                if not one["hot"]:
+                    rows.append((one["gram"], k, tie, at, min(at, LEFT), data[max(0, at - LEFT) : at + LENGTH], 0))
+                    continue
+                for start in range(max(begin, at - LEFT), min(at, len(data) - LENGTH) + 1):
+                    begin = start + 1
+                    window = data[start : start + LENGTH]
+                    if window in seen:
+                        if start > high:
+                            if high > 0:
+                                rows.append((low * 31 + k >> 1, k, tie, low, 0, b"", high))
+                            low = start
+                        high = start + LENGTH
+                        continue
+                    seen.add(window)
+                    group = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                    rows.append((group, k, tie, start, -1, window, 0))
+                    if len(rows) >= FETCHED_ROWS:
+                        yield out(rows)
+                        rows, seen = [], set()
+            if high > 0:
+                rows.append((low * 31 + k >> 1, k, tie, low, 0, b"", high))
+            if len(rows) >= FETCHED_ROWS:
+                yield out(rows)
+                rows, seen = [], set()
+        yield out(rows)
 
 
 class Suffixes:
@@ -276,7 +306,11 @@ class Suffixes:
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by (gram, k, tie, at) to covers (k, tie, start, end)."""
+    """From what _fetch gives, sorted by (gram, window if hot, k, tie, at), to covers (k, tie, start, end)."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "tie", "start", "end"])
 
     def covers(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -288,13 +322,29 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         change = np.diff(found, axis=1)
         row, first = np.nonzero(change == 1)  # from so many bytes before the anchor
         _, last = np.nonzero(change == -1)  # up to less than so many
-        columns = (k[row], tie[row], at[row] - last + 1, at[row] - first + LENGTH)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "tie", "start", "end"])
+        return out([k[row], tie[row], at[row] - last + 1, at[row] - first + LENGTH])
 
     held: list[pa.RecordBatch] = []
     rows = 0
+    before = b""  # the last hot window
     for batch in batches:
+        left, end = batch.column(4).to_numpy(), batch.column(6).to_numpy()
+        known, hot = end > 0, left < 0
+        if known.any():
+            yield out([batch.column(i).to_numpy()[known] for i in (1, 2, 3, 6)])
+        if hot.any():
+            some = batch.filter(pa.array(hot))
+            windows = byte_view(some.column(5))[0].reshape(-1, LENGTH)
+            again = np.empty(len(windows), bool)
+            again[0] = windows[0].tobytes() == before
+            again[1:] = (windows[1:] == windows[:-1]).all(axis=1)
+            before = windows[-1].tobytes()
+            k, tie, at = (some.column(i).to_numpy()[again] for i in (1, 2, 3))
+            yield out([k, tie, at, at + LENGTH])
+        if (known | hot).any():
+            batch = batch.filter(pa.array(~(known | hot)))
+        if not len(batch):
+            continue
         held.append(batch)
         rows += len(batch)
         if rows < SORTED_ROWS:
@@ -352,8 +402,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hot = write(novel.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
     novel = novel.join(small(hot), "gram", "left").select("k", "tie", F.struct("start", "gram", F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
     lists = novel.groupBy("k", "tie").agg(F.collect_list("one").alias("novel"))
-    fetched = single.join(lists, ["k", "tie"]).select("k", "tie", "text", "novel").mapInArrow(_fetch, "gram long, k long, tie long, at int, left int, bytes binary")
-    fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram", "k", "tie", "at")
+    fetched = single.join(lists, ["k", "tie"]).select("k", "tie", "text", "novel").mapInArrow(_fetch, "gram long, k long, tie long, at int, left int, bytes binary, end int")
+    fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram", F.when(F.col("left") < 0, F.col("bytes")), "k", "tie", "at")
     sorted_ = fetched.mapInArrow(_sort_suffixes, "k long, tie long, start int, end int")
     covers = split.where("end > 0").select("k", "tie", "start", "end").unionByName(sorted_)
     covers = write(covers.groupBy("k", "tie").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "covers").df

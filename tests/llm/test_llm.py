@@ -145,6 +145,34 @@ def test_suffix_dedup_repeated_ids(spark):
     assert found == [(0, False), (1, True), (1, True), (2, True)]
 
 
+def test_suffix_dedup_hot_windows_are_not_sorted(monkeypatch):
+    """A passage within many texts of different surroundings: its windows go around the sort."""
+    passage, n = bytes(range(33, 127)).decode() + "0123456789" * 3, 400
+    texts = [f"{i:>05}<" * 30 + passage + f">{i * 7:>05}" * 30 for i in range(n)]
+    novel = [[{"start": 180 + 46, "gram": 5, "hot": True}, {"start": 3, "gram": i, "hot": False}] for i in range(n)]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("gram", pa.int64()), ("hot", pa.bool_())]))
+    sorted_, suffixes = [], suffix_dedup.Suffixes
+    monkeypatch.setattr(suffix_dedup, "FETCHED_ROWS", 500)
+    monkeypatch.setattr(suffix_dedup, "Suffixes", lambda *x: sorted_.append(len(x[0])) or suffixes(*x))
+    batches = []
+    for part in (slice(0, n, 2), slice(1, n, 2)):
+        ids = list(range(n))[part]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids)), pa.array(texts[part]), pa.array(novel[part], kind)], ["k", "tie", "text", "novel"]))
+    fetched = pa.Table.from_batches(list(suffix_dedup._fetch(iter(batches)))).sort_by([(x, "ascending") for x in ("gram", "bytes", "k", "tie", "at")])
+    gone = np.zeros((n, len(texts[0])), bool)
+    for found in suffix_dedup._sort_suffixes(iter(fetched.to_batches(max_chunksize=64))):
+        for k, _, start, end in zip(*(found.column(i).to_pylist() for i in range(4)), strict=True):
+            gone[k, start:end] = True
+    assert sum(sorted_) == n  # the contexts of the grams that are not hot, and no window
+    assert not gone[0].any() and all(gone[1:, 180 : 180 + len(passage)].all(axis=1))
+    seen = set()
+    for i, text in enumerate(texts):
+        for p in range(180 + 46 - 68, 180 + 46 + 1):
+            again = text[p : p + 100] in seen
+            assert not again or gone[i, p : p + 100].all()
+            seen.add(text[p : p + 100])
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(1)
     n = 60
