@@ -3,6 +3,7 @@ r"""Chat formatting: records of many layouts become canonical turns, and turns o
 A record is a JSON object. Its fingerprint is the hash of its nested field paths (leaf types left out),
 and it selects a declarative mapping: the type to read the record as, and the expression that makes
 turns of it. Records of an unknown layout, null records and records that are no JSON have null turns.
+A long record is fingerprinted by its outline, so its length does not matter.
 
 Template: every turn is "### role: text </turn>" and a new line. In texts and roles each backslash, #
 and < gets a backslash before it (in roles : as well), so no control string of the template can occur
@@ -24,6 +25,16 @@ HEAD, TAIL = "### ", " </turn>\n"
 #: Leaf types in the schema of a JSON value.
 _LEAF = r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
+#: Longer records (in characters) are fingerprinted by their outline: a variant has a largest size, and its parser a longest string.
+WHOLE = 1 << 20
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: All up to the next string that is a value, and that string.
+_VALUE = rf'(?s)\G((?:[^"]++|{_STRING}\s*+:)*+){_STRING}'
+#: Equal objects that follow each other in an array.
+_SAME = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
+#: Strings of any length are read; what is no JSON within them shows in the field _mr_bad.
+_READ = "map('maxStringLen', '2147483647', 'columnNameOfCorruptRecord', '_mr_bad')"
+
 
 class Layout(NamedTuple):
     """paths: the nested fields with leaf types as _; ddl: the type to read; turns: SQL for array<struct<role,text>> of r."""
@@ -67,9 +78,15 @@ LAYOUTS = [
 ]
 
 
+def outline(record: Column) -> Column:
+    """A JSON record with its string values emptied and equal neighbours in arrays made one: the same field paths."""
+    return F.regexp_replace(F.regexp_replace(record, _VALUE, '$1""'), _SAME, "$1")
+
+
 def fingerprint(record: Column) -> Column:
     """The hash of a JSON record's nested field paths; null for what is no JSON."""
-    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), _LEAF, "_")
+    short = F.when(F.length(record) <= WHOLE, record).otherwise(outline(record))
+    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(short)), _LEAF, "_")
     return F.xxhash64(F.when(paths.isNotNull(), paths)).alias("fingerprint")
 
 
@@ -78,7 +95,7 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     mark = fingerprint(F.col(record))
     for layout in LAYOUTS:
-        made = F.expr(f"transform(array(from_json(`{record}`, '{layout.ddl}')), r -> {layout.turns})[0]")
+        made = F.expr(f"transform(array(from_json(`{record}`, '{layout.ddl}, _mr_bad string', {_READ})), r -> if(r._mr_bad IS NULL, {layout.turns}, NULL))[0]")
         clean = F.transform(made, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
         turns = F.when(F.col("_mr_mark") == F.xxhash64(F.lit(layout.paths)), clean).otherwise(turns)
     return records.withColumn("_mr_mark", mark).withColumn("turns", turns).drop("_mr_mark")
@@ -136,8 +153,10 @@ def records_of_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", r
 
 
 def digests(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Format the conversations of turn rows, and digest what is read back from the output."""
-    made = format_turns(canonical_turns(records_of_rows(rows, key)), key)
+    """Format the conversations of turn rows, and digest what is read back from the output. A conversation without turns is an error."""
+    turned = canonical_turns(records_of_rows(rows, key))
+    none = F.raise_error(F.concat(F.lit("no turns read of conversation "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    made = format_turns(turned.withColumn("turns", F.coalesce("turns", none)), key)
     back = made.select(key, parse_formatted(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("learned"), "formatted")
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

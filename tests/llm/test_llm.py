@@ -278,6 +278,32 @@ def test_layouts(spark):
     assert all((None if r.turns is None else [t.text for t in r.turns]) == r.want for r in found)
 
 
+def test_long_conversations_stay(spark):
+    """One text of more characters than a JSON parser takes at first, and one conversation of very many turns."""
+    long = 20_000_001
+    texts = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.expr(f"if(id = 0, 'q', repeat('a', {long}))").alias("text"))
+    many = spark.range(60_000).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit('say "x": {'), F.col("id").cast("string")).alias("text"))
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.turns_sha256) for r in chat_format.digests(texts.unionByName(many)).collect()}
+    digest = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got == {
+        1: (2, long + 1, digest([("assistant", "q"), ("assistant", "a" * long)])),
+        2: (60_000, 0, digest(("user", f'say "x": {{{i}') for i in range(60_000))),
+    }
+
+
+def test_outlines_have_the_same_fingerprint(spark, monkeypatch):
+    tail = '"x\\\\\\"},{:[é 漢\\n"'
+    records = [f'{{"prompt":{tail}, "response" : {tail}}}', f'{{"a:\\"b":[{tail},{tail}],"c":[{{"d":{tail}}} , {{"d":1}},{{"d":null}},{{"d":{tail}}}]}}', '{"messages":[]}', "[1]", '"s"', "nope", '{"a":"b"', "", None]
+    records += ['{"messages":[' + ",".join(['{"role":"user","content":"q"}'] * 5) + "]}", '{"messages":[{"role":"user","content":"q"},{"role":"user","x":"q"}]}']
+    frame = spark.createDataFrame([(r,) for r in records], "record string")
+    short = [r[0] for r in frame.select(chat_format.fingerprint(F.col("record"))).collect()]
+    monkeypatch.setattr(chat_format, "WHOLE", 0)
+    assert [r[0] for r in frame.select(chat_format.fingerprint(F.col("record"))).collect()] == short and len(set(short)) > 6
+    test_layouts(spark)
+    bad = spark.createDataFrame([('{"prompt":"\\q","response":"b"}',)], "record string")
+    assert chat_format.canonical_turns(bad).first().turns is None
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
     texts = [mit, "Text\nReleased under the MIT License.\nMore", "Licensed under CC BY-NC 4.0. All rights reserved.", None, "", "no licence", "Licensed under the Apache License, Version 2.0", "All rights reserved. All rights reserved!"]
