@@ -227,7 +227,10 @@ def _no_collector() -> Iterator[None]:
 
 @_no_collector()
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[int, str, str, bool]]:
-    """For each text: count of ids with the end id, digest of the ids, digest of the decoded text, agreement."""
+    """For each text: count of ids with the end id, digest of the ids, digest of the decoded text, agreement.
+
+    The ids are the agenda's; the library's encoding is the check after it, and stands in where they differ.
+    """
     processor, agenda, digits = _loaded(model)
     rows, start = [], 0
     while start < len(texts):
@@ -236,12 +239,13 @@ def encode_batch(texts: list[str], model: bytes) -> list[tuple[int, str, str, bo
             chars += len(texts[end])
             end += 1
         chunk = texts[start:end]
-        expected = processor.encode(chunk, num_threads=1)
-        agrees = []
-        for ours, theirs in zip(agenda.encode(chunk), expected, strict=True):
-            agrees.append(ours == theirs)
-            theirs.append(processor.eos_id())
-        for ids, decoded, same in zip(expected, processor.decode(expected, num_threads=1), agrees, strict=True):
+        found, agrees = agenda.encode(chunk), []
+        for i, theirs in enumerate(processor.encode(chunk, num_threads=1)):
+            agrees.append(found[i] == theirs)
+            if not agrees[i]:
+                found[i] = theirs
+            found[i].append(processor.eos_id())
+        for ids, decoded, same in zip(found, processor.decode(found, num_threads=1), agrees, strict=True):
             rows.append((len(ids), _hex(" ".join(map(digits, ids))), _hex(decoded), same))
         start = end
     return rows

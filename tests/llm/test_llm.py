@@ -347,6 +347,22 @@ def test_sentencepiece(docs, rows, none):
     assert sentencepiece_bpe.encode_documents(none, path).count() == 0
 
 
+def test_sentencepiece_ids_are_the_agendas(monkeypatch):
+    ours, theirs = [[1, 2], [3], [4]], [[1, 2], [3], [5]]
+
+    class Stub:
+        encode = lambda self, texts, num_threads=1: theirs
+        decode = lambda self, ids, num_threads=1: given.extend(ids) or ["t"] * len(ids)
+        eos_id = lambda self: 9
+
+    given, agenda = [], type("A", (), {"encode": lambda self, texts: list(ours)})()
+    monkeypatch.setattr(sentencepiece_bpe, "_loaded", lambda model: (Stub(), agenda, str))
+    rows = sentencepiece_bpe.encode_batch(["a", "b", "c"], b"")
+    assert given[0] is ours[0] and given[1] is ours[1] and given[2] is theirs[2]  # the library's only where they differ
+    assert [(n, same) for n, _, _, same in rows] == [(3, True), (2, True), (2, False)]
+    assert [h for _, h, _, _ in rows] == [hashlib.sha256(x).hexdigest() for x in (b"1 2 9", b"3 9", b"5 9")]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     rows = []
