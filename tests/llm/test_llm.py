@@ -332,6 +332,26 @@ def test_forest(spark, monkeypatch):
     assert rp_forest.near_duplicates(frame.limit(0)).count() == 0
 
 
+def _parted(pairs: int, tree: int) -> np.ndarray:
+    """Of pairs of vectors at the threshold, in 64 dimensions: whether a tree of many levels parts them."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    one, other = unit(rng.normal(size=(pairs, 64))), rng.normal(size=(pairs, 64))
+    other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    x = np.concatenate([one, rp_forest.THRESHOLD * one + (1 - rp_forest.THRESHOLD**2) ** 0.5 * other])
+    splits, met = {}, np.zeros(pairs, bool)
+    rp_forest._fit(tree, x, float(len(x)), 20, splits)
+    for _, inside in rp_forest._route(tree, x, np.arange(len(x)), splits):
+        met[np.intersect1d(inside[inside < pairs], inside - pairs)] = True
+    return ~met
+
+
+def test_forest_rarely_parts_pairs(monkeypatch):
+    monkeypatch.setattr(rp_forest, "LEAF", 64)
+    parted = np.array([_parted(4000, tree) for tree in range(1, rp_forest.TREES + 1)])
+    assert parted.mean() < 0.05 and not parted.all(axis=0).any()
+
+
 def test_sentencepiece(docs, rows, none):
     import public_tokenizers
     import sentencepiece
