@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, for bounded arrays (one longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Powers that a polynomial keeps after a task.
+KEPT_POWERS = 1 << 20
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -31,11 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Poly:
     """One polynomial: a random table of byte values and a random odd base, both fixed by the seed."""
 
+    known: list[Poly] = []
+
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1 << 32, 1 << 62)) | 1
         self.up = self.down = np.ones(1, np.uint64)
+        Poly.known.append(self)
 
     def powers(self, n: int) -> None:
         if len(self.up) <= n:
@@ -57,6 +62,13 @@ class Poly:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
+def forget_powers() -> None:
+    """Let go of the powers that one very long text needed."""
+    for poly in Poly.known:
+        if len(poly.up) > KEPT_POWERS:
+            poly.up = poly.down = np.ones(1, np.uint64)
+
+
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) in one buffer, and where each begins (one more than texts)."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")

@@ -6,21 +6,32 @@ so a broadcast can be decided by measuring instead of guessing.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its files hold no more than this many bytes.
+from millrace.llm.polyhash import forget_powers
+
+#: A side is broadcast only if its rows hold no more than this many bytes, as files and unpacked.
 BROADCAST_BYTES = 8 << 20
+UNPACKED_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one of our own on a local master (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -55,6 +66,45 @@ def forget(spark: SparkSession, *tables: Written) -> None:
         files.delete(place, True)
 
 
+def _width(name: str, kind: T.DataType) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        each = 8 * len(inner.fields) + 24 if isinstance(inner, T.StructType) else 8
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * each + 24
+    return F.lit(16)
+
+
 def small(table: Written, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The table with a broadcast hint if its files are small enough, else as it is (a shuffled join)."""
-    return F.broadcast(table.df) if table.bytes <= limit else table.df
+    """The table with a broadcast hint if it is small enough as files and unpacked, else as it is (a shuffled join)."""
+    if table.bytes > limit:
+        return table.df
+    widths = sum((_width(f.name, f.dataType) for f in table.df.schema.fields), F.lit(16))
+    unpacked = table.df.agg(F.sum(widths.cast("long"))).first()[0] or 0
+    return F.broadcast(table.df) if unpacked <= UNPACKED_BYTES else table.df
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers are kept for later stages."""
+    forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task that releases memory when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.polyhash import byte_view, chunks
+from millrace.llm.scratch import lean
 
 #: The mark that stands for a space.
 MARK = "▁"
 #: Segments that a worker remembers.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 250_000
 #: Segments up to this many characters are merged in arrays.
 SHORT = 24
 #: Segments merged in one array, which then stays in the processor's cache.
@@ -46,7 +47,7 @@ LONE = 1 << 21
 #: The score rank of a pair that forms no piece.
 NEVER = np.iinfo(np.int32).max
 #: Texts given to the library at once hold about this many characters.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, agenda_agrees boolean"
 
@@ -261,6 +262,7 @@ def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", t
         model = file.read()
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], batch.column(1)

@@ -25,16 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.polyhash import byte_view, chunks
+from millrace.llm.scratch import lean
 
 #: Rows of either class that training reads at most.
 ROWS_PER_CLASS = 2500
 #: Bytes of text whose words are held at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 BUCKETS = 1 << 32
 #: A term is kept if it stands in so many sampled texts and its counts are so many deviations apart.
 LEAST_TEXTS, LEAST_Z = 3, 2.5
-#: No more terms than this are kept, the clearest first.
-MOST_TERMS = 1 << 17
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 EPOCHS = 15
@@ -130,8 +129,6 @@ def _chosen(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> tuple[np
     z = (bad - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((both - bad + 0.5) / (n - n_bad + 1))
     good = np.flatnonzero((both >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
-    if len(good) > MOST_TERMS:
-        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MOST_TERMS]])
     return hashes[good], np.clip(odds[good], -5, 5)
 
 
@@ -174,18 +171,24 @@ def train(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int =
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5. A null id counts as the empty text: held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> Machine:
-    """Fit on the labelled rows outside the held-out fold (toxic null: not labelled; repeated labels: the largest)."""
+    """Fit on the labelled rows outside the held-out fold (toxic null: not labelled; repeated labels: the largest).
+
+    Of rows of docs that share an id one is read, that with the largest hash of its text.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [usable.where(is_toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for is_toxic in (F.col("toxic") > 0, F.col("toxic") <= 0)]
     chosen = some[0].unionByName(some[1]).select(F.col("doc_id").alias("_mr_id"), F.col("toxic").alias("_mr_toxic"))
     # Broadcast: no more than 2 * rows_per_class rows of two numbers.
     texts = docs.select(F.col(doc_id).alias("_mr_id"), F.col(text).alias("_mr_text")).join(F.broadcast(chosen), "_mr_id")
+    texts = texts.groupBy("_mr_id", "_mr_toxic").agg(F.max_by("_mr_text", F.struct(F.xxhash64("_mr_text"), "_mr_text")).alias("_mr_text"))
 
+    @lean
     def buckets(batches):
         for batch in batches:
             start = 0
@@ -208,23 +211,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
     """A column of scores from 0 to 1 for the text column of docs; null and empty texts get the bias."""
-    # A machine has a bounded size: MOST_TERMS * (3 + FACTORS) numbers, 7 MB.
+    # A machine's terms stand in LEAST_TEXTS or more of the bounded sample of training rows.
     shared = docs.sparkSession.sparkContext.broadcast(tuple(machine))
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        machine, out = Machine(*shared.value), []
-        for part in _parts(texts):
-            ids, starts = terms(part, machine.hashes)
-            raw, _ = _forward(machine.bias, machine.values[ids], machine.weights[ids], machine.factors[ids], starts)
-            out.append(sigmoid(raw))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+    @lean
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = Machine(*shared.value)
+        for texts in batches:
+            out = []
+            for part in _parts(texts):
+                ids, starts = terms(part, machine.hashes)
+                raw, _ = _forward(machine.bias, machine.values[ids], machine.weights[ids], machine.factors[ids], starts)
+                out.append(sigmoid(raw))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return run(F.col(text))
 
 
 def decisions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted."""
+    """One row for each row of docs: doc_id, held_out, score, predicted.
+
+    Null and empty texts get the machine's bias; a null id is held out; rows that share an id are each
+    scored. Without labelled rows all scores are about 0, with labels of one class that class's. Other
+    columns, whatever their names, are not read. An empty table gives an empty frame.
+    """
     machine = fit(docs, labels)
     scored = docs.select("doc_id", score(docs, machine).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
