@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import forget, write
+from millrace.llm.scratch import forget, small, write
 
 
 def _digest(links: DataFrame) -> tuple:
@@ -40,3 +40,10 @@ def components(links: DataFrame) -> DataFrame:
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def smallest_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """From (node, component) in numbers of classes and (key, rep) to (key, component): the smallest rep of each linked class's component."""
+    named = write(found.join(classes.select(F.col("key").alias("node"), "rep"), "node"), "named").df
+    least = write(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    return named.join(small(least), "component").select(F.col("node").alias("key"), F.col("least").alias("component"))

@@ -6,8 +6,9 @@ sets choose the same token with a probability equal to their Jaccard similarity.
 path so far share a bucket. Buckets of up to SPLIT sets are leaves; larger ones are split by the next
 token of the path, up to LEVELS tokens. In the leaves all pairs are compared exactly, and the pairs at
 or above the threshold are links. A leaf that is still large after the last level (many sets that are
-all alike) is compared whole as well, in pairs of blocks of BLOCK sets, each pair of blocks a task of
-its own, so no bucket is capped and no candidate is dropped.
+all alike), or whose texts are long, is compared whole as well, in pairs of blocks of BLOCK sets or
+BLOCK_SHINGLES shingles, each pair of blocks a group of its own, so no bucket is capped and no
+candidate is dropped.
 
 A pair of similarity s meets in a run with probability s**depth or more. At s = 0.8 ten runs miss it
 with probability 1e-7 if leaves are of the first level, 4e-5 at the second and 8e-4 at the third.
@@ -27,20 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
-from millrace.llm.leaf_pairs import tally
+from millrace.llm.components import components, smallest_ids
+from millrace.llm.leaf_pairs import groups, results, tally
 from millrace.llm.polyhash import mix
-from millrace.llm.scratch import small, write
+from millrace.llm.scratch import lean, small, write
 from millrace.llm.shingles import WORDS, shingle_sets
 
 THRESHOLD = 0.8
 RUNS, LEVELS = 10, 3
 #: Buckets of more sets are split by a further token.
 SPLIT = 256
-#: Leaves of more sets are compared in pairs of blocks of about so many.
+#: Leaves of more sets, or of more shingles in all, are compared in pairs of blocks of about so many.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Columns of the incidence matrix multiplied at once.
-COLUMNS = 8192
+COLUMNS = 2048
 
 _SEEDS = np.random.default_rng(41).integers(1, 1 << 63, RUNS * LEVELS, dtype=np.uint64)
 
@@ -64,6 +66,7 @@ def _paths(found: np.ndarray) -> list[int]:
 def _sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """For each row: id, n (shingles), a and b (hashes of the set), paths."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, paths = [], [], [], []
@@ -82,136 +85,113 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n int, a long, b long, paths array<long>")
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
-    """(leaf, n, rep): the leaves of two classes or more with their members."""
-    runs = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("paths", r * LEVELS + 1, LEVELS))).alias("path"))
-    found, going = None, runs
+def _leaves(classes: DataFrame, split: int) -> DataFrame:
+    """From (key, n, paths) to (leaf, members, shingles, key): the leaves of two classes or more, how many members and shingles they have, and the members."""
+    one_run = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("paths", r * LEVELS + 1, LEVELS)))
+    found, going = None, classes.select("key", "n", one_run.alias("path"))
     for level in range(LEVELS):
-        keyed = going.select("rep", "path", F.col("path")[level].alias("key"))
+        keyed = going.select("key", "n", "path", F.col("path")[level].alias("leaf"))
         # Equal member lists, told by count and two hashes, need comparing once.
-        marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")
-        counts = write(keyed.groupBy("key").agg(*marks).where("n > 1"), "counts")
+        marks = F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")
+        sizes = F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")
+        counts = write(keyed.groupBy("leaf").agg(*sizes, *marks).where("members > 1"), "counts")
         last = level == LEVELS - 1
-        done = counts.df if last else counts.df.where(F.col("n") <= SPLIT)
-        here = keyed.join(small(counts), "key").where("true" if last else f"n <= {SPLIT}").select("key", "n", "x", "y", "rep")
+        ends = F.lit(True) if last else F.col("members") <= split
+        here = keyed.join(small(counts), "leaf").where(ends).select("leaf", "members", "shingles", "x", "y", "key")
         found = here if found is None else found.unionByName(here)
-        if last or done.count() == counts.df.count():
+        hot = counts.df.where(~ends).select("leaf")
+        if last or hot.isEmpty():
             break
-        hot = write(counts.df.where(F.col("n") > SPLIT).select("key"), "hot")
-        going = keyed.join(small(hot), "key").select("rep", "path")
+        going = keyed.join(small(write(hot, "hot")), "leaf").select("key", "n", "path")
     # Of leaves with the same members one remains.
     written = write(found, "leaves").df
-    first = small(write(written.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key").distinct(), "first"))
-    return written.join(first, "key").select(F.col("key").alias("leaf"), "n", "rep")
-
-
-class _Leaf:
-    """The classes of one leaf, or of one pair of its blocks."""
-
-    def __init__(self, key: tuple):
-        self.key, self.rows = key, {}
-
-    def add(self, rep: int, size: int, block: int, leaves: list[int], found: np.ndarray) -> None:
-        self.rows.setdefault(rep, (size, block, leaves, found))
-
-    def compare(self, threshold: float) -> Iterator[tuple[int, int, int]]:
-        """(rep, links counted here, smallest linked class) of the classes with links."""
-        leaf, one, two = self.key
-        reps = np.array(sorted(self.rows), np.int64)
-        m = len(reps)
-        if m < 2:
-            return
-        sizes, blocks, leaves, sets = zip(*(self.rows[r] for r in reps.tolist()), strict=True)
-        lengths = np.array([len(s) for s in sets])
-        rows = np.repeat(np.arange(m), lengths)
-        tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        use = times[at] > 1  # a token of one set is in no intersection
-        place = np.cumsum(times > 1) - 1
-        rows, at = rows[use], place[at[use]]
-        shared = np.zeros((m, m), np.float32)
-        order = np.argsort(at, kind="stable")
-        rows, at = rows[order], at[order]
-        width = int(at[-1]) + 1 if len(at) else 0
-        for start in range(0, width, COLUMNS):
-            low, high = np.searchsorted(at, [start, start + COLUMNS])
-            part = np.zeros((m, min(COLUMNS, width - start)), np.float32)
-            part[rows[low:high], at[low:high] - start] = 1
-            shared += part @ part.T
-        union = lengths[:, None] + lengths[None, :] - shared
-        linked = np.triu(shared >= threshold * union - 1e-6, 1)
-        if one != two:  # inside the blocks others compare
-            blocks = np.array(blocks)
-            linked &= blocks[:, None] != blocks[None, :]
-        p, q = np.nonzero(linked)
-        if not len(p):
-            return
-        counts, root = tally(leaf, leaves, np.array(sizes, np.int64), p, q)
-        touched = np.zeros(m, bool)
-        touched[p] = touched[q] = True
-        for k in np.flatnonzero(touched):
-            yield int(reps[k]), int(counts[k]), int(reps[root[k]])
+    first = small(write(written.groupBy("members", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf").distinct(), "first"))
+    return written.join(first, "leaf").select("leaf", "members", "shingles", "key")
+
+
+def _incidence(sets: list[np.ndarray]) -> np.ndarray:
+    """For each two sets the number of shingles they share."""
+    m = len(sets)
+    rows = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = times[at] > 1  # a token of one set is in no intersection
+    place = np.cumsum(times > 1) - 1
+    rows, at = rows[use], place[at[use]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    shared = np.zeros((m, m), np.float32)
+    width = int(at[-1]) + 1 if len(at) else 0
+    for start in range(0, width, COLUMNS):
+        low, high = np.searchsorted(at, [start, start + COLUMNS])
+        part = np.zeros((m, min(COLUMNS, width - start)), np.float32)
+        part[rows[low:high], at[low:high] - start] = 1
+        shared += part @ part.T
+    return shared
 
 
 def _compare(rows: DataFrame, threshold: float, words: int) -> DataFrame:
-    """rows: leaf, one, two, block, rep, size, a, b, leaves, text; sorted by (leaf, one, two) within partitions."""
+    """rows: leaf, one, two, block, key, size, a, b, leaves, text; sorted by (leaf, one, two) within partitions."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
-        names = ("rep", "links", "root")
-
-        def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-        for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            columns = [batch.column(i).to_pylist() for i in range(9)]
-            for leaf, one, two, block, rep, size, a, b, leaves, shingles in zip(*columns, shingle_sets(batch.column(9), words), strict=True):
-                if current is None or current.key != (leaf, one, two):
-                    if current is not None:
-                        found += current.compare(threshold)
-                    current = _Leaf((leaf, one, two))
-                if _set_hashes(shingles) == (a, b):  # else another row of the same id
-                    current.add(rep, size, block, leaves, shingles)
-            yield out(found)
-        if current is not None:
-            yield out(list(current.compare(threshold)))
-
-    return rows.mapInArrow(run, "rep long, links long, root long")
-
-
-def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+        for held in groups(batches, 3):
+            leaf, one, two = (held.column(i)[0].as_py() for i in range(3))
+            marks = zip(held.column(4).to_pylist(), held.column(6).to_pylist(), held.column(7).to_pylist(), strict=True)
+            sets, chosen, seen = [], [], set()
+            for i, ((key, a, b), found) in enumerate(zip(marks, shingle_sets(held.column(9), words), strict=True)):
+                # Another row of the same id has another set; equal rows of one id come once.
+                if key not in seen and _set_hashes(found) == (a, b):
+                    seen.add(key)
+                    sets.append(found)
+                    chosen.append(i)
+            if len(sets) < 2:
+                continue
+            held = held.take(pa.array(chosen))
+            lengths, shared = np.array([len(s) for s in sets]), _incidence(sets)
+            linked = shared >= threshold * (lengths[:, None] + lengths[None, :] - shared) - 1e-6
+            np.fill_diagonal(linked, False)
+            if one != two:  # inside the blocks others compare
+                block = held.column(3).to_numpy()
+                linked &= block[:, None] != block[None, :]
+            if linked.any():
+                key, size = held.column(4).to_numpy(), held.column(5).to_numpy()
+                yield results(key, *tally(leaf, held.column(8), size, linked), linked)
+
+    return rows.mapInArrow(run, "key long, links long, root long")
+
+
+def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(id, n, a, b, rep, size, links, component): one row for each row of docs.
 
     doc_id is a whole number. rep is the smallest id among the rows with the same set, size their number,
     links the number of other rows whose similarity reaches the threshold, component the smallest id
     reachable by links. Null, empty and blank texts and rows without an id link with nothing: their
-    rep is null, size 1, links 0 and component their own id. An empty table gives an empty frame.
+    rep is null, size 1, links 0 and component their own id. Rows that share an id are rows of their
+    own, each with its own text. Other columns, whatever their names, are not read. An empty table
+    gives an empty frame.
     """
     spark = docs.sparkSession
     sketch = write(_sketch(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", words), "sketch").df
-    classes = write(
-        sketch.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("paths").alias("paths")), "classes"
-    ).df
-    # Rows of one id with different texts are classes of the same name: the second name is dropped from the search, not the rows.
-    leaves = write(_leaves(classes.select("rep", "paths")), "members").df
-    lists = leaves.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("leaf", "n"))).alias("leaves"))
-    wanted = small(write(classes.select("rep", "size", "a", "b").join(lists, "rep"), "wanted"))
+    found = sketch.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("paths").alias("paths"))
+    # The number of a class is its own: two texts of one id are two classes. Written once, so it stays.
+    classes = write(found.withColumn("key", F.monotonically_increasing_id()), "classes").df
+    leaves = write(_leaves(classes.select("key", "n", "paths"), split), "members").df
+    lists = leaves.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("leaf", "members", "shingles"))).alias("leaves"))
+    wanted = small(write(classes.select("rep", "key", "size", "a", "b").join(lists, "key"), "wanted"))
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
     leaf = F.col("at.leaf")
-    blocks = F.ceil(F.col("at.n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep", leaf), blocks).cast("int")
-    spread = texts.select("rep", "size", "a", "b", F.col("leaves.leaf").alias("leaves"), "text", F.explode("leaves").alias("at"))
-    spread = spread.select("*", leaf.alias("leaf"), block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "size", "a", "b", "leaves", "text")
+    blocks = F.greatest(F.ceil(F.col("at.members") / block), F.ceil(F.col("at.shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("key", leaf), blocks).cast("int")
+    spread = texts.select("key", "size", "a", "b", F.col("leaves.leaf").alias("leaves"), "text", F.explode("leaves").alias("at"))
+    spread = spread.select("*", leaf.alias("leaf"), own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "size", "a", "b", "leaves", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spread.repartition(parts, "leaf", "one", "two").sortWithinPartitions("leaf", "one", "two")
-    found = write(_compare(dealt, threshold, words), "found").df
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    decided = classes.select("n", "a", "b", "rep", "size").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    decided = small(write(decided, "decided"))
-    rows = sketch.select("id", "n", "a", "b").join(decided, ["n", "a", "b"], "left")
+    compared = write(_compare(dealt, threshold, words), "found").df
+    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
+    component = smallest_ids(components(compared.select(F.col("key").alias("a"), F.col("root").alias("b"))), classes)
+    decided = classes.select("n", "a", "b", "key", "rep", "size").join(links, "key", "left").join(component, "key", "left").drop("key")
+    rows = sketch.select("id", "n", "a", "b").join(small(write(decided, "decided")), ["n", "a", "b"], "left")
     known = F.col("id").isNotNull() & (F.col("n") > 0)
     return rows.select(
         "id",

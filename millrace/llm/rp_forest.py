@@ -4,19 +4,19 @@ Vectors are compared only with those of the same label and dimension. Each of TR
 vectors again and again by a random direction at the median of the projections, with spill: vectors
 within SPILL of the split go to both sides, so that a pair above the threshold is rarely parted. Trees
 grow in rounds: every node with more than LEAF vectors is given a subtree of up to DEPTH levels, fitted
-on at most SAMPLE of its vectors chosen by a hash, and all of its vectors are sent down. Any number of
+on about SAMPLE of its vectors chosen by a hash, and all of its vectors are sent down. Any number of
 vectors takes a few rounds, and a sample is the only thing that a task holds of a node.
 
 A node whose spill would keep nearly all vectors on both sides is dense and becomes a leaf, however
-large. Leaves of more than BLOCK vectors are compared in pairs of blocks. So every leaf is compared
-whole, in double precision, and pairs at or above the threshold are links.
+large. Of leaves with the same members one is compared. Leaves of more than BLOCK vectors are compared
+in pairs of blocks. So every leaf is compared whole, in double precision, and pairs at or above the
+threshold are links.
 
 Equal vectors (same label) are one class with a size and are never expanded into pairs.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,200 +24,192 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from millrace.llm.components import components
-from millrace.llm.leaf_pairs import tally
-from millrace.llm.scratch import small, write
+from millrace.llm.components import components, smallest_ids
+from millrace.llm.leaf_pairs import groups, results, tally
+from millrace.llm.polyhash import mix
+from millrace.llm.scratch import lean, small, write
 
 THRESHOLD = 0.93
 TREES = 8
 LEAF, BLOCK = 512, 1024
-SAMPLE, DEPTH, ROUNDS = 4096, 8, 12
-#: Half the width of the spill zone, for unit vectors (a pair at the threshold is 0.37 apart; its projections differ by 0.05 in 64 dimensions).
+SAMPLE, DEPTH, ROUNDS = 4096, 6, 16
+#: Inner places of a subtree; the children of place p are 2p + 1 and 2p + 2.
+INNER = 2**DEPTH - 1
+#: Half the width of the spill zone, for unit vectors (a pair at the threshold is 0.37 apart; its
+#: projections differ by 0.05 in 64 dimensions).
 SPILL = 0.045
 #: A node is dense if a side would hold more than this share of it.
 DENSE = 0.9
+#: Fewer sampled vectors than this are not split.
+LEAST_SAMPLE = 64
 
 
-def _unit(flat: pa.Array, n: int) -> np.ndarray:
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+def _unit(lists: pa.ListArray) -> np.ndarray:
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _direction(node: int, dims: int) -> np.ndarray:
-    """The random direction of a node: its number is the seed."""
-    x = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF).normal(size=dims)
-    return x / np.linalg.norm(x)
-
-
-def _child(node: int, side: int) -> int:
-    return int(np.int64(np.uint64((node * 2654435761 + side * 40503 + 12345) & 0xFFFFFFFFFFFFFFFF)))
-
+def _directions(root: int, dims: int) -> np.ndarray:
+    """The random directions of a subtree, one for each inner place: the root's number is the seed."""
+    x = np.random.default_rng(root & 0x7FFFFFFFFFFFFFFF).normal(size=(INNER, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def _fit(node: int, x: np.ndarray, rows: float, depth: int, splits: dict[int, float]) -> None:
-    """Splits of the subtree at node: median of the sample x, which stands for rows vectors."""
-    if depth == 0 or rows <= LEAF or len(x) < 64:
-        return
-    at = x @ _direction(node, x.shape[1])
-    cut = float(np.median(at))
-    left, right = at <= cut + SPILL, at >= cut - SPILL
-    if max(left.mean(), right.mean()) > DENSE:
-        return
-    splits[node] = cut
-    for side, inside in ((0, left), (1, right)):
-        _fit(_child(node, side), x[inside], rows * inside.mean(), depth - 1, splits)
 
+def _names(root: int) -> np.ndarray:
+    """The numbers of all places of the subtree at root."""
+    return np.append(np.int64(root), mix(np.arange(1, 2 * INNER + 1, dtype=np.uint64) * np.uint64(2654435761) ^ np.uint64(root & (1 << 64) - 1)).astype(np.int64))
+
+
+def _fit(root: int, x: np.ndarray, rows: float, leaf: int) -> np.ndarray:
+    """The cuts of the subtree at root, NaN where it ends: medians of the sample x, which stands for rows vectors."""
+    at = x @ _directions(root, x.shape[1]).T
+    cuts = np.full(INNER, np.nan, np.float32)
+    held = {0: (np.arange(len(x)), rows)}
+    for place in range(INNER):
+        own, n = held.pop(place, (np.zeros(0, np.int64), 0.0))
+        if n <= leaf or len(own) < LEAST_SAMPLE:
+            continue
+        here = at[own, place]
+        cut = np.float32(np.median(here))
+        left, right = here <= cut + SPILL, here >= cut - SPILL
+        if max(left.mean(), right.mean()) > DENSE:
+            continue
+        cuts[place] = cut
+        held[2 * place + 1], held[2 * place + 2] = (own[left], n * left.mean()), (own[right], n * right.mean())
+    return cuts
+
+
+def _route(root: int, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x and the numbers of their end nodes; a row within the spill zone has several."""
+    at = x @ _directions(root, x.shape[1]).T
+    cuts = np.append(cuts, np.full(INNER + 1, np.nan))
+    rows, places = np.arange(len(x)), np.zeros(len(x), np.int64)
+    ended = []
+    while len(rows):
+        cut = cuts[places]
+        ends = np.isnan(cut)
+        ended.append((rows[ends], places[ends]))
+        rows, places, cut = rows[~ends], places[~ends], cut[~ends]
+        here = at[rows, places]
+        left, right = here <= cut + SPILL, here >= cut - SPILL
+        rows, places = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * places[left] + 1, 2 * places[right] + 2])
+    rows, places = (np.concatenate(z) for z in zip(*ended, strict=True))
+    return rows, _names(root)[places]
+
+
+def _grow(rows: DataFrame, leaf: int) -> DataFrame:
+    """From (key, vec, node) of the roots to (key, node, n, x, y) of the leaves: n members, x and y hashes of their set."""
+    leaves = None
+    kind = rows.schema["vec"].dataType.simpleString()
+    marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")
 
-def _route(node: int, x: np.ndarray, rows: np.ndarray, splits: dict[int, float]) -> Iterator[tuple[int, np.ndarray]]:
-    """The end nodes of the rows of x."""
-    if not len(rows):
-        return
-    if node not in splits:
-        yield node, rows
-        return
-    at = x[rows] @ _direction(node, x.shape[1])
-    yield from _route(_child(node, 0), x, rows[at <= splits[node] + SPILL], splits)
-    yield from _route(_child(node, 1), x, rows[at >= splits[node] - SPILL], splits)
+    def fit(found: pd.DataFrame) -> pd.DataFrame:
+        node = int(found["node"].iloc[0])
+        x = np.stack(found["vec"].to_numpy()).astype(np.float64)
+        cuts = _fit(node, x / np.linalg.norm(x, axis=1, keepdims=True), float(found["n"].iloc[0]), leaf)
+        return pd.DataFrame({"node": [node], "cuts": [None if np.isnan(cuts[0]) else cuts]})
 
+    @lean
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, lists = batch.column(0).to_numpy(), batch.column(3)
+            order = np.argsort(node, kind="stable")
+            takes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(node) else ():
+                cuts = batch.column(1)[int(own[0])].values.to_numpy()
+                inside, ends = _route(int(node[own[0]]), _unit(lists.take(pa.array(own))), cuts)
+                takes.append(own[inside])
+                names.append(ends)
+            take = pa.array(np.concatenate(takes))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(take), lists.take(take), pa.array(np.concatenate(names))], ["key", "vec", "node"])
 
-def _grow(rows: DataFrame) -> DataFrame:
-    """From (rep, vec, node) of the roots to (rep, node, n) of the leaves, n being the vectors in the leaf."""
-    leaves = None
-    kind = rows.schema["vec"].dataType.simpleString()
-    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     for _ in range(ROUNDS):
-        sized = write(counts, "nodes")
-        large = small(write(sized.df.where(F.col("n") > LEAF), "large"))
-        settled = rows.join(small(sized), "node").where(F.col("n") <= LEAF).select("rep", "node", "n")
+        sized = write(rows.groupBy("node").agg(*marks), "nodes")
+        settled = rows.join(small(sized), "node").where(F.col("n") <= leaf).select("key", "node", "n", "x", "y")
         leaves = settled if leaves is None else leaves.unionByName(settled)
-        if sized.df.where(F.col("n") > LEAF).isEmpty():
+        large = write(sized.df.where(F.col("n") > leaf), "large")
+        if large.df.isEmpty():
             return leaves
-        chosen = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep"))
-        sample = rows.join(large, "node").withColumn("r", chosen).where(F.col("r") <= SAMPLE).select("node", "n", "vec")
-
-        def fit(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(found["vec"].to_numpy()).astype(np.float64)
-            splits: dict[int, float] = {}
-            _fit(int(key[0]), x / np.linalg.norm(x, axis=1, keepdims=True), float(found["n"].iloc[0]), DEPTH, splits)
-            return pd.DataFrame({"node": [key[0]], "splits": [pickle.dumps(splits) if splits else None]})
-
-        trees = write(sample.groupBy("node").applyInPandas(fit, "node long, splits binary"), "trees")
+        # Each vector by its own hash, so a sample needs no sort and no window over its node.
+        chance = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
+        sample = rows.join(small(large), "node").where(chance).select("node", "n", "vec")
+        trees = write(large.df.select("node", "n", "x", "y").join(sample.groupBy("node").applyInPandas(fit, "node long, cuts array<float>"), "node", "left"), "trees")
         # Dense nodes have no split: leaves as they are.
-        dense = rows.join(small(trees), "node").where("splits IS NULL").select("rep", "node").join(large, "node")
-        leaves = leaves.unionByName(dense.select("rep", "node", "n"))
-        going = rows.join(small(trees), "node").where("splits IS NOT NULL").select("node", "splits", "rep", "vec")
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                node = batch.column(0).to_numpy()
-                splits = batch.column(1).dictionary_encode()
-                which = splits.indices.to_numpy()
-                lists = batch.column(3)
-                x = _unit(lists.flatten(), len(lists)) if len(lists) and len(set(np.diff(lists.offsets.to_numpy()))) == 1 else None
-                parts, names = [], []
-                for k in range(len(splits.dictionary)):
-                    tree = pickle.loads(splits.dictionary[k].as_py())
-                    for root in np.unique(node[which == k]):
-                        own = np.flatnonzero((which == k) & (node == root))
-                        vectors = x if x is not None else np.zeros((len(node), 0))
-                        if x is None:  # dimensions differ within the batch
-                            some = _unit(lists.take(pa.array(own)).flatten(), len(own))
-                            vectors = np.zeros((len(node), some.shape[1]))
-                            vectors[own] = some
-                        for end, inside in _route(int(root), vectors, own, tree):
-                            parts.append(inside)
-                            names.append(np.full(len(inside), end, np.int64))
-                take = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(take), lists.take(take), pa.array(np.concatenate(names) if names else np.zeros(0, np.int64))], ["rep", "vec", "node"])
-
-        rows = write(going.mapInArrow(route, f"rep long, vec {kind}, node long"), "rows").df
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return leaves.unionByName(rows.join(counts, "node").select("rep", "node", "n"))
+        leaves = leaves.unionByName(rows.join(small(trees), "node").where("cuts IS NULL").select("key", "node", "n", "x", "y"))
+        going = rows.join(small(trees), "node").where("cuts IS NOT NULL").select("node", "cuts", "key", "vec")
+        rows = write(going.mapInArrow(route, f"key long, vec {kind}, node long"), "rows").df
+    return leaves.unionByName(rows.join(rows.groupBy("node").agg(*marks), "node").select("key", "node", "n", "x", "y"))
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: leaf, one, two, block, rep, size, leaves, vec; sorted by (leaf, one, two) within partitions."""
-
-    def links(key: tuple, held: list) -> list[tuple[int, int, int]]:
-        held.sort(key=lambda r: r[1])
-        blocks, reps, sizes, leaves, vecs = zip(*held, strict=True)
-        x = np.array(vecs, np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        linked = np.triu(x @ x.T >= threshold, 1)
-        if key[1] != key[2]:
-            of = np.array(blocks)
-            linked &= of[:, None] != of[None, :]
-        p, q = np.nonzero(linked)
-        if not len(p):
-            return []
-        counts, root = tally(key[0], list(leaves), np.array(sizes, np.int64), p, q)
-        touched = np.unique(np.concatenate([p, q]))
-        return [(reps[k], int(counts[k]), reps[root[k]]) for k in touched.tolist()]
+    """rows: leaf, one, two, block, key, size, leaves, vec; sorted by (leaf, one, two) within partitions."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def out(found: list) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "root"])
-
-        for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            lists = batch.column(7)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for at, (leaf, one, two, block, rep, size, leaves) in enumerate(zip(*columns, strict=True)):
-                if current != (leaf, one, two):
-                    if len(held) > 1:
-                        found += links(current, held)
-                    current, held = (leaf, one, two), []
-                held.append((block, rep, size, leaves, flat[offsets[at] : offsets[at + 1]]))
-            yield out(found)
-        if len(held) > 1:
-            yield out(links(current, held))
-
-    return rows.mapInArrow(run, "rep long, links long, root long")
-
-
-def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str | None = "label", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+        for held in groups(batches, 3):
+            if len(held) < 2:
+                continue
+            leaf, one, two = (held.column(i)[0].as_py() for i in range(3))
+            block, key, size = (held.column(i).to_numpy() for i in range(3, 6))
+            x = _unit(held.column(7))
+            linked = x @ x.T >= threshold
+            np.fill_diagonal(linked, False)
+            if one != two:  # inside the blocks others compare
+                linked &= block[:, None] != block[None, :]
+            if linked.any():
+                yield results(key, *tally(leaf, held.column(6), size, linked), linked)
+
+    return rows.mapInArrow(run, "key long, links long, root long")
+
+
+def near_duplicates(
+    table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str | None = "label", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of the table.
 
     vec_id is a whole number. n_links: other rows linked directly; component_id: the smallest id
     reachable. Rows with a null id, a null label, or a vector that is null, empty, zero or holds null or
-    non-finite components link with nothing: 0 links, their own component, kept. An empty table gives
-    an empty frame.
+    non-finite components link with nothing: 0 links, their own component, kept. Rows that share an id
+    are rows of their own, each with its own vector and label; kept says that the row's id is its
+    component's. Equal vectors are linked and never compared. Other columns, whatever their names, are
+    not read. An empty table gives an empty frame.
     """
     spark = table.sparkSession
     # Single precision stays as it is while stored and sent; all arithmetic is in double precision.
     single = table.schema[embedding].dataType.simpleString() == "array<float>"
     vec = F.col(embedding).cast("array<float>" if single else "array<double>")
     fine = F.col(vec_id).isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False))
-    fine &= F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine &= F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
     kind = F.xxhash64(F.size(vec), F.col(label)) if label else F.xxhash64(F.size(vec))
     if label:
         fine &= F.col(label).isNotNull()
     plain = table.select(F.col(vec_id).cast("long").alias("id"), vec.alias("vec"), kind.alias("kind"), fine.alias("fine"))
     mark = [F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), "vec").alias("b")]
     marked = plain.select("id", "vec", "kind", "fine", *mark)
-    classes = write(marked.where("fine").groupBy("kind", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("vec").alias("vec")), "classes").df
-    roots = classes.select("rep", "vec", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64("kind", t))).alias("node"))
-    members = write(_grow(roots), "leaves").df.where("n > 1")
-    lists = members.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("leaves"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(small(write(lists, "lists")), "rep").join(classes.select("rep", "size", "vec"), "rep")
-    placed = placed.select("*", F.pmod(F.xxhash64("rep", "node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select(F.col("node").alias("leaf"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "size", "leaves", "vec")
+    found = marked.where("fine").groupBy("kind", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("vec").alias("vec"))
+    # The number of a class is its own: two vectors of one id are two classes. Written once, so it stays.
+    classes = write(found.withColumn("key", F.monotonically_increasing_id()), "classes").df
+    roots = classes.select("key", "vec", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64("kind", t))).alias("node"))
+    members = write(_grow(roots, leaf).where("n > 1"), "leaves").df
+    first = small(write(members.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node").distinct(), "first"))
+    members = members.join(first, "node").select("key", "node", "n")
+    lists = members.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("leaves"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.join(small(write(lists, "lists")), "key").join(classes.select("key", "size", "vec"), "key")
+    placed = placed.select("*", F.pmod(F.xxhash64("key", "node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select(F.col("node").alias("leaf"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "size", "leaves", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = write(_compare(placed.repartition(parts, "leaf", "one", "two").sortWithinPartitions("leaf", "one", "two"), threshold), "found").df
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    decided = write(classes.select("kind", "a", "b", "rep", "size").join(links, "rep", "left").join(groups, "rep", "left"), "decided")
+    compared = write(_compare(placed.repartition(parts, "leaf", "one", "two").sortWithinPartitions("leaf", "one", "two"), threshold), "found").df
+    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
+    component = smallest_ids(components(compared.select(F.col("key").alias("a"), F.col("root").alias("b"))), classes)
+    decided = write(classes.select("kind", "a", "b", "key", "rep", "size").join(links, "key", "left").join(component, "key", "left"), "decided")
     rows = marked.select("id", "kind", "a", "b", "fine").join(small(decided), ["kind", "a", "b"], "left")
-    component = F.when(F.col("fine"), F.coalesce("component", "rep")).otherwise(F.col("id"))
+    found = F.when(F.col("fine"), F.coalesce("component", "rep")).otherwise(F.col("id"))
     return rows.select(
         F.col("id").alias("vec_id"),
         F.when(F.col("fine"), F.coalesce("links", F.lit(0)) + F.col("size") - 1).otherwise(0).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        found.alias("component_id"),
+        found.eqNullSafe(F.col("id")).alias("kept"),
     )
