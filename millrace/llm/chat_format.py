@@ -1,9 +1,10 @@
 r"""Chat formatting: records of many layouts become canonical turns, and turns one marked text.
 
-A record is a JSON object. Its fingerprint is the hash of its nested field paths (leaf types left out),
-and it selects a declarative mapping: the type to read the record as, and the expression that makes
-turns of it. Records of an unknown layout, null records and records that are no JSON have null turns.
-A long record is fingerprinted by its outline, so its length does not matter.
+A record is a JSON object. Its fingerprint is the hash of its nested field paths (leaf types left out,
+and fields that no mapping reads, such as an id or a date), and it selects a declarative mapping: the
+type to read the record as, and the expression that makes turns of it. Records of an unknown layout,
+with an empty list of messages, null records and records that are no JSON have null turns. A long
+record is fingerprinted by its outline, so its length does not matter.
 
 Template: every turn is "### role: text </turn>" and a new line. In texts and roles each backslash, #
 and < gets a backslash before it (in roles : as well), so no control string of the template can occur
@@ -15,6 +16,7 @@ as the record itself; nothing else is gathered.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import Window as W
 
 HEAD, TAIL = "### ", " </turn>\n"
 #: Leaf types in the schema of a JSON value.
-_LEAF = r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
+_LEAF = r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
 #: Longer records (in characters) are fingerprinted by their outline: a variant has a largest size, and its parser a longest string.
 WHOLE = 1 << 20
@@ -83,15 +85,31 @@ def outline(record: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(record, _VALUE, '$1""'), _SAME, "$1")
 
 
-def fingerprint(record: Column) -> Column:
-    """The hash of a JSON record's nested field paths; null for what is no JSON."""
+#: The fields that the mappings read. Others, of up to three levels, are left out of a fingerprint.
+FIELDS = sorted({field for layout in LAYOUTS for field in re.findall(r"(\w+):", layout.paths)})
+_OTHER = rf"(?<=[< ])(?!(?:{'|'.join(FIELDS)}):)[\w-]+: (?:ARRAY<(?:_|OBJECT<>)>|_|OBJECT<>)(?:, |(?=>))"
+
+
+def paths_of(record: Column) -> Column:
+    """The nested field paths of a JSON record that mappings read; null for what is no JSON."""
     short = F.when(F.length(record) <= WHOLE, record).otherwise(outline(record))
     paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(short)), _LEAF, "_")
-    return F.xxhash64(F.when(paths.isNotNull(), paths)).alias("fingerprint")
+    for _ in range(3):
+        paths = F.regexp_replace(F.regexp_replace(paths, _OTHER, ""), ", >", ">")
+    return paths
+
+
+def fingerprint(record: Column) -> Column:
+    """The hash of a JSON record's nested field paths; null for what is no JSON."""
+    paths = paths_of(record)
+    return F.when(paths.isNotNull(), F.xxhash64(paths)).alias("fingerprint")
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
-    """records with the column turns, array<struct<role: string, text: string>>: null texts and roles are empty."""
+    """records with the column turns, array<struct<role: string, text: string>>: null texts and roles are empty.
+
+    A column turns that records has already is replaced.
+    """
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     mark = fingerprint(F.col(record))
     for layout in LAYOUTS:
@@ -133,7 +151,8 @@ def format_turns(turned: DataFrame, key: str) -> DataFrame:
 def parse_formatted(formatted: Column) -> Column:
     """The turns of a formatted text, exactly as they were."""
     pieces = F.filter(F.split(formatted, r" </turn>\n"), lambda x: x != "")
-    role = lambda x: F.regexp_extract(x, r"(?s)^### ([^:\\]*(?:\\.[^:\\]*)*): ", 1)
+    # Possessive, so a role of any length needs no stack.
+    role = lambda x: F.regexp_extract(x, r"(?s)^### ([^:\\]*+(?:\\.[^:\\]*+)*+): ", 1)
     return F.transform(
         pieces, lambda x: F.struct(_unescape(role(x)).alias("role"), _unescape(F.substring(x, F.length(role(x)) + F.lit(len(HEAD) + 3), F.length(x))).alias("text"))
     )
@@ -144,17 +163,22 @@ def loss_text(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: _unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-def records_of_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def records_of_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", record: str = "record") -> DataFrame:
     """(key, record): the turns of each key in order, as a JSON record of messages. Equal turns go by role, then text; null text: empty."""
     value = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col(key).alias(key)).agg(F.sort_array(F.collect_list(value)).alias("m"))
-    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
-    return grouped.select(key, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    grouped = rows.groupBy(F.col(key).alias("_mr_key")).agg(F.sort_array(F.collect_list(value)).alias("_mr_turns"))
+    messages = F.transform("_mr_turns", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    return grouped.select(F.col("_mr_key").alias(key), F.to_json(F.struct(messages.alias("messages"))).alias(record))
 
 
 def digests(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Format the conversations of turn rows, and digest what is read back from the output. A conversation without turns is an error."""
-    turned = canonical_turns(records_of_rows(rows, key))
+    """Format the conversations of turn rows, and digest what is read back from the output.
+
+    Rows with a null key are one conversation. Repeated rows are turns of their own; turns with the same
+    number go by role, then text. Other columns, whatever their names, are not read. An empty table gives
+    an empty frame. A conversation without turns is an error.
+    """
+    turned = canonical_turns(records_of_rows(rows, key, record="_mr_record"), "_mr_record")
     none = F.raise_error(F.concat(F.lit("no turns read of conversation "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     made = format_turns(turned.withColumn("turns", F.coalesce("turns", none)), key)
     back = made.select(key, parse_formatted(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("learned"), "formatted")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, exact_dedup, jaccard, licenses, line_dedup, mixing, rp_forest, sentencepiece_bpe, suffix_dedup, toxicity
 
@@ -19,8 +20,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    text = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    text = F.lit(r"\### Assistant: </turn> ok")
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)").withColumn("text", text)
     return chat_format.digests(rows.unionByName(extra))
 
 
