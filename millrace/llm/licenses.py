@@ -11,6 +11,8 @@ All of it is one projection of DataFrame functions over each row: no shuffle, no
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,47 @@ SENTENCES = {
         "licensed under the gnu general public license version 3",
         "released under the gnu general public license version 3",
         "spdx license identifier gpl 3 0 only",
+        "spdx license identifier gpl 3 0 or later",
+    ],
+    "gpl2_short": [
+        "this work is licensed under the gnu general public license version 2",
+        "licensed under the gnu general public license version 2",
+        "released under the gnu general public license version 2",
+        "spdx license identifier gpl 2 0 only",
+        "spdx license identifier gpl 2 0 or later",
+    ],
+    "gpl2_terms": [
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    ],
+    "lgpl21_short": ["licensed under the gnu lesser general public license version 2 1", "spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1 or later"],
+    "lgpl21_terms": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"
+    ],
+    "lgpl3_short": ["licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3 0 only", "spdx license identifier lgpl 3 0 or later"],
+    "lgpl3_terms": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "agpl3_short": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0 only", "spdx license identifier agpl 3 0 or later"],
+    "agpl3_terms": [
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "gpl_library": ["this library is free software"],
+    "mpl_terms": ["this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license version 2 0"],
+    "mpl_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
+    "mpl_short": ["licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
+    "isc_grant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "isc_short": ["licensed under the isc license", "released under the isc license", "spdx license identifier isc"],
+    "bsd2_short": ["licensed under the bsd 2 clause license", "spdx license identifier bsd 2 clause"],
+    "bsd3_short": ["licensed under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
+    "epl_short": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "licensed under the eclipse public license 2 0",
+        "spdx license identifier epl 2 0",
     ],
     "gpl3_terms": [
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
@@ -64,12 +107,36 @@ RULES = [
     ("Apache-2.0", ("apache_short", "apache_use", "apache_copy", "apache_warranty")),
     ("Apache-2.0", ("apache_short", "apache_use", "apache_copy")),
     ("Apache-2.0", ("apache_short",)),
+    ("AGPL-3.0", ("gpl_program", "agpl3_terms", "gpl_hope", "gpl_implied")),
+    ("AGPL-3.0", ("agpl3_terms",)),
+    ("AGPL-3.0", ("agpl3_short",)),
+    ("LGPL-2.1", ("gpl_library", "lgpl21_terms", "gpl_hope", "gpl_implied")),
+    ("LGPL-2.1", ("lgpl21_terms",)),
+    ("LGPL-2.1", ("lgpl21_short",)),
+    ("LGPL-3.0", ("gpl_library", "lgpl3_terms", "gpl_hope", "gpl_implied")),
+    ("LGPL-3.0", ("lgpl3_terms",)),
+    ("LGPL-3.0", ("lgpl3_short",)),
+    ("GPL-2.0", ("gpl_program", "gpl2_terms", "gpl_hope", "gpl_implied")),
+    ("GPL-2.0", ("gpl_program", "gpl2_terms")),
+    ("GPL-2.0", ("gpl2_terms",)),
+    ("GPL-2.0", ("gpl2_short",)),
     ("GPL-3.0", ("gpl_program", "gpl3_terms", "gpl_hope", "gpl_implied")),
     ("GPL-3.0", ("gpl_program", "gpl3_terms")),
     ("GPL-3.0", ("gpl3_terms",)),
     ("GPL-3.0", ("gpl3_short",)),
+    ("BSD-3-Clause", ("rights", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
+    ("BSD-2-Clause", ("rights", "bsd_grant", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("BSD-3-Clause", ("bsd3_short",)),
+    ("BSD-2-Clause", ("bsd2_short",)),
+    ("MPL-2.0", ("mpl_terms", "mpl_copy")),
+    ("MPL-2.0", ("mpl_terms",)),
+    ("MPL-2.0", ("mpl_short",)),
+    ("ISC", ("isc_grant",)),
+    ("ISC", ("isc_short",)),
+    ("EPL-2.0", ("epl_short",)),
+    ("Unlicense", ("unlicense",)),
     ("CC-BY-NC-4.0", ("cc_by_nc",)),
     ("CC-BY-SA-4.0", ("cc_by_sa",)),
     ("CC-BY-4.0", ("cc_by",)),
@@ -78,8 +145,14 @@ RULES = [
 ]
 
 
+#: Each known sentence holds one of these, so a text without them is not cut.
+TRIGGERS = ("licen", "software", "permission", "redistribut", "warrant", "rights", "copyright", "copy", "domain")
+if missed := [s for known in SENTENCES.values() for s in known if not any(t in s for t in TRIGGERS)]:
+    raise ValueError(f"sentences without a trigger: {missed}")
+
+
 def sentence_ids(text: Column, lines: bool) -> Column:
-    """The known sentences of a text in order, as one string of <identifier>."""
+    """The known sentences of a text in order, as one string of <identifier>. A literal | ends a sentence as well."""
     ends = r"[.!?;:]+(?=\s|$)|\n" if lines else r"[.!?;:]+(?=\s|$)|\n\s*\n"
     clean = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ends, "|"), r"[^a-z0-9|]+", " ")
     known = F.create_map(*[F.lit(x) for name, sentences in SENTENCES.items() for s in sentences for x in (s, f"<{name}>")])
@@ -103,9 +176,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row for each row of docs: doc_id, sentences (identifiers in order), n_matches, licenses (array, in the order of the rules).
 
     A rule's matches are the larger number of the two ways of cutting. Null and empty texts have no
-    licences; equal rows are each returned.
+    licences; equal rows, and rows that share an id, are each returned. Other columns, whatever their
+    names, are not read. An empty table gives an empty frame.
     """
-    ids = docs.select(F.col(doc_id).alias("doc_id"), sentence_ids(F.col(text), True).alias("a"), sentence_ids(F.col(text), False).alias("b"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    any_known = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in TRIGGERS])
+    cut = [F.when(any_known, sentence_ids(F.col(text), lines)).otherwise("") for lines in (True, False)]
+    ids = docs.select(F.col(doc_id).alias("doc_id"), cut[0].alias("a"), cut[1].alias("b"))
     none = F.array().cast("array<struct<rule: int, times: int>>")
     # Most texts hold no known sentence; the rules are tried on the others only.
     rules = [F.when(F.col(c) != "", F.filter(_matched(F.col(c)), lambda x: x["times"] > 0)).otherwise(none) for c in ("a", "b")]
