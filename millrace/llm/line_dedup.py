@@ -1,8 +1,9 @@
 """Line deduplication with a deletion-neighbourhood join.
 
 A line is dropped if an earlier line (smaller doc_id, or the same document and a smaller line number)
-is equal, or within one edit (insertion, deletion or substitution of a character). Lines of fewer than
-MIN_CHARS characters match only when equal; blank lines always stay.
+is equal, or within one edit (insertion, deletion or substitution of a character), whether that earlier
+line itself stays or not: so a chain of lines, each an edit from the one before, leaves its first. Blank
+lines (of white space in any script, a carriage return too) always stay.
 
 1. Equal lines are grouped by 128 bits of hash; each distinct line has its first place.
 2. Two lines within one edit agree in the first or in the second half (of the shorter one). Distinct
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from millrace.llm.polyhash import Poly, mix
 from millrace.llm.scratch import small, write
 
-MIN_CHARS = 20
 _POLY = Poly(91)
 _PLACE = ["k", "tie", "at"]
 _NO_ID = -(1 << 63)
+#: A line with this is not blank.
+_INK = r"(?U)[^\s\p{Zs}\p{Zl}\p{Zp}\x1c-\x1f]"
 
 
 def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +78,12 @@ def _halves(line: Column, n: Column) -> list[Column]:
     return out
 
 
-def near_lines(first: DataFrame, keyed: DataFrame) -> DataFrame:
+def near_lines(first: DataFrame, keyed: DataFrame, least_chars: int = 1) -> DataFrame:
     """Of distinct lines (a, b, n, halves, k, tie, at of the first place) those with an earlier line within one edit: (a, b).
 
     keyed: (k, tie, text), to read the lines that are not settled.
     """
-    spread = first.where(F.col("n") >= MIN_CHARS).select("a", "b", F.explode("halves").alias("half"))
+    spread = first.where(F.col("n") >= least_chars).select("a", "b", F.explode("halves").alias("half"))
     shared = small(write(spread.groupBy("half").count().where("count > 1").select("half"), "shared"))
     some = spread.join(shared, "half").select("a", "b").distinct()
     places = first.join(some, ["a", "b"], "left_semi").select("a", "b", *_PLACE)
@@ -104,20 +106,22 @@ def near_lines(first: DataFrame, keyed: DataFrame) -> DataFrame:
     return checked.select("a", "b").distinct()
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
     """(doc_id, text, gone): each row of docs and the numbers (from 0) of its lines that go, null for none.
 
-    Lines end at \\n. A null text is empty. A null id counts as the smallest. Rows that share id and
-    text count as one place and are treated alike; rows that share the id only go by a hash of their text.
+    Lines end at \\n. Lines of fewer than least_chars characters match only when equal. A null text is
+    empty. A null id counts as the smallest. Rows that share id and text count as one place and are
+    treated alike; rows that share the id only go by a hash of their text. Other columns, whatever their
+    names, are not read. An empty table gives an empty frame.
     """
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(F.col(text)).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = keyed.select("k", "tie", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    lines = keyed.select("k", "tie", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(_INK))
     n = F.length("line")
     marks = [F.xxhash64(F.lit(1), "line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b")]
-    places = lines.select(*_PLACE, *marks, n.alias("n"), F.when(n >= MIN_CHARS, F.array(*_halves(F.col("line"), n))).alias("halves"))
+    places = lines.select(*_PLACE, *marks, n.alias("n"), F.when(n >= least_chars, F.array(*_halves(F.col("line"), n))).alias("halves"))
     first = places.groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("first"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     first = write(first.select("a", "b", "n", "halves", "first.*"), "first")
-    near = write(near_lines(first.df, keyed), "near")
+    near = write(near_lines(first.df, keyed, least_chars), "near")
     stays = first.df.join(small(near), ["a", "b"], "left_anti").select(*_PLACE)
     gone = places.select(*_PLACE).distinct().join(stays, _PLACE, "left_anti")
     lists = write(gone.groupBy("k", "tie").agg(F.array_sort(F.collect_list("at")).alias("gone")), "gone")
@@ -125,9 +129,9 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return found.select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "text", "gone")
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): the texts without the lines that go."""
-    found = dropped_lines(docs, doc_id, text)
+    found = dropped_lines(docs, doc_id, text, least_chars)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
     return found.select(
         "doc_id",

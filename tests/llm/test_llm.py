@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, components, exact_dedup, jaccard, licenses, line_dedup, mixing, polyhash, rp_forest, sentencepiece_bpe, shingles, suffix_dedup, toxicity
+from millrace.llm import chat_format, components, exact_dedup, jaccard, leaf_pairs, licenses, line_dedup, mixing, polyhash, rp_forest, sentencepiece_bpe, shingles, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, rep string, size string, key string"
 WORDS = [a + b for a in "ka lo mi re tu wa ze ny".split() for b in "ba co di fu ge ha".split()]
@@ -78,7 +78,7 @@ def _sets(rows):
     return out
 
 
-def test_jaccard(docs, rows, none, monkeypatch):
+def test_jaccard(docs, rows, none):
     sets = _sets(rows)
     links, root = collections.Counter(), {i: i for i in sets}
 
@@ -95,15 +95,47 @@ def test_jaccard(docs, rows, none, monkeypatch):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     for split, block in ((256, 1024), (2, 2)):  # the second: every path of the code
-        monkeypatch.setattr(jaccard, "SPLIT", split)
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        got = by_id(jaccard.decisions(docs))
-        assert {i: (got[i].n_links, got[i].component_id) for i in sets} == {i: (links[i], top(i)) for i in sets}
+        got = {r.id: r for r in jaccard.link_classes(docs, split=split, block=block).collect()}
+        assert {i: (got[i].links, got[i].component) for i in sets} == {i: (links[i], top(i)) for i in sets}
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if top(i) == i)
     assert jaccard.decisions(none).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    """Two texts of one id are rows of their own; equal rows are copies."""
+    one, two = " ".join(WORDS[:30]), " ".join(WORDS[10:48])
+    rows = [(1, one), (1, two), (1, one), (2, one + " end"), (3, two + " end"), (4, "other words"), (None, one)]
+    found = sorted((r.doc_id or 0, r.n_links, r.component_id or 0, r.kept) for r in jaccard.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_leaf_counts_pairs_once():
+    """Random leaves and links against counting pair by pair."""
+    rng = np.random.default_rng(6)
+    leaves = [sorted(rng.choice(12, rng.integers(1, 6), replace=False).tolist()) for _ in range(60)]
+    sizes = rng.integers(1, 5, 60)
+    close = np.triu(rng.random((60, 60)) < 0.2, 1)
+    close |= close.T
+    counts = np.zeros(60, np.int64)
+    for leaf in range(12):
+        own = np.array([i for i in range(60) if leaf in leaves[i]])
+        found, root = leaf_pairs.tally(leaf, pa.array([leaves[i] for i in own], pa.list_(pa.int64())), sizes[own], close[np.ix_(own, own)])
+        counts[own] += found
+        assert (root == _components(range(len(own)), close[np.ix_(own, own)])).all()
+    meet = np.array([[bool(set(x) & set(y)) for y in leaves] for x in leaves])
+    assert (counts == (close & meet) @ sizes).all()
+
+
+def test_groups_of_batches():
+    keys = np.sort(np.random.default_rng(2).integers(0, 9, 50))
+    table = pa.table({"a": keys, "b": keys % 2, "n": np.arange(50)})
+    for size in (1, 7, 50):
+        found = list(leaf_pairs.groups(iter(table.to_batches(max_chunksize=size)), 2))
+        assert [set(g.column(0).to_pylist()) for g in found] == [{k} for k in np.unique(keys)] and sum(map(len, found)) == 50
+    assert not list(leaf_pairs.groups(iter([table.to_batches()[0].slice(0, 0)]), 2))
+
+
 def test_shingles_do_not_cross_texts():
     texts = ["a b c d e f", "", None, "g h", "a b c d e"]
     found = list(shingles.shingle_sets(pa.array(texts)))
@@ -189,11 +221,11 @@ def test_line_dedup(docs, rows, none):
     for i, t, *_ in rows:
         kept, dropped = [], 0
         for line in (t or "").split("\n"):
-            near = line.strip(" ") != "" and any(line == e or min(len(line), len(e)) >= 20 and abs(len(e) - len(line)) <= 1 and _within_one(line, e) for e in earlier)
+            near = line.strip() != "" and any(line == e or abs(len(e) - len(line)) <= 1 and _within_one(line, e) for e in earlier)
             dropped += near
             if not near:
                 kept.append(line)
-            if line.strip(" "):
+            if line.strip():
                 earlier.append(line)
         expected[i] = (dropped, hashlib.sha256("\n".join(kept).encode()).hexdigest())
     got = by_id(line_dedup.decisions(docs))
@@ -217,6 +249,17 @@ def test_near_lines(spark):
     assert [found[i].n_dropped for i in range(7)] == [0, 1, 1, 1, 0, 1, 1]
 
 
+def test_blank_and_short_lines(spark):
+    text = "one line\r\n\r\n\t\n\u3000\n\r\nab\nac\nabc\nxyz\nq\n"
+    rows = [(1, text), (1, text), (2, "a\r\n\r\nq"), (2, "other"), (None, "xyz"), (3, None)]
+    frame = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, line int")
+    found = sorted(((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.decisions(frame).collect()))
+    # xyz is in the text without an id, which comes first; ac and abc are an edit from ab, and "a\r" and q from earlier lines.
+    assert found == [(0, 1, 0), (1, 11, 3), (1, 11, 3), (2, 1, 0), (2, 3, 2), (3, 1, 0)]
+    loose = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.clean(frame, least_chars=4).select("doc_id", "n_dropped").collect())
+    assert loose == [(0, 0), (1, 1), (1, 1), (2, 0), (2, 1), (3, 0)]
+
+
 def test_variants_are_the_deletions():
     for line in ("aab", "é漢a", "x" * 5):
         keys, at = line_dedup.variants(line)
@@ -271,6 +314,9 @@ def test_layouts(spark):
         ('{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":null}]}', ["x", ""]),
         ('{"messages":[{"role":"user","content":"q"}]}', ["q"]),
         ('{"other":1}', None),
+        ('{"id":1,"meta":{"a":[{"b":2}],"c":"x"},"messages":[{"role":"user","content":"q","weight":1},{"role":"user","content":7,"weight":null}],"split":"train"}', ["q", "7"]),
+        ('{"id":"p","prompt":"a","response":"b","zz":null}', ["a", "b"]),
+        ('{"messages":[]}', None),
         ("nope", None),
         (None, None),
     ]
@@ -311,27 +357,72 @@ def test_licenses(spark):
     assert [(found[i].licenses, found[i].n_matches) for i in range(8)] == [("MIT", 1), ("MIT", 1), ("CC-BY-NC-4.0,Proprietary", 2), ("", 0), ("", 0), ("", 0), ("Apache-2.0", 1), ("Proprietary", 2)]
 
 
-def test_forest(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(150, 32))
-    vectors = [*base, *(base[:40] + rng.normal(size=(40, 32)) * 0.12), *(base[0] + rng.normal(size=(60, 32)) * 0.03), base[1], base[1] * 2]
-    rows = [(i, [float(x) for x in v], i % 2 if i < 150 else 0) for i, v in enumerate(vectors)]
-    rows += [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, rows[0][1], None), (904, [], 0), (905, [1.0, None], 0), (906, [1.0, 0.0], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    monkeypatch.setattr(rp_forest, "LEAF", 40)
-    monkeypatch.setattr(rp_forest, "BLOCK", 32)
-    got = {r.vec_id: r for r in rp_forest.near_duplicates(frame).collect()}
-    assert len(got) == len(rows)
+def _linked_vectors(vectors, label):
     x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
-    label = np.array([r[2] for r in rows[: len(vectors)]])
     linked = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(linked, False)
-    mine = np.array([got[i].n_links for i in range(len(vectors))])
-    assert (mine <= linked.sum(axis=1)).all() and mine.sum() >= 0.97 * linked.sum()
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
+    return linked
+
+
+def _components(ids, linked):
+    root = np.array(ids)
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], root.max()).min(axis=1))
+        if (least == root).all():
+            return root
+        root = least
+
+
+def test_forest(spark):
+    """Against brute force, with leaves so small that every label's trees have several levels, and one dense group."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(900, 32))
+    vectors = [*base, *(base[:300] + rng.normal(size=(300, 32)) * 0.12), *(base[0] + rng.normal(size=(150, 32)) * 0.03), base[1], base[1] * 2]
+    rows = [(i, [float(x) for x in v], i % 2 if i < 900 else 0, "key", 1) for i, v in enumerate(vectors)]
+    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, rows[0][1], None), (904, [], 0), (905, [1.0, None], 0), (906, [1.0, 0.0], 0)]
+    n = len(vectors)
+    frame = spark.createDataFrame(rows + [(n + i, v, x, "key", 1) for i, v, x in odd], "vec_id long, embedding array<double>, label int, key string, node int").repartition(5)
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(frame, leaf=100, block=64).collect()}
+    assert len(got) == n + 7
+    linked = _linked_vectors(vectors, np.array([r[2] for r in rows]))
+    mine = np.array([got[i].n_links for i in range(n)])
+    assert (mine <= linked.sum(axis=1)).all() and mine.sum() >= 0.99 * linked.sum() and linked.sum() > 20_000
+    right = _components(range(n), linked)
+    assert np.mean([got[i].component_id == right[i] for i in range(n)]) > 0.99
+    assert all(got[n + i].n_links == 0 and got[n + i].component_id == n + i and got[n + i].kept for i in range(900, 907))
     assert rp_forest.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_forest_splits(spark):
+    """The trees of the test above do split, and every vector comes to a leaf of each tree."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v], 5) for i, v in enumerate(rng.normal(size=(700, 32)))]
+    found = rp_forest._grow(spark.createDataFrame(rows, "key long, vec array<double>, node long"), 100).toPandas()
+    assert found.node.nunique() > 8 and set(found.key) == set(range(700)) and found.n.max() <= 400
+
+
+def test_forest_repeated_ids(spark):
+    """Two vectors of one id are rows of their own."""
+    one, two, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    frame = spark.createDataFrame([(1, one, 0), (1, two, 0), (2, near, 0), (3, one, 1), (1, one, 0)], "vec_id long, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rp_forest.near_duplicates(frame).collect())
+    assert found == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def _ends(tree: int, x: np.ndarray, leaf: int) -> list[np.ndarray]:
+    """The leaves of a tree of as many rounds as it takes."""
+    out, open_ = [], [(tree, np.arange(len(x)))]
+    while open_:
+        node, own = open_.pop()
+        cuts = rp_forest._fit(node, x[own], float(len(own)), leaf)
+        if np.isnan(cuts[0]):
+            out.append(own)
+            continue
+        inside, names = rp_forest._route(node, x[own], cuts)
+        open_ += [(int(name), own[inside[names == name]]) for name in np.unique(names)]
+    return out
+
+
 def _parted(pairs: int, tree: int) -> np.ndarray:
     """Of pairs of vectors at the threshold, in 64 dimensions: whether a tree of many levels parts them."""
     rng = np.random.default_rng(8)
@@ -339,15 +430,13 @@ def _parted(pairs: int, tree: int) -> np.ndarray:
     one, other = unit(rng.normal(size=(pairs, 64))), rng.normal(size=(pairs, 64))
     other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
     x = np.concatenate([one, rp_forest.THRESHOLD * one + (1 - rp_forest.THRESHOLD**2) ** 0.5 * other])
-    splits, met = {}, np.zeros(pairs, bool)
-    rp_forest._fit(tree, x, float(len(x)), 20, splits)
-    for _, inside in rp_forest._route(tree, x, np.arange(len(x)), splits):
-        met[np.intersect1d(inside[inside < pairs], inside - pairs)] = True
+    met = np.zeros(pairs, bool)
+    for inside in _ends(tree, x, 64):
+        met[np.intersect1d(inside[inside < pairs], inside[inside >= pairs] - pairs)] = True
     return ~met
 
 
-def test_forest_rarely_parts_pairs(monkeypatch):
-    monkeypatch.setattr(rp_forest, "LEAF", 64)
+def test_forest_rarely_parts_pairs():
     parted = np.array([_parted(4000, tree) for tree in range(1, rp_forest.TREES + 1)])
     assert parted.mean() < 0.05 and not parted.all(axis=0).any()
 
