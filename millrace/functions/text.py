@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pyarrow as pa
@@ -36,11 +37,62 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"(?m)(?U)[^\S\n]+$", ""), r"(?U)\A\s+|\s+\z", "")
 
 
+def normalise_public(text: Column) -> Column:
+    """normalise, and no more than one empty line in a row."""
+    return F.regexp_replace(normalise(text), r"\n{3,}", "\n\n")
+
+
+def normalise_lines(text: Column) -> Column:
+    """NFKC, the white space within each line as single spaces, none at its ends, no more than one empty line in a row."""
+    lines = F.regexp_replace(nfkc(text), r"\r\n?", "\n")
+    lines = F.regexp_replace(F.regexp_replace(lines, r"(?U)[^\S\n]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"(?U)\A\s+|\s+\z", ""), r"\n{3,}", "\n\n")
+
+
+@F.arrow_udf(StringType())
+def ascii_json(texts: pa.Array) -> pa.Array:
+    """JSON texts with every character outside ASCII escaped, as stable ids want them."""
+    return pa.array([None if t is None else t if t.isascii() else "".join(c if c.isascii() else json.dumps(c)[1:-1] for c in t) for t in texts.to_pylist()], pa.string())
+
+
+def stable_id(prefix: str, canonical: Column, digits: int = 24) -> Column:
+    """prefix-digest of a canonical JSON text."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(ascii_json(canonical), 256), 1, digits))
+
+
+def identity(*parts: Column) -> Column:
+    """SHA-256 over the parts with a zero byte between: source, revision, path and document make a document's identity."""
+    return F.sha2(F.concat_ws("\0", *parts), 256)
+
+
+def worked_answer(answer: Column) -> Column:
+    """The reasoning of a worked answer: what stands before the last ####, without <<annotations>>, in one line."""
+    before = F.when(F.contains(answer, F.lit("####")), F.regexp_replace(answer, r"(?s)####(?:(?!####).)*\z", ""))
+    return squeeze(F.regexp_replace(before, "<<[^<>]*>>", ""))
+
+
+def final_number(answer: Column) -> Column:
+    """The plain decimal after the last ####; null if there is none."""
+    found = F.regexp_extract(answer, r"####\s*([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*\z", 1)
+    return plain_decimal(F.replace(F.when(found != "", found), F.lit(","), F.lit("")))
+
+
+def annotations(answer: Column) -> Column:
+    """All <<annotations>> of a worked answer, in order."""
+    return F.regexp_extract_all(answer, F.lit("<<([^<>]+)>>"), F.lit(1))
+
+
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the canonical JSON of a base text."""
     return F.sha2(F.to_json(F.struct(F.lit("base").alias("kind"), normalise(text).alias("text"))), 256)
 
 
+def turns_fingerprint(turns: Column) -> Column:
+    """SHA-256 of the canonical JSON of a conversation, turns: array<struct<role, content>>."""
+    rows = F.transform(turns, lambda t: F.struct(t["content"].alias("content"), t["role"].alias("role")))
+    return F.sha2(F.to_json(F.struct(F.lit("conversation").alias("kind"), rows.alias("turns"))), 256)
+
+
 def seeded(seed: str, key: Column) -> Column:
     """SHA-256 of seed:key in hexadecimal, by which rows are ranked and split."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)

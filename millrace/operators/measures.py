@@ -148,3 +148,13 @@ def alibi_slope(head: Column, heads: int) -> Column:
     own = F.pow(F.lit(2.0), -8.0 * (head + 1) / near)
     extra = F.pow(F.lit(2.0), -4.0 * (2 * (head - near) + 1) / near)
     return F.when(head < near, own).otherwise(extra)
+
+
+def kv_cache_bytes(layers: Column, context: Column, heads: int, width: int, bytes_each: int) -> Column:
+    """Keys and values of every layer, position and head."""
+    return 2 * layers * context * heads * width * bytes_each
+
+
+def parameters(layers: Column, context: Column, width: int, tokens: int) -> Column:
+    """Weights of a decoder with a fourfold feed-forward part, biases and two norms a layer, and the embeddings."""
+    return layers * (12 * width * width + 13 * width) + tokens * width + context * width

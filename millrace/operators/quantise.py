@@ -62,3 +62,26 @@ def gelu(x: Column) -> Column:
 def argmax(values: Column) -> Column:
     """The place (from 0) of the first largest value."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def unpacked_nibbles(packed: Column, n: Column) -> Column:
+    """The n signed 4-bit codes in packed bytes, the low half of a byte first."""
+    signed = lambda v: F.when(v > 7, v - 16).otherwise(v)
+    both = F.flatten(F.transform(packed, lambda b: F.array(signed(b.bitwiseAND(15)), signed(F.shiftright(b, 4)))))
+    return F.slice(both, 1, n)
+
+
+def mixed_product(weights: Column, activations: Column) -> Column:
+    """The product of two vectors in groups (scale, codes): whole numbers within a group, scaled and summed over groups."""
+    inner = lambda a, b: F.aggregate(F.zip_with(a["codes"], b["codes"], lambda x, y: x * y), F.lit(0), lambda s, x: s + x) * a["scale"] * b["scale"]
+    return _sum(F.zip_with(weights, activations, inner))
+
+
+def matvec(matrix: Column, vector: Column) -> Column:
+    """The products of each row of a matrix with a vector."""
+    return F.transform(matrix, lambda row: dot(row, vector))
+
+
+def group_means(values: Column, size: int) -> Column:
+    """Neighbouring parts of so many values as their mean: the heads of keys and values shared by a group."""
+    return F.transform(groups(values, size), lambda g: _sum(g) / size)

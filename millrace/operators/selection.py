@@ -74,16 +74,23 @@ def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, c
     return walk.join(chosen, ["g", "k"]).select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(size))
 
 
-def running_offset(rows: DataFrame, key: str, size: Column, stretch: int = 1024) -> DataFrame:
-    """rows with offset: the sum of size over all rows with a smaller whole-number key.
+def running_offset(rows: DataFrame, key: str, size: Column, group: list[str] | None = None) -> DataFrame:
+    """rows with offset: the sum of size over the rows of the group before this one in key order.
 
-    Sums run within stretches of keys and over the stretches' totals, so no window holds all rows.
+    Rows are dealt to partitions by ranges of (group, key); sums run within a partition, and a window
+    over one row for each partition and group adds what stands before it. Null keys come first; rows
+    of equal keys follow each other by size. Rows should be narrow: they are written once.
     """
-    cut = rows.withColumn("_size", size.cast("long")).withColumn("_cut", F.floor(F.col(key) / stretch))
-    sums = cut.groupBy("_cut").agg(F.sum("_size").alias("_sum"))
-    wide = sums.withColumn("_wide", F.floor(F.col("_cut") / stretch))
-    tops = wide.groupBy("_wide").agg(F.sum("_sum").alias("_top"))
-    before = lambda part, order, of: F.coalesce(F.sum(of).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("_wide", before([], "_wide", "_top").alias("_a"))  # one row for stretch * stretch keys
-    sums = wide.join(tops, "_wide").select("_cut", (F.col("_a") + before(["_wide"], "_cut", "_sum")).alias("_b"))
-    return cut.join(sums, "_cut").withColumn("offset", F.col("_b") + before(["_cut"], key, "_size")).drop("_size", "_cut", "_b")
+    group = group or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_size", size.cast("long")).repartitionByRange(parts, *group, key)
+    cut = settle(dealt.withColumn("_part", F.spark_partition_id()))
+    before = lambda part, order, of: F.coalesce(F.sum(of).over(W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(*group, "_part").agg(F.sum("_size").alias("_sum"))
+    keys = [F.col(g).alias(f"_{g}") for g in group]
+    sums = sums.select(*keys, F.col("_part").alias("_p"), before(group, ["_part"], "_sum").alias("_b"))
+    same = cut["_part"] == sums["_p"]
+    for g in group:
+        same &= cut[g].eqNullSafe(sums[f"_{g}"])
+    within = before([*group, "_part"], [key, "_size"], "_size")
+    return cut.join(sums, same).withColumn("offset", F.col("_b") + within).drop("_size", "_part", "_p", "_b", *[f"_{g}" for g in group])

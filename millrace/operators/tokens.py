@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -63,23 +64,30 @@ def response_lengths(prompt: Column, final: Column, reasoning: Column) -> tuple[
 
 
 def conversation_gate(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, n_turns, valid, n_tokens, n_targets: a valid conversation alternates from user to assistant and has no empty turn."""
-    value = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    grouped = turns.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("t"))  # sizes, not texts
-    good = F.forall(F.transform("t", lambda t, i: (t["size"] > 0) & (t["role"] == F.when(i % 2 == 0, "user").otherwise("assistant"))), lambda x: x)
-    total = F.aggregate("t", F.lit(2).cast("long"), lambda a, t: a + t["size"] + 1)
-    targets = F.aggregate("t", F.lit(1).cast("long"), lambda a, t: a + F.when(t["role"] == "assistant", t["size"]).otherwise(F.lit(0).cast("long")))
-    return grouped.select(key, F.size("t").cast("long").alias("n_turns"), (good & (F.size("t") % 2 == 0)).alias("valid"), total.alias("n_tokens"), targets.alias("n_targets"))
+    """key, n_turns, valid, n_tokens, n_targets: a valid conversation alternates from user to assistant and has no empty turn.
 
+    Turns get their place from a window, which spills; what follows are sums, combined on the map side.
+    """
+    rows = turns.select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    at = F.row_number().over(W.partitionBy(key).orderBy("turn", "role", "size"))
+    rows = rows.withColumn("good", (F.col("size") > 0) & (F.col("role") == F.when(at % 2 == 1, "user").otherwise("assistant")))
+    answered = F.when(F.col("role") == "assistant", F.col("size")).otherwise(0)
+    n = F.count(F.lit(1))
+    return rows.groupBy(key).agg(n.alias("n_turns"), (F.bool_and("good") & (n % 2 == 0)).alias("valid"), (F.sum(F.col("size") + 1) + 2).alias("n_tokens"), (F.sum(answered) + 1).alias("n_targets"))
 
-def windows(records: DataFrame, key: str, n_tokens: Column, block: int = 256) -> DataFrame:
-    """window, n_targets, n_records: windows of block predictions over the records packed in key order, each target in one window."""
+
+def windows(records: DataFrame, key: str, n_tokens: Column, block: int = 256, full_only: bool = False) -> DataFrame:
+    """window, n_targets, n_records: windows of block predictions over the records packed in key order, each target in one window.
+
+    full_only leaves the short window at the end of the stream out.
+    """
     placed = running_offset(records.select(key, n_tokens.alias("_n")), key, F.col("_n"))
     # The first token of the stream is no target; target i stands in window (i - 1) div block.
     first, last = F.greatest(F.col("offset"), F.lit(1)) - 1, F.col("offset") + F.col("_n") - 2
     spread = placed.where(last >= first).select(first.alias("a"), last.alias("b"), F.explode(F.sequence(F.floor(first / block), F.floor(last / block))).alias("window"))
     part = F.least(F.col("b"), F.col("window") * block + block - 1) - F.greatest(F.col("a"), F.col("window") * block) + 1
-    return spread.groupBy("window").agg(F.sum(part).alias("n_targets"), F.count(F.lit(1)).alias("n_records"))
+    found = spread.groupBy("window").agg(F.sum(part).alias("n_targets"), F.count(F.lit(1)).alias("n_records"))
+    return found.where(F.col("n_targets") == block) if full_only else found
 
 
 def token_counts(records: DataFrame, text: str = "text") -> DataFrame:
@@ -101,3 +109,9 @@ def unigram_loss(counts: DataFrame) -> DataFrame:
     """token, n, nll under add-one smoothing over the vocabulary."""
     total = counts.agg(F.sum("n").alias("total"))  # one row
     return counts.join(total).select("token", "n", F.round(-F.log((F.col("n") + 1) / (F.coalesce("total", F.lit(0)) + VOCABULARY)), 9).alias("nll"))
+
+
+def vocabulary(chars: DataFrame) -> DataFrame:
+    """ch, n, id: the characters by code point with dense ids; as many rows as the alphabet has."""
+    counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("id", F.row_number().over(W.orderBy("ch")) - 1)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -13,30 +11,11 @@ from millrace.operators import measures as M
 from millrace.operators import quantise as Q
 from millrace.operators import selection as S
 from millrace.operators import tokens as K
+from millrace.plans.registry import as_long as _long
+from millrace.plans.registry import query, table
 from millrace.sources.readers import counted, first_reason, licence_gate
 
 SEED = "split-v1"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _long(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
 
 BUCKET_SQL = f"CAST(CAST('0x' || substr(sha256('{SEED}:' || CAST({{}} AS VARCHAR)), 1, 16) AS UBIGINT) % 10000 AS INTEGER)"
 SPLIT_SQL = "CASE WHEN {0} < 9000 THEN 'train' WHEN {0} < 9500 THEN 'validation' ELSE 'test' END"
@@ -326,13 +305,14 @@ def reward_audit(spark, d):
 
 
 @query(
-    f"""WITH {_RESULTS_SQL}, s AS (SELECT CAST(sum(CAST(correct AS BIGINT)) AS DOUBLE) AS a, CAST(sum(CAST(coalesce(consistent, false) AS BIGINT)) AS DOUBLE) AS b, avg(CAST(generated >= 2 AS INTEGER)) AS f FROM r WHERE slice < 3 GROUP BY slice)
+    f"""WITH {_RESULTS_SQL}, s AS (SELECT CAST(sum(CAST(correct AS BIGINT)) AS DOUBLE) AS a, CAST(sum(CAST(coalesce(consistent, false) AS BIGINT)) AS DOUBLE) AS b, avg(CAST(generated >= 2 AS INTEGER)) AS f FROM r GROUP BY event_id % 3)
     SELECT count(*) AS n_seeds, round(avg(a), 6) AS primary_mean, round(stddev_pop(a), 6) AS primary_std, round(avg(b), 6) AS challenge_mean, round(stddev_pop(b), 6) AS challenge_std,
     count(*) FILTER (a > 100 AND b > 100) AS n_improving, round(min(f), 9) AS least_rate,
     count(*) = 3 AND avg(a) > 100 AND avg(b) > 100 AND count(*) FILTER (a > 100 AND b > 100) >= 2 AND min(f) >= 0.95 AS improved FROM s"""
 )
 def seed_gate(spark, d):
-    rows = _results(spark, d).where("slice < 3").groupBy("slice").agg(
+    """Three seeds, between which all results are dealt."""
+    rows = _results(spark, d).groupBy((F.col("event_id") % 3).alias("seed")).agg(
         F.count_if("correct").cast("double").alias("primary"), F.count_if(F.coalesce("consistent", F.lit(False))).cast("double").alias("challenge"), M.rate(F.col("generated") >= 2).alias("format_rate")
     )
     gate = M.seed_gate(rows.withColumn("mode_rate", F.col("format_rate")), 100.0, 100.0)
@@ -456,11 +436,7 @@ def magnitudes(spark, d):
 @query("SELECT ch, CAST(row_number() OVER (ORDER BY encode(ch)) - 1 AS INTEGER) AS id, n FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch)")
 def vocabulary(spark, d):
     """Characters by code point; as many rows as the alphabet has."""
-    from pyspark.sql import Window as W
-
-    chars = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("ch", (F.row_number().over(W.orderBy("ch")) - 1).alias("id"), "n")
+    return K.vocabulary(table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")).select("ch", "id", "n")
 
 
 @query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i <= 100 THEN 3e-4 * i / 100 WHEN i >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 900.0)) * (3e-4 - 3e-5) END, 12) AS rate FROM range(1, 1101) t(i)")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources.readers import GateError
+from millrace.sources.staging import settle
 
 
 def canonical_json(columns: list[str]) -> Column:
@@ -13,24 +15,41 @@ def canonical_json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def _sorted(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all structs in the order of their names; NaN and infinity are errors."""
+    if isinstance(kind, T.StructType):
+        fields = [_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit("no finite number"))).otherwise(value)
+    return value
+
+
+def canonical_rows(rows: DataFrame) -> Column:
+    """Canonical JSON of whole rows: names in order at every level, nulls kept, only finite numbers."""
+    fields = [_sorted(F.col(f.name), f.dataType).alias(f.name) for f in sorted(rows.schema.fields, key=lambda f: f.name)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def u16_le(tokens: Column) -> Column:
-    """Tokens as binary, two bytes each, the low one first."""
-    pair = lambda t: F.concat(F.lpad(F.hex(t.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(t, 8)), 2, "0"))
+    """Tokens as binary, two bytes each, the low one first; a token outside 0 to 65535 is an error."""
+    fits = lambda t: F.when(t.between(0, 65535), t).otherwise(F.raise_error(F.lit("token out of range")))
+    pair = lambda t: F.concat(F.lpad(F.hex(fits(t).bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(t, 8)), 2, "0"))
     return F.unhex(F.array_join(F.transform(tokens, pair), ""))
 
 
-def publish(records: DataFrame, folder: str) -> None:
-    """Write records (split, record_id, tokens, mask) as packed rows by split; refuses a folder that exists."""
-    packed = records.select("split", "record_id", u16_le(F.col("tokens")).alias("tokens"), F.unhex(F.array_join(F.transform("mask", lambda m: F.lpad(F.hex(m), 2, "0")), "")).alias("mask"))
-    packed.repartitionByRange("split", "record_id").sortWithinPartitions("split", "record_id").write.mode("errorifexists").partitionBy("split").parquet(folder)
+def u8(values: Column) -> Column:
+    """Small numbers as binary, a byte each."""
+    return F.unhex(F.array_join(F.transform(values, lambda m: F.lpad(F.hex(m), 2, "0")), ""))
 
 
-def manifest(records: DataFrame) -> DataFrame:
-    """split (null: all), records, families, tokens; stops if a split is empty."""
-    table = records.rollup("split").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("family_id").alias("families"), F.sum("n_tokens").alias("tokens"))
-    if table.where("split IS NOT NULL").count() < 3:
-        raise GateError("a split is empty")
-    return table
+def allowed(rows: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
+    """The columns that may be published; an error if a required one is missing."""
+    if missing := [c for c in required if c not in rows.columns]:
+        raise GateError(f"missing fields: {missing}")
+    return rows.select(*required, *[c for c in optional if c in rows.columns])
 
 
 def append_new(rows: DataFrame, folder: str, key: str, payload: str) -> int:
@@ -39,16 +58,14 @@ def append_new(rows: DataFrame, folder: str, key: str, payload: str) -> int:
     fresh = rows.dropDuplicates([key, payload])
     if fresh.groupBy(key).count().where("count > 1").count():
         raise GateError("one key with several payloads")
-    try:
-        there = spark.read.parquet(folder)
-    except Exception as error:  # Spark has one class for all analysis errors; only a missing folder is fine
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        fresh = settle(fresh)
         fresh.write.parquet(folder)
         return fresh.count()
-    if fresh.alias("n").join(there.alias("o"), key).where(f"n.`{payload}` <> o.`{payload}`").count():
+    there = spark.read.parquet(folder)
+    if not fresh.alias("n").join(there.alias("o"), key).where(f"n.`{payload}` <> o.`{payload}`").isEmpty():
         raise GateError("a key is there with another payload")
-    missing = fresh.join(there, key, "left_anti")
-    n = missing.count()
+    missing = settle(fresh.join(there, key, "left_anti"))
     missing.write.mode("append").parquet(folder)
-    return n
+    return missing.count()

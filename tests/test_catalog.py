@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans.catalog import ORACLES, QUERIES
+from millrace.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

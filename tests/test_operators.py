@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import calculations as C
 from millrace.functions import text as T
+from millrace.operators import corpora, rollouts
 from millrace.operators import measures as M
 from millrace.operators import quantise as Q
 from millrace.operators import selection as S
 from millrace.operators import tokens as K
-from millrace.sources import readers, sinks
+from millrace.sources import readers, shards, sinks
 
 
 def one(spark, value, expr, kind="string"):
@@ -179,11 +180,121 @@ def test_readers_and_sinks(spark, tmp_path):
         sinks.append_new(spark.createDataFrame([("a", "9")], "k string, p string"), str(tmp_path / "c"), "k", "p")
     text = spark.createDataFrame([(None, 1)], "b string, a int").select(sinks.canonical_json(["b", "a"])).first()[0]
     assert text == '{"a":1,"b":null}'
-    packed = spark.createDataFrame([("train", "r1", [256, 65, 257], [0, 1, 1])], "split string, record_id string, tokens array<int>, mask array<int>")
-    sinks.publish(packed, str(tmp_path / "pub"))
-    assert bytes(spark.read.parquet(str(tmp_path / "pub")).first().mask) == b"\x00\x01\x01"
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        sinks.publish(packed, str(tmp_path / "pub"))
+    rows = spark.createDataFrame([(2, ("y", [1.5]), None)], "b int, a struct<z: string, c: array<double>>, n string")
+    assert rows.select(sinks.canonical_rows(rows)).first()[0] == '{"a":{"c":[1.5],"z":"y"},"b":2,"n":null}'
+    with pytest.raises(Exception, match="no finite number"):
+        nan = spark.createDataFrame([(float("nan"),)], "x double")
+        nan.select(sinks.canonical_rows(nan)).collect()
+    assert sinks.allowed(rows, ["b"], ["n", "missing"]).columns == ["b", "n"]
+    with pytest.raises(readers.GateError):
+        sinks.allowed(rows, ["missing"], [])
+
+
+def _published(spark, folder):
+    rows = [("train", "r1", "f", [256, 65, 257], [0, 1, 1]), ("test", "r2", "f", [256, 257], [0, 1]), ("validation", "r3", "g", [256, 258, 195, 169, 257], [0, 0, 0, 1, 1])]
+    packed = spark.createDataFrame(rows, "split string, record_id string, family_id string, tokens array<int>, mask array<int>")
+    shards.publish(packed, folder)
+    return packed
+
+
+def test_shards(spark, tmp_path):
+    folder = f"file://{tmp_path}/pub"
+    packed = _published(spark, folder)
+    found = {r.record_id: (bytes(r.tokens), bytes(r.mask), r.n_targets) for r in shards.load(spark, folder).collect()}
+    assert found["r3"] == (struct.pack("<5H", 256, 258, 195, 169, 257), b"\x00\x00\x00\x01\x01", 2) and len(found) == 3
+    with pytest.raises(readers.GateError, match="exists"):
+        shards.publish(packed, folder)
+    assert not [p for p in tmp_path.iterdir() if "staging" in p.name]
+    with pytest.raises(Exception, match="out of range"):
+        shards.publish(packed.withColumn("tokens", F.array(F.lit(70_000))), f"{folder}-2")
+    assert not (tmp_path / "pub-2").exists()
+    shards.replace_corpus(spark, folder)
+    assert not (tmp_path / "pub").exists()
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "notes.txt").write_text("x")
+    with pytest.raises(readers.GateError, match="no published corpus"):
+        shards.replace_corpus(spark, f"file://{tmp_path}/mine")
+
+
+@pytest.mark.parametrize("change", ["tokens", "mask", "drop", "count"])
+def test_shards_notice_damage(spark, tmp_path, change):
+    folder = f"file://{tmp_path}/pub"
+    _published(spark, folder)
+    rows = spark.read.parquet(f"{folder}/records")
+    if change == "tokens":  # an unknown id, with a digest that fits it
+        bad = rows.withColumn("tokens", F.unhex(F.regexp_replace(F.hex("tokens"), "^0001", "0901"))).withColumn("tokens_sha256", F.sha2("tokens", 256))
+    elif change == "mask":
+        bad = rows.withColumn("mask", F.unhex(F.regexp_replace(F.hex("mask"), "^00", "02"))).withColumn("mask_sha256", F.sha2("mask", 256))
+    elif change == "drop":
+        bad = rows.where("record_id <> 'r1'")
+    else:
+        bad = rows.withColumn("n_targets", F.col("n_targets") + 1)
+    other = f"file://{tmp_path}/bad"
+    bad.write.partitionBy("split").parquet(f"{other}/records")
+    spark.read.json(f"{folder}/manifest").write.json(f"{other}/manifest")
+    with pytest.raises(readers.GateError):
+        shards.load(spark, other)
+
+
+def test_pins_and_whole_texts(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    file = next(p for p in (tmp_path / "p").iterdir() if p.name.startswith("part"))
+    digest = hashlib.sha256(file.read_bytes()).hexdigest()
+    assert shards.pinned_parquet(spark, {str(file): digest}).count() == 3
+    with pytest.raises(readers.GateError):
+        shards.pinned_parquet(spark, {str(file): "0" * 64})
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("é\nb".encode())
+    assert [r.text for r in shards.whole_texts(spark, str(tmp_path / "t")).collect()] == ["é\nb"]
+    with pytest.raises(readers.GateError, match="too large"):
+        shards.whole_texts(spark, str(tmp_path / "t"), 3)
+    (tmp_path / "t" / "b.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(Exception):
+        shards.whole_texts(spark, str(tmp_path / "t")).collect()
+    shards.write_json(spark, f"file://{tmp_path}/t", "m.json", '{"a":1}')
+    shards.write_json(spark, f"file://{tmp_path}/t", "m.json", '{"a":2}')
+    assert (tmp_path / "t" / "m.json").read_text() == '{"a":2}' and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".m.json.") and "crc" not in p.name]
+
+
+def test_corpora_gates(spark):
+    rows = spark.createDataFrame([("train", "f", 1, 2), ("test", "f", 1, 1)], "split string, family_id string, n_tokens long, n_targets long")
+    with pytest.raises(readers.GateError, match="validation"):
+        corpora.manifest(rows)
+    with pytest.raises(readers.GateError, match="repeated records"):
+        corpora.union_records([("a", rows), ("b", rows)], "split")
+    cache = spark.createDataFrame([("k", "1"), ("k", "2")], "request string, answer string")
+    with pytest.raises(readers.GateError, match="several answers"):
+        corpora.probed(cache.select("request"), cache)
+    labels = spark.createDataFrame([((["quality", "x"], [0.7, 0.1]),), ((["quality"], [0.7, 0.1]),), (None,)], "l struct<name: array<string>, value: array<double>>")
+    assert [r[0] for r in labels.select(corpora.label_value(F.col("l"), "quality")).collect()] == [0.7, None, None]
+
+
+def test_offsets_of_groups(spark):
+    rows = [(i % 3 == 0, None if i == 7 else i * 1_000_003 % 500, i) for i in range(300)]
+    found = S.running_offset(spark.createDataFrame(rows, "g boolean, k int, n int").repartition(7), "k", F.col("n"), ["g"]).collect()
+    for g in (True, False):
+        total = 0
+        for r in sorted((r for r in found if r.g == g), key=lambda r: (-1 if r.k is None else r.k, r.n)):
+            assert r.offset == total
+            total += r.n
+    assert len(found) == 300
+
+
+def test_stable_ids(spark):
+    value = {"a": "é\"漢\n😀", "b": 1}
+    plain = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    want = hashlib.sha256(json.dumps(value, ensure_ascii=True, separators=(",", ":")).encode()).hexdigest()[:24]
+    assert one(spark, plain, lambda x: T.stable_id("gsm8k", x)) == f"gsm8k-{want}"
+
+
+def test_rollout_edges(spark):
+    cases = [("think", 3, []), ("think", 3, [K.EOS]), ("think", 3, [1, K.FINAL, 2, K.FINAL]), ("direct", 3, [1, K.FINAL]), ("think", 9, [1, 2, 3, 4]), ("direct", 1, [5] * 20)]
+    rows = spark.createDataFrame(cases, "mode string, n_prompt int, generated array<int>")
+    found = [(r.reasoning, r.final, r.terminated, r.special_token_leak, r.final_transition, r.context_exhausted, r.budget_exhausted, r.n_generated) for r in rollouts.split_generated(rows, 10, 6).collect()]
+    assert found == [
+        ([], [], False, False, False, False, False, 0), ([], [], True, False, False, False, False, 1), ([1], [2], False, True, True, False, False, 4), ([], [1], False, True, False, False, False, 2),
+        ([1, 2], [], False, False, False, True, False, 2), ([], [5] * 6, False, False, False, False, True, 6),
+    ]
 
 
 def test_numbers_restated(spark):
