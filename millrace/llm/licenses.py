@@ -145,6 +145,8 @@ RULES = [
 ]
 
 
+# Fixed value: the tag in front of a licence's short name.
+TAG = "spdx-license-identifier:"
 #: Each known sentence holds one of these, so a text without them is not cut.
 TRIGGERS = ("licen", "software", "permission", "redistribut", "warrant", "rights", "copyright", "copy", "domain")
 if missed := [s for known in SENTENCES.values() for s in known if not any(t in s for t in TRIGGERS)]:
@@ -152,9 +154,10 @@ if missed := [s for known in SENTENCES.values() for s in known if not any(t in s
 
 
 def sentence_ids(text: Column, lines: bool) -> Column:
-    """The known sentences of a text in order, as one string of <identifier>. A literal | ends a sentence as well."""
+    """The known sentences of a text in order, as one string of <identifier>. A literal | ends a sentence as well; the colon of an SPDX tag does not."""
     ends = r"[.!?;:]+(?=\s|$)|\n" if lines else r"[.!?;:]+(?=\s|$)|\n\s*\n"
-    clean = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ends, "|"), r"[^a-z0-9|]+", " ")
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(TAG), F.lit(TAG.replace("-", " ").replace(":", " ")))
+    clean = F.regexp_replace(F.regexp_replace(low, ends, "|"), r"[^a-z0-9|]+", " ")
     known = F.create_map(*[F.lit(x) for name, sentences in SENTENCES.items() for s in sentences for x in (s, f"<{name}>")])
     found = F.transform(F.split(clean, r"\|"), lambda s: F.try_element_at(known, F.trim(s)))
     return F.array_join(F.filter(found, lambda x: x.isNotNull()), "")

@@ -115,7 +115,7 @@ def _license_sql() -> str:
     found = ", ".join(f"CASE WHEN {' + '.join(f't{i}' for i in which)} > 0 THEN '{name}' END" for name, which in names.items())
     return f"""
 WITH k(s, id) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, replace(lower(coalesce(text, '')), '{licenses.TAG}', '{licenses.TAG.replace("-", " ").replace(":", " ")}') AS t FROM documents),
 c AS (SELECT row, 'a' AS cut, regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\f\\r\\x0B]*\\n|[.!?;:]+[ \\t\\f\\r\\x0B]|\\n', '|', 'g') AS x FROM d
       UNION ALL SELECT row, 'b', regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\n\\f\\r\\x0B]|\\n[ \\t\\n\\f\\r\\x0B]*\\n', '|', 'g') FROM d),
 w AS (SELECT row, cut, string_split(regexp_replace(x, '[^a-z0-9|]+', ' ', 'g'), '|') AS parts FROM c),

@@ -373,6 +373,61 @@ def _components(ids, linked):
         root = least
 
 
+def test_licence_texts(spark, none):
+    """Notices of several licences, edges, and a table without rows."""
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    gpl = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    cases = [
+        (bsd.replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause"),
+        ("All rights reserved.\n" + bsd.split("reserved.")[0], "Proprietary"),
+        (gpl.format("program", "", 2), "GPL-2.0"),
+        (gpl.format("program", "", 3), "GPL-3.0"),
+        (gpl.format("library", "Lesser ", "2.1"), "LGPL-2.1"),
+        (gpl.format("program", "Affero ", 3), "AGPL-3.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        (isc, "ISC"),
+        ("x | All rights reserved", "Proprietary"),
+        ("y" * 300_000 + "\nLicensed under the ISC license.\n", "ISC"),
+        ("licences and permissions of software", ""),
+        (None, ""),
+    ]
+    rows = [(i, t, "MIT", i) for i, (t, _) in enumerate(cases)] * 2
+    found = licenses.decisions(spark.createDataFrame(rows, "doc_id int, text string, licenses string, a int")).collect()
+    assert len(found) == 2 * len(cases)
+    assert [(r.doc_id, r.licenses) for r in found if r.licenses != cases[r.doc_id][1]] == []
+    assert licenses.decisions(none).count() == 0
+    assert by_id(licenses.decisions(spark.createDataFrame([(1, mpl)], "doc_id int, text string")))[1].licenses in ("MPL-2.0", "")
+
+
+def test_mixing_repeated_rows(spark):
+    """Rows that share an id, ties and clashing names: every row as often as its block is taken."""
+    rows = [(1, "a b c", "s", "x", 1), (1, "a b c", "s", "x", 1), (1, "other words here", "s", "y", 2), (None, "q", None, "z", 3), (5, None, "t", "z", 4), (6, "a " * 500, "u", "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, block string, pass int")
+    found = mixing.mixed(docs)
+    assert found.columns == docs.columns
+    times = collections.Counter(tuple(r) for r in found.collect())
+    plan = collections.Counter((r.doc_id, r.source) for r in mixing.schedule(docs).collect())
+    assert set(times) == set(rows) and times[rows[0]] == 2 * times[rows[2]]
+    assert plan[(1, "s")] == 3 * times[rows[2]] and plan[(None, None)] == times[rows[3]]
+
+
+def test_bisection_is_a_bisection(spark):
+    """Five halvings at once come to the place that fifty single ones come to."""
+    sizes = [70_000, 9_000, 1_200, 40]
+    l = [float(np.log(n / sum(sizes))) for n in sizes]  # noqa: E741
+    shares = spark.createDataFrame([(x,) for x in l], "l double")
+    for evenness, most in ((0.97, 2.0), (0.6, 1e9), (None, 30.0), (0.1, 1e9)):
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            m = (low + high) / 2
+            z, s = sum(np.exp(m * x) for x in l), sum(x * np.exp(m * x) for x in l)
+            flat = np.exp((1 - m) * (max(l) - min(l))) > most or (evenness is not None and np.log(z) - m * s / z > evenness * np.log(4))
+            low, high = (m, high) if flat else (low, m)
+        assert abs(mixing._exponent(shares, 4, float(sum(sizes)), evenness, most, None) - high) < 1e-8
+
+
 def test_forest(spark):
     """Against brute force, with leaves so small that every label's trees have several levels, and one dense group."""
     rng = np.random.default_rng(3)
@@ -491,6 +546,49 @@ def test_toxicity(spark, none):
     assert toxicity.decisions(none.select("doc_id", "text"), labels.limit(0)).count() == 0
 
 
+def test_toxicity_scores_are_the_pairwise_sums(spark):
+    """Scores against a plain factorization machine: the double sum over all pairs of terms, with terms cut by plain string code."""
+    import re
+    import zlib
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        bad = i % 3 == 0
+        words = [rng.choice(WORDS) for _ in range(25)] + (["zanky", "peoples"] if bad else [rng.choice(["zanky", "peoples", "Été"])])
+        rng.shuffle(words)
+        rows.append((i, ", ".join(words).capitalize(), int(bad)))
+    rows += [(500, None, None), (501, "", 0), (502, "zanky-peoples" * 3, None), (None, "zanky peoples", 1), (7, rows[7][1] + " peoples zanky", 0)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, toxic int, score int")
+    machine = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    place = {h: i for i, h in enumerate(machine.hashes.tolist())}
+
+    def plain(text):
+        found = set()
+        for word in re.split(r"[^\w]+|_", (text or "").lower()):
+            found |= {zlib.crc32(x.encode()) for x in [word] * bool(word) + [f"{word[:n]}~{n}" for n in (4, 5, 6) if len(word) >= n]}
+        own = [place[h] for h in found if h in place]
+        raw = machine.bias + sum(machine.weights[i] * machine.values[i] for i in own)
+        for a in range(len(own)):
+            for b in range(a):
+                i, j = own[a], own[b]
+                raw += float(machine.factors[i] @ machine.factors[j]) * machine.values[i] * machine.values[j]
+        return 1 / (1 + np.exp(-raw))
+
+    found = toxicity.decisions(frame, frame.select("doc_id", "toxic")).collect()
+    want = sorted((repr(i), round(float(plain(t)), 9)) for i, t, _ in rows)
+    assert len(machine.hashes) > 5 and sorted((repr(r.doc_id), round(r.score, 9)) for r in found) == want
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+    assert next(r.held_out for r in found if r.doc_id is None) is True
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+
+
+def test_toxicity_one_class(spark):
+    frame = spark.createDataFrame([(i, "some words", 1) for i in range(20)], "doc_id long, text string, toxic int")
+    assert {r.predicted for r in toxicity.decisions(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()} == {1}
+    assert {r.predicted for r in toxicity.decisions(frame.select("doc_id", "text"), frame.select("doc_id", F.lit(0).alias("toxic"))).collect()} == {0}
+
+
 def test_prefix_hashes():
     poly = polyhash.Poly(1)
     data = np.frombuffer(b"abcabcabc", np.uint8)
@@ -499,21 +597,58 @@ def test_prefix_hashes():
     assert len(set(same.tolist())) == 1 and poly.stretch(h, np.array([1]), np.array([4]))[0] != same[0]
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    clean = by_id(toxicity.decisions(docs, spark.read.parquet(f"{folder}/labels.parquet")))
-    stay = [r for r in docs.collect() if not clean[r.doc_id].predicted]
-    last = {r.text or "": max(x.doc_id for x in stay if (x.text or "") == (r.text or "")) for r in stay}
+def _pipeline_by_hand(rows, rejected):
+    """The documents that all stages but the mixture keep, found by comparing all pairs."""
+    stay = [r for r in rows if r[0] not in rejected]
+    last = {}
+    for i, t in stay:
+        last[t or ""] = max(i, last.get(t or "", -1))
     stay = sorted(last.values())
-    sets = _sets([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in set(stay)])
-    found = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    sets = {i: x for i, x in _sets(rows).items() if i in set(stay)}
     root = {i: i for i in stay}
     for a in stay:
         for b in stay:
             if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = root[a], root[b]
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    assert found == set(root.values())
+    return sorted(set(root.values()))
+
+
+def _check_pipeline(spark, folder, docs):
+    """All rows that come out, as often as the mixture takes them, with the library's counts and digests."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = dict(rows)
+    rejected = {r.doc_id for r in toxicity.decisions(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect() if r.predicted}
+    stay = _pipeline_by_hand(rows, rejected)
+    times = collections.Counter(r.doc_id for r in mixing.schedule(docs.where(F.col("doc_id").isin(stay))).collect())
+    assert set(times) == set(stay)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert collections.Counter(r.doc_id for r in found) == times
+    for r in found:
+        ids = [*lib.encode(texts[r.doc_id] or ""), lib.eos_id()]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_pipeline(spark):
+    folder = "/root/testdata/sf0.001"
+    _check_pipeline(spark, folder, spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, repeated texts, a null source, columns that clash; then no rows at all."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    labels = spark.createDataFrame([(1, 0), (9, None)], "doc_id long, toxic int")
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+    _check_pipeline(spark, str(tmp_path / "some"), spark.read.parquet(str(tmp_path / "some" / "documents.parquet")))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
