@@ -9,9 +9,6 @@ from pyspark.sql import Window as W
 from millrace.functions.text import seeded
 from millrace.sources.staging import settle
 
-#: Rows of a group that one round of the budget walk looks at.
-WALK = 1000
-
 
 def first_of_group(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The first row of each group. Map tasks keep one row of a group each, so a hot group arrives combined."""
@@ -38,40 +35,25 @@ def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, c
     """Greedy choice by seeded hash: of each group the rows in hash order whose size still fits, up to most rows.
 
     A row that does not fit is passed over and the walk goes on; of equal contents the first counts.
-    Each round folds over the next WALK rows of a group that could still fit, so no task holds a group;
-    rounds end when no group has such a row. Returns (group, key, size).
+    A round takes the longest run of rows that fits as a whole, found by prefix sums over ranges of the
+    order, and then leaves out what can never fit again; so rounds are as few as the times that the walk
+    is stopped by a large row, and no task holds a group. Returns (group, key, size).
     """
     walk = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"), F.col(content).alias("c"), seeded(seed, F.col(key)).alias("h"))
-    walk = settle(walk.groupBy("g", "c").agg(F.min_by(F.struct("h", "k", "s"), F.struct("h", "k")).alias("r")).select("g", "r.*").where(F.col("s") <= budget))
-    state, chosen = None, None
-    while True:
-        left = walk
-        if state is not None:
-            left = walk.join(state, "g").where((F.struct("h", "k") > F.col("last")) & (F.col("s") <= budget - F.col("used")) & (F.col("n") < most))
-        start = ["n", "used"] if state is not None else []
-        line = W.partitionBy("g").orderBy("h", "k")
-        part = left.withColumn("r", F.row_number().over(line)).where(F.col("r") <= WALK)
-        begin = [F.first(x).alias(x) for x in start] or [F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used")]
-        part = part.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("h", "k", "s"))).alias("rows"), *begin)
-        taken = F.aggregate(
-            "rows",
-            F.struct(F.col("n").cast("long").alias("n"), F.col("used").cast("long").alias("used"), F.array().cast(f"array<{walk.schema['k'].dataType.simpleString()}>").alias("keys")),
-            lambda a, x: F.when(
-                (a["n"] < most) & (a["used"] + x["s"] <= budget),
-                F.struct((a["n"] + 1).alias("n"), (a["used"] + x["s"]).alias("used"), F.concat(a["keys"], F.array(x["k"])).alias("keys")),
-            ).otherwise(a),
-        )
-        done = settle(part.select("g", taken.alias("t"), F.element_at("rows", -1).alias("e")))
-        if done.isEmpty():
-            break
-        some = done.select("g", F.explode("t.keys").alias("k"))
-        chosen = some if chosen is None else chosen.unionByName(some)
-        state = done.select("g", "t.n", "t.used", F.struct("e.h", "e.k").alias("last"))
-        if walk.join(state, "g").where((F.struct("h", "k") > F.col("last")) & (F.col("s") <= budget - F.col("used")) & (F.col("n") < most)).isEmpty():
-            break
-    if chosen is None:
-        chosen = walk.select("g", "k").limit(0)
-    return walk.join(chosen, ["g", "k"]).select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(size))
+    walk = walk.groupBy("g", "c").agg(F.min_by(F.struct("h", "k", "s"), F.struct("h", "k")).alias("r")).select("g", "r.*")
+    left = settle(walk.select("*", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")).where((F.col("s") <= budget) & (F.lit(most) > 0)))
+    chosen = left.select("g", "k", "s").limit(0)
+    while not left.isEmpty():
+        placed = running_offset(left, "h", F.col("s"), ["g"]).withColumnRenamed("offset", "before")
+        placed = running_offset(placed, "h", F.lit(1), ["g"])
+        fits = (F.col("before") + F.col("s") <= budget - F.col("used")) & (F.col("offset") < most - F.col("n"))
+        placed = settle(placed.withColumn("fits", fits))
+        chosen = chosen.unionByName(placed.where("fits").select("g", "k", "s"))
+        taken = placed.where("fits").groupBy("g").agg(F.sum("s").alias("more"), F.count(F.lit(1)).alias("rows"))
+        rest = placed.where("NOT fits").join(taken.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")))
+        rest = rest.select("g", "k", "s", "h", (F.col("used") + F.col("more")).alias("used"), (F.col("n") + F.col("rows")).alias("n"))
+        left = settle(rest.where((F.col("s") <= budget - F.col("used")) & (F.col("n") < most)))
+    return chosen.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(size))
 
 
 def running_offset(rows: DataFrame, key: str, size: Column, group: list[str] | None = None) -> DataFrame:

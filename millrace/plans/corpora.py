@@ -14,6 +14,7 @@ from millrace.operators import tokens as K
 from millrace.plans.catalog import _NORMAL_SQL, _PAIRS_SQL, BUCKET_SQL, BYTES_SQL, SEED, SPLIT_SQL, _pairs
 from millrace.plans.registry import as_long, query, table
 from millrace.sources import shards, sinks
+from millrace.sources import readers
 from millrace.sources.readers import counted, first_reason
 
 _BODY_SQL = "list_transform(range(1, length(hex(encode({0}))), 2), lambda i: CAST('0x' || substr(hex(encode({0})), i, 2) AS INTEGER))"
@@ -445,3 +446,84 @@ def canonical_lines(spark, d):
     """Canonical JSON: names in order, nulls kept, NaN refused."""
     rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("b"), F.col("c_name").alias("a"), F.lit(None).cast("double").alias("c"))
     return rows.select("c_custkey", sinks.canonical_rows(rows.select("c", "b", "a")).alias("line"))
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS k, p_size AS n FROM part)
+    SELECT CASE WHEN k % 11 = 0 THEN 'invalid_json' WHEN k % 7 = 0 THEN 'missing_field' WHEN k % 5 = 0 THEN 'no_final_answer' WHEN k % 3 = 0 THEN 'too_long' ELSE 'accepted' END AS reason, count(*) AS n_rows,
+    CAST(sum(CASE WHEN k % 11 <> 0 AND k % 7 <> 0 AND k % 5 <> 0 THEN n * 1000 END) AS BIGINT) AS total FROM r GROUP BY 1"""
+)
+def word_problem_rejects(spark, d):
+    """Lines of word problems made of parts, with why each is refused and the sum of the final answers that were read."""
+    k = F.col("p_partkey")
+    number = F.concat(F.lit("some steps\n#### "), F.col("p_size"), F.lit(",000"))
+    question = F.when(k % 7 == 0, "").when(k % 3 == 0, F.repeat(F.lit("long "), 60)).otherwise("How many?")
+    line = F.to_json(F.struct(question.alias("question"), F.when(k % 5 == 0, "no number").otherwise(number).alias("answer")))
+    rows = readers.parsed_problems(table(spark, d, "part").select(F.when(k % 11 == 0, "{").otherwise(line).alias("value")))
+    final = F.when(F.col("reason").isin("accepted", "too_long"), F.col("final").cast("long"))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(final).alias("total"))
+
+
+@query("SELECT task, count(*) AS n_rows, count(DISTINCT family_id) AS n_families FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'arithmetic' ELSE 'physics' END AS task, c_custkey AS family_id FROM customer) GROUP BY task")
+def evaluation_gate(spark, d):
+    """An evaluation set that passes all its gates: fields, tasks and a family of its own for each row."""
+    k = F.col("c_custkey").cast("string")
+    rows = table(spark, d, "customer").select(
+        F.when(F.col("c_custkey") % 2 == 0, "arithmetic").otherwise("physics").alias("task"), F.col("c_name").alias("prompt"), k.alias("expected_answer"), k.alias("family_id"), F.col("c_mktsegment").alias("source_id")
+    )
+    return readers.gated_evaluation(rows, ["arithmetic", "physics"]).groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("family_id").alias("n_families"))
+
+
+_GRID_SQL = """g AS (SELECT i // 63 AS l, (i // 3) % 21 AS r, ['+', '-', '*'][i % 3 + 1] AS op FROM range(0, 1323) t(i)), f AS (SELECT l, r, op, l || op || r AS family FROM g)"""
+
+
+@query(
+    f"""WITH {_GRID_SQL}, t AS (SELECT DISTINCT l_linenumber || '*' || (l_partkey % 21) AS family FROM lineitem),
+    h AS (SELECT family, sha256('holdout:' || family) AS h FROM f WHERE {BUCKET_SQL.format("family")} >= 9500 AND family NOT IN (SELECT family FROM t))
+    SELECT family, CAST(row_number() OVER (ORDER BY h, family) AS INTEGER) AS rank FROM h ORDER BY rank LIMIT 32"""
+)
+def easy_holdout(spark, d):
+    """Small calculations of the test split that no training family has, the first by hash."""
+    i = F.col("id")
+    left, right, op = F.floor(i / 63), F.floor(i / 3) % 21, F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("*")), (i % 3 + 1).cast("int"))
+    grid = spark.range(21 * 21 * 3).select(F.concat(left, op, right).alias("family"))
+    seen = table(spark, d, "lineitem").select(F.concat("l_linenumber", F.lit("*"), F.col("l_partkey") % 21).alias("family")).distinct()
+    held = grid.where(_split("family") == "test").join(seen, "family", "left_anti")
+    return S.top_by_hash(held, "holdout", "family", 32).select("family", "rank")
+
+
+@query(
+    """SELECT 'flag' AS counter, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'status', l_linestatus, count(*) FROM lineitem GROUP BY 2
+    UNION ALL SELECT 'steps', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'tax', CAST(l_partkey % 5 AS VARCHAR), count(*) FROM lineitem GROUP BY 2
+    UNION ALL SELECT 'operator', ['+', '-', '*', '/'][l_suppkey % 4 + 1], count(*) FROM lineitem GROUP BY 2"""
+)
+def value_counters(spark, d):
+    """Five counters in one pass over the rows."""
+    rows = table(spark, d, "lineitem")
+    op = F.element_at(F.array(*map(F.lit, "+-*/")), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    parts = {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "steps": F.col("l_linenumber").cast("string"), "tax": (F.col("l_partkey") % 5).cast("string"), "operator": op}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("counter"), c.alias("value")) for name, c in parts.items()]))
+    return rows.select(each.alias("c")).groupBy("c.counter", "c.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    r"""WITH a AS (SELECT l_partkey AS p, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 9 AS k FROM lineitem),
+    s AS (SELECT CASE k WHEN 0 THEN '- (' || n || ' - ' || q || ') * 2' WHEN 1 THEN q || ' / 8' WHEN 2 THEN q || ' / 1000 + ' || n WHEN 8 THEN '((' || n || ' + 1)) * 1,000' END AS expression,
+      CASE k WHEN 0 THEN CAST((q - n) * 2 AS VARCHAR) WHEN 1 THEN regexp_replace(regexp_replace(CAST(CAST(q / 8.0 AS DECIMAL(18, 3)) AS VARCHAR), '0+$', ''), '\.$', '') WHEN 2 THEN regexp_replace(regexp_replace(CAST(CAST(q / 1000.0 + n AS DECIMAL(18, 3)) AS VARCHAR), '0+$', ''), '\.$', '')
+      WHEN 8 THEN CAST((n + 1) * 1000 AS VARCHAR) END AS result,
+      CASE k WHEN 3 THEN 'no finite decimal' WHEN 4 THEN 'division by zero' WHEN 5 THEN 'syntax' WHEN 6 THEN 'nesting' WHEN 7 THEN 'one equals sign' END AS error FROM a)
+    SELECT expression, result, error, count(*) AS n FROM s GROUP BY ALL"""
+)
+def annotation_shapes(spark, d):
+    """Annotations of many shapes: signs, brackets, separators, decimals, and each way to be wrong."""
+    n, q, k = F.col("l_linenumber"), F.col("q"), F.col("l_suppkey") % 9
+    rows = table(spark, d, "lineitem").select("l_linenumber", "l_suppkey", as_long("l_quantity").alias("q"))
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = (
+        F.when(k == 0, join("-(", n, "-", q, ")*2=", (q - n) * 2))
+        .when(k == 1, join(q, "/8=", (q / 8).cast("decimal(18,3)")))
+        .when(k == 2, join(q, "/1000+", n, "=", (q / 1000 + n).cast("decimal(18,3)")))
+        .when(k == 3, "1/3=0.33").when(k == 4, join(q, "/(1-1)=0")).when(k == 5, join(q, "**2=4")).when(k == 6, "((((1))))=1").when(k == 7, "1+1")
+        .otherwise(join("((", n, "+1))*1,000=", (n + 1) * 1000))
+    )
+    return rows.select(calculations.verified(text).alias("v")).select("v.*").groupBy("expression", "result", "error").agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+
+# Policies, and the fields of a registry.
 POLICIES = ["eligible", "excluded", "row-filtered"]
 REGISTRY = "source_id string, name string, url string, revision string, subset string, license_id string, policy string, notes string, exclusion_reason string, stages array<string>, allowed_row_licenses array<string>"
 
@@ -34,7 +39,11 @@ def demand_none(rows: DataFrame, what: str) -> None:
 
 def word_problems(spark: SparkSession, path: str, context: int = 256) -> DataFrame:
     """JSON lines with question and answer (ending in #### number): question, answer, final, reason."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parsed_problems(spark.read.text(path).where(F.trim("value") != ""), context)
+
+
+def parsed_problems(lines: DataFrame, context: int = 256) -> DataFrame:
+    """From lines (value) to question, answer, final, reason: accepted, or the first rule against the line."""
     row = F.from_json("value", "question string, answer string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     read = lines.select(row.alias("r")).select("r.*")
     final = F.regexp_extract("answer", r"####\s*([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*\z", 1)
@@ -52,6 +61,11 @@ def evaluation_set(spark: SparkSession, path: str, tasks: list[str]) -> DataFram
     """Evaluation rows; stops unless every row has its fields, a known task and a family of its own."""
     schema = "task string, prompt string, expected_answer string, expected_unit string, family_id string, source_id string"
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return gated_evaluation(rows, tasks)
+
+
+def gated_evaluation(rows: DataFrame, tasks: list[str]) -> DataFrame:
+    """The rows of an evaluation set; stops unless every row has its fields, a known task and a family of its own."""
     needed = ["task", "prompt", "expected_answer", "family_id", "source_id"]
     empty = F.exists(F.array(*needed), lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
     demand_none(rows.where(empty | ~F.col("task").isin(tasks)), "incomplete or unknown rows")
@@ -60,7 +74,19 @@ def evaluation_set(spark: SparkSession, path: str, tasks: list[str]) -> DataFram
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a registry file {schema_version, sources: [...]}; stops at unclear policies, licences and repeated ids."""
+    """Sources of a registry file {schema_version, sources: [...]}.
+
+    Stops at secrets, other versions, missing or unknown keys, unclear policies, licences and repeated ids.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    keys = lambda c: F.array_sort(F.json_object_keys(c))
+    names = sorted(f.split()[0] for f in REGISTRY.split(", "))
+    optional = F.array(F.lit("exclusion_reason"))
+    sources = whole.select(F.explode(F.from_json(F.get_json_object("value", "$.sources"), "array<string>")).alias("s"))
+    known = [F.lit(n) for n in names if n != "exclusion_reason"]
+    demand_none(whole.where(T.has_secret(F.col("value"))).select(F.lit("secret")), "a secret in the registry")
+    demand_none(whole.where(~keys("value").eqNullSafe(F.array(F.lit("schema_version"), F.lit("sources"))) | ~F.get_json_object("value", "$.schema_version").eqNullSafe("1")), "keys or version of the registry")
+    demand_none(sources.where(~F.array_except(keys("s"), optional).eqNullSafe(F.array(*known))), "missing or unknown keys of a source")
     rows = spark.read.schema(f"schema_version int, sources array<struct<{REGISTRY.replace(' ', ': ').replace(',: ', ', ')}>>").option("multiLine", True).json(path)
     found = rows.select(F.explode("sources").alias("s")).select("s.*")
     rules = [
@@ -75,13 +101,28 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def licence_gate(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """records (source_id, license_id) with reason: what the registry says of each row."""
+def snapshot_errors(snapshot: dict) -> list[str]:
+    """What is wrong with the pin of a Parquet snapshot: revision (40 hexadecimal digits), path (relative, no ..), row groups (in order, none twice)."""
+    errors = []
+    if not re.fullmatch(r"[0-9a-f]{40}", str(snapshot.get("revision", ""))):
+        errors.append("revision")
+    path = str(snapshot.get("path", ""))
+    if not path.endswith(".parquet") or path.startswith("/") or ".." in path.split("/"):
+        errors.append("path")
+    groups = snapshot.get("row_groups")
+    if not isinstance(groups, list) or not groups or any(isinstance(g, bool) or not isinstance(g, int) or g < 0 for g in groups) or sorted(set(groups)) != groups:
+        errors.append("row_groups")
+    return errors
+
+
+def licence_gate(records: DataFrame, sources: DataFrame, eligible_only: bool = False) -> DataFrame:
+    """records (source_id, license_id) with reason: what the registry says of each row. eligible_only: row-filtered sources are refused."""
     known = sources.select("source_id", F.col("license_id").alias("_l"), F.col("policy").alias("_p"), F.col("allowed_row_licenses").alias("_a"))
     joined = records.join(known, "source_id", "left")
     rules = [
         ("unknown_source", F.col("_p").isNull()),
         ("excluded_source", F.col("_p") == "excluded"),
+        ("not_eligible", F.lit(eligible_only) & (F.col("_p") != "eligible")),
         ("licence_mismatch", (F.col("_p") == "eligible") & ~F.col("license_id").eqNullSafe(F.col("_l"))),
         ("row_licence", (F.col("_p") == "row-filtered") & ~F.coalesce(F.array_contains("_a", F.col("license_id")), F.lit(False))),
     ]

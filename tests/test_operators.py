@@ -93,34 +93,27 @@ def test_conversations(spark):
 
 
 def test_greedy_budget_walk(spark):
-    rows = [(g, i, (i * 7919) % 400 + 1, f"{i % 90}" if i % 11 == 0 else f"u{g}{i}") for g in ("a", "b") for i in range(300)]
-    for most, budget in ((50, 3000), (3, 10_000), (1000, 200)):
+    """Against a plain walk: repeated contents count once, rows that do not fit are passed over, and the walk goes on."""
+    rows = []
+    for g in ("a", "b", None):
+        for i in range(300):
+            content = i % 90 if i % 3 == 0 else i  # of equal contents, the first in hash order counts
+            rows.append((g, i, (content * 7919) % 400 + 1, f"{content}"))
+    rows.append(("c", 1, 10**6, "large"))
+    frame = spark.createDataFrame(rows, "g string, k long, s long, c string").repartition(5)
+    for most, budget in ((50, 3000), (3, 10_000), (1000, 200), (0, 100), (1000, 10**5)):
         expected = set()
-        for g in ("a", "b"):
+        for g in ("a", "b", None, "c"):
             used, n, seen = 0, 0, set()
-            for _, k, size, content in sorted(((hashlib.sha256(f"s:{k}".encode()).hexdigest(), k, s, c) for gg, k, s, c in rows if gg == g)):
-                if content in seen or used + size > budget:
+            for _, k, size, content in sorted((hashlib.sha256(f"s:{k}".encode()).hexdigest(), k, s, c) for gg, k, s, c in rows if gg == g):
+                if content in seen:
                     continue
-                used, n = used + size, n + 1
                 seen.add(content)
-                expected.add((g, k))
-                if n >= most:
-                    break
-        keep, S.WALK = S.WALK, 20
-        # equal contents have equal sizes in a real corpus
-        sized = {c: s for _, _, s, c in rows}
-        assert all(sized[c] == s for _, _, s, c in rows if c.startswith("u"))
-        frame = spark.createDataFrame([r for r in rows if r[3].startswith("u")], "g string, k long, s long, c string")
-        got = {(r.g, r.k) for r in S.within_budget(frame, "s", "g", "k", "s", "c", most, budget).collect()}
-        S.WALK = keep
-        expected = set()
-        for g in ("a", "b"):
-            used = n = 0
-            for _, k, size in sorted((hashlib.sha256(f"s:{k}".encode()).hexdigest(), k, s) for gg, k, s, c in rows if gg == g and c.startswith("u")):
-                if used + size <= budget and n < most:
+                if n < most and used + size <= budget:
                     used, n = used + size, n + 1
                     expected.add((g, k))
-        assert got == expected
+        got = [(r.g, r.k) for r in S.within_budget(frame, "s", "g", "k", "s", "c", most, budget).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
 
 
 def test_running_offset(spark):
@@ -256,6 +249,22 @@ def test_pins_and_whole_texts(spark, tmp_path):
     assert (tmp_path / "t" / "m.json").read_text() == '{"a":2}' and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".m.json.") and "crc" not in p.name]
 
 
+def test_registry_keys_and_pins(spark, tmp_path):
+    source = {"source_id": "s", "name": "n", "url": "u", "revision": "r", "subset": "x", "license_id": "l", "policy": "eligible", "notes": "", "stages": ["base"], "allowed_row_licenses": []}
+    for i, (file, what) in enumerate([
+        ({"schema_version": 2, "sources": [source]}, "version"), ({"schema_version": 1, "sources": [source], "more": 1}, "keys"), ({"schema_version": 1, "sources": [source | {"more": 1}]}, "keys of a source"),
+        ({"schema_version": 1, "sources": [{k: v for k, v in source.items() if k != "notes"}]}, "keys of a source"), ({"schema_version": 1, "sources": [source | {"notes": "sk-" + "a" * 20}]}, "secret"),
+    ]):
+        (tmp_path / f"{i}.json").write_text(json.dumps(file))
+        with pytest.raises(readers.GateError, match=what):
+            readers.registry(spark, str(tmp_path / f"{i}.json"))
+    good = {"revision": "a" * 40, "path": "data/x.parquet", "row_groups": [0, 3]}
+    assert readers.snapshot_errors(good) == []
+    assert readers.snapshot_errors({"revision": "A" * 40, "path": "../x.parquet", "row_groups": [3, 3]}) == ["revision", "path", "row_groups"]
+    records, sources = spark.createDataFrame([("s", "l1")], "source_id string, license_id string"), spark.createDataFrame([("s", "l", "row-filtered", ["l1"])], "source_id string, license_id string, policy string, allowed_row_licenses array<string>")
+    assert [readers.licence_gate(records, sources, only).first().reason for only in (False, True)] == ["accepted", "not_eligible"]
+
+
 def test_corpora_gates(spark):
     rows = spark.createDataFrame([("train", "f", 1, 2), ("test", "f", 1, 1)], "split string, family_id string, n_tokens long, n_targets long")
     with pytest.raises(readers.GateError, match="validation"):
