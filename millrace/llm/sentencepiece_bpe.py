@@ -5,7 +5,8 @@ where no piece can reach across, and each segment is merged by a score-ordered a
 symbol pairs that form a piece wait in a heap, the best score goes first and the leftmost of equals;
 a merge adds the pairs with both neighbours. Symbols that are no piece fall back to bytes.
 
-Segments repeat, so each worker keeps the ids of those it has seen, in a table of bounded size. The
+Segments repeat, so each worker keeps the ids of those it has seen, in flat arrays of bounded size. Texts
+are cut and segments numbered by Arrow, and the ids of a stretch of texts are gathered at once. The
 new short segments of a batch are merged together: their agendas are the rows of one array, of which
 every round takes each row's best pair. Long segments have a heap each. Each Arrow batch is checked
 against the sentencepiece library: where a text's ids differ, the library's ids are returned and
@@ -21,10 +22,11 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from millrace.llm.scratch import lean
 #: The mark that stands for a space.
 MARK = "▁"
 #: Segments that a worker remembers.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 400_000
 #: Segments up to this many characters are merged in arrays.
 SHORT = 24
 #: Segments merged in one array, which then stays in the processor's cache.
@@ -47,17 +49,17 @@ LONE = 1 << 21
 #: The score rank of a pair that forms no piece.
 NEVER = np.iinfo(np.int32).max
 #: Texts given to the library at once hold about this many characters.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 1_000_000
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, agenda_agrees boolean"
 
 
-class Agenda(dict):
-    """Segment -> tuple of ids. A dict, so that known segments cost one lookup."""
+class Agenda:
+    """The ids of texts. Known segments are rows of flat arrays: rows[segment], and its ids from starts[row] on, sizes[row] of them."""
 
     def __init__(self, processor, cache: int = CACHE_SEGMENTS):
-        super().__init__()
         self.cache = cache
+        self.clear()
         n = processor.get_piece_size()
         plain = [i for i in range(n) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i))]
         self.ids = {processor.id_to_piece(i): i for i in plain}
@@ -70,10 +72,9 @@ class Agenda(dict):
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in merged):
             raise ValueError("pieces reach across spaces: texts of this vocabulary cannot be cut at the mark")
         # Two characters that stand together in no piece are never merged into one, so the text may be
-        # cut between them: before a new line and, after a letter, before these stops.
-        stops = re.escape("".join(c for c in STOPS if not any(re.search(LETTER + re.escape(c), p) for p in merged)) or "\0")
-        word = f"[^{MARK}]" if "\n" in inner else f"[^{MARK}\n]"
-        self.segments = re.compile(f"{MARK}*(?:(?![{stops}]){word})+(?:(?<={LETTER})(?=[{stops}])|{word}*)|{MARK}*{word}+|{MARK}+|\n").findall
+        # cut between them: before marks, around a new line and, after a letter, before these stops.
+        self.lines = "\n" not in inner
+        self.stops = "".join(c for c in STOPS if not any(re.search(LETTER + re.escape(c), p) for p in merged))
 
         # The symbol of each code point.
         self.single = np.arange(LONE, LONE + 0x110000, dtype=np.int32)
@@ -107,6 +108,25 @@ class Agenda(dict):
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], np.int32(NEVER)), self.pair_ids[at]
 
+    def clear(self) -> None:
+        """Forget all segments. The empty one has no ids."""
+        self.rows = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _store(self, segments: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Append segments and their ids, one after the other."""
+        first, last = len(self.rows), len(self.rows) + len(segments)
+        if last > len(self.starts):
+            self.starts, self.sizes = (np.resize(x, 2 * last) for x in (self.starts, self.sizes))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.rows.update(zip(segments, range(first, last), strict=True))
+
     def learn(self, segments: list[str]) -> None:
         """Put new short segments of one length range into the table, all merged together."""
         width = max(map(len, segments))
@@ -141,12 +161,14 @@ class Agenda(dict):
                 r, i = self._look(symbols[n[ok], side[ok]], symbols[n[ok], side[ok] + 1])
                 ranks[n[ok], side[ok]], ids[n[ok], side[ok]] = r, i
         for which, left in zip(done_rows, done_symbols, strict=True):
-            sizes, lone = (left >= 0).sum(axis=1).tolist(), (left >= LONE).any(axis=1).tolist()
-            for row, ends, n, odd in zip(which.tolist(), left.tolist(), sizes, lone, strict=True):
-                out = ends[:n]
-                if odd:
-                    out = [i for x in out for i in ([x] if x < LONE else self._fallback(chr(x - LONE)))]
-                self[segments[row]] = tuple(out)
+            there, odd = left >= 0, (left >= LONE).any(axis=1)
+            plain = ~odd
+            self._store([segments[i] for i in which[plain].tolist()], there[plain].sum(axis=1), left[plain][there[plain]])
+            for row, ends, n in zip(which[odd].tolist(), left[odd].tolist(), there[odd].sum(axis=1).tolist(), strict=True):
+                self._store_one(segments[row], [i for x in ends[:n] for i in ([x] if x < LONE else self._fallback(chr(x - LONE)))])
+
+    def _store_one(self, segment: str, ids: list[int]) -> None:
+        self._store([segment], np.array([len(ids)]), np.array(ids, np.int32))
 
     def _fallback(self, symbol: str) -> list[int]:
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unknown]
@@ -176,30 +198,53 @@ class Agenda(dict):
                     heapq.heappush(heap, (rank[new], left, new))
         return [s for s in symbols if s]
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
+    def learn_long(self, segment: str) -> None:
+        """Put one long segment into the table, merged by a heap of its own."""
         ids: list[int] = []
         for symbol in self.merge(segment):
-            if symbol in self.ids:
-                ids.append(self.ids[symbol])
-            else:
-                ids += self._fallback(symbol)
-        if len(self) < self.cache and len(segment) <= 4 * SHORT:
-            self[segment] = tuple(ids)
-        return tuple(ids)
+            ids += [self.ids[symbol]] if symbol in self.ids else self._fallback(symbol)
+        self._store_one(segment, ids)
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The segments of each text, with marks for spaces and one in front; some may be empty."""
+        free = next((c for c in map(chr, range(9)) if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+        marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
+        if free is None:  # every sign is in use: texts are segments as they are
+            return pa.LargeListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int64()), pc.replace_substring(marked, " ", MARK))
+        marked = pc.replace_substring(pc.replace_substring_regex(marked, f"([ {MARK}]+)", f"{free}\\1"), " ", MARK)
+        if self.lines:
+            marked = pc.replace_substring(marked, "\n", f"{free}\n{free}")
+        if self.stops:
+            marked = pc.replace_substring_regex(marked, f"({LETTER})([{re.escape(self.stops)}])", f"\\1{free}\\2")
+        return pc.split_pattern(marked, free)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
-        cut = [self.segments(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
-        every = set(chain.from_iterable(cut))
-        new = every.difference(self)
-        if len(self) + len(new) > self.cache:
+        lists = self.cut(pa.array(texts, pa.large_string()))
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        segments = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.rows.get, segments, repeat(-1)), np.int64, len(segments))
+        if len(self.rows) + (known < 0).sum() > self.cache or self.used > 16 * self.cache:
             self.clear()
-            new = every
+            known = np.fromiter(map(self.rows.get, segments, repeat(-1)), np.int64, len(segments))
+        open_ = np.flatnonzero(known < 0)
+        new = [segments[i] for i in open_.tolist()]
         for low, high in ((0, 8), (8, 12), (12, 16), (16, SHORT)):
             some = [x for x in new if low < len(x) <= high]
             for start in range(0, len(some), LEARN_ROWS):
                 self.learn(some[start : start + LEARN_ROWS])
-        return [list(chain.from_iterable(map(self.__getitem__, segments))) for segments in cut]
+        for segment in new:
+            if len(segment) > SHORT:
+                self.learn_long(segment)
+        known[open_] = np.fromiter(map(self.rows.__getitem__, new), np.int64, len(new))
+        row = known[coded.indices.to_numpy()]
+        size = self.sizes[row].astype(np.int64)
+        ends = np.cumsum(size)
+        at = np.repeat(self.starts[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.flat[at].tolist()
+        cuts = np.append(0, ends)[offsets - offsets[0]].tolist()
+        return [ids[first:last] for first, last in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -511,6 +511,32 @@ def test_sentencepiece(docs, rows, none):
     assert sentencepiece_bpe.encode_documents(none, path).count() == 0
 
 
+def test_agenda_on_odd_texts():
+    """Cuts at odd places: marks in the text, runs of spaces, every control character in use, long words; and a table that is full again and again."""
+    import public_tokenizers
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    signs = [" ", "  ", "\n", "\n\n", "▁", "▁▁", ".", "a.", "é!", "漢,", "\t", "\r\n", "the ", "people", "x" * 30, "😀", "\x00", "\x01", "ing", "?!", " ▁", "\u00a0", "Ünï", "0", "1,2"]
+    texts = ["", " ", "\n", "▁", "  a", "a  ", "".join(map(chr, range(9))) + " all signs. a b", "w" * 5000, *("".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(600))]
+    agenda = sentencepiece_bpe.Agenda(lib)
+    for start in range(0, len(texts), 50):
+        part = texts[start : start + 50]
+        assert agenda.encode(part) == lib.encode(part)
+    small = sentencepiece_bpe.Agenda(lib, cache=40)
+    assert [small.encode([t])[0] for t in texts] == lib.encode(texts)
+
+
+def test_sentencepiece_repeated_ids(spark):
+    """Rows that share an id stay apart, and other columns are not read."""
+    import public_tokenizers
+
+    frame = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (1, None, 6), (None, "c", 7)], "doc_id long, text string, n_tokens int")
+    found = sentencepiece_bpe.encode_documents(frame, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == [(0, 2), (1, 1), (1, 3), (1, 3)] and all(r.agenda_agrees for r in found)
+
+
 def test_sentencepiece_ids_are_the_agendas(monkeypatch):
     ours, theirs = [[1, 2], [3], [4]], [[1, 2], [3], [5]]
 
