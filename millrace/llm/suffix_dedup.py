@@ -6,10 +6,12 @@ whose GRAM-byte hash is the smallest in some window of LENGTH bytes, so equal wi
 at equal places, about one for 35 bytes; the context of an anchor is what windows around it can reach,
 68 bytes before and 100 after it.
 
-1. Anchors go by the hash of their gram to one partition and are sorted there. If a context is equal
-   to an earlier one (64-bit hashes of gram and context under two independent polynomials), all of it
-   is covered. Within an Arrow batch this is known before the shuffle, so a text with a third of all
-   rows arrives once for each batch.
+1. Anchors go by the hash of their gram to one partition and are sorted there. A context with the hashes
+   of an earlier one is covered if its bytes are equal too. Within an Arrow batch this is checked before
+   the shuffle, so a text with a third of all rows arrives once for each batch. Across batches,
+   contexts that touch and repeat one document at one distance form a run; the bytes of both sides of a
+   run are joined and compared. Contexts of a run that differs go into the sort, with those they
+   were taken for.
 2. What is left are first contexts whose gram also occurs in others: edges of copies. Their bytes are
    fetched, and their suffixes sorted by a mergesort whose comparisons find the common extension of
    two suffixes by binary search over prefix polynomial hashes. Suffixes that start one byte earlier
@@ -23,12 +25,13 @@ at equal places, about one for 35 bytes; the context of an anchor is what window
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.polyhash import Poly, byte_view, chunks, mix
@@ -44,6 +47,8 @@ HOT = 50_000
 FETCHED_ROWS = 20_000
 #: Contexts sorted at once (a group is never divided).
 SORTED_ROWS = 8000
+#: Contexts of a batch compared at once.
+COMPARED_ROWS = 1 << 16
 _FIRST, _SECOND = Poly(61), Poly(62)
 _NO_ID = -(1 << 63)
 
@@ -83,8 +88,23 @@ def _merged(start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (k, tie, text) to (route, context, k, tie, start, end): anchors with end 0, and covers that the batch knows."""
+def _equal_contexts(data: np.ndarray, start: np.ndarray, end: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes of data from start to end are those of the other stretch. Contexts have LENGTH to SPAN bytes,
+    so their first and last LENGTH bytes are all of them."""
+    equal = end - start == other_end - other_start
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    for i in range(0, len(start), COMPARED_ROWS):
+        part = slice(i, i + COMPARED_ROWS)
+        equal[part] &= (windows[start[part]] == windows[other_start[part]]).all(axis=1)
+        equal[part] &= (windows[end[part] - LENGTH] == windows[other_end[part] - LENGTH]).all(axis=1)
+    return equal
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
+    """From (k, tie, text) to (route, context, k, tie, start, end): anchors with end 0, and covers that the batch knows.
+
+    bits: how many the hash of a context has.
+    """
     for batch in batches:
         ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         data, offsets = byte_view(batch.column(2))
@@ -92,18 +112,25 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for first, last in chunks(offsets):
             cuts = offsets[first : last + 1] - offsets[first]
             at, text, gram, context = anchors(data[offsets[first] : offsets[last]], cuts)
-            parts.append((at - cuts[text], text + first, gram, context))
+            parts.append((at - cuts[text], text + first, gram, context >> np.uint64(64 - bits)))
         at, text, gram, context = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((ties, ids))] = np.arange(len(ids))
         order = np.lexsort((at, rank[text], context))
         at, text, gram, context = at[order], text[order], gram[order], context[order]
+        sizes = np.diff(offsets)
         again = np.zeros(len(at), bool)
         again[1:] = (context[1:] == context[:-1]) & (gram[1:] == gram[:-1])
+        if again.any():
+            at_first = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+            x = np.flatnonzero(again)
+            y = at_first[x]
+            begins = [offsets[text[i]] + np.maximum(at[i] - LEFT, 0) for i in (x, y)]
+            ends = [offsets[text[i]] + np.minimum(at[i] + LENGTH, sizes[text[i]]) for i in (x, y)]
+            again[x] = _equal_contexts(data, begins[0], ends[0], begins[1], ends[1])
         here, of = at[again], text[again]
         order = np.lexsort((here, of))
         here, of = here[order], of[order]
-        sizes = np.diff(offsets)
         low, high = np.maximum(here - LEFT, 0), np.minimum(here + LENGTH, sizes[of])
         new = _merged(low, high, of)
         ends = np.append(new[1:], len(here)) - 1 if len(new) else new
@@ -125,19 +152,24 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _split_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted anchors to (k, tie, start, end, gram): covers, and with end 0 the first contexts whose gram has others."""
-    names = ["k", "tie", "start", "end", "gram"]
+    """From sorted anchors to (k, tie, start, end, gram, of_k, of_tie, shift).
+
+    With end above 0: covers. With end 0: first contexts whose gram has others. With end -1: contexts with the
+    hashes of an earlier one, which is shift bytes before them if both texts are laid one over the other.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    names = ["k", "tie", "start", "end", "gram", "of_k", "of_tie", "shift"]
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    before = (None, None)  # gram and context of the last anchor
+    before = None  # gram and context of the last anchor, and (k, tie, start) of the first one like it
     waiting = None  # the only context so far of its gram
     for batch in batches:
         route, context, k, tie, start, end = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         known = end > 0
-        done = [x[known] for x in (k, tie, start, end, route)]
+        none = np.zeros(int(known.sum()), np.int64)
+        done = [x[known] for x in (k, tie, start, end, route)] + [none] * 3
         route, context, k, tie, start = (x[~known] for x in (route, context, k, tie, start))
         if not len(route):
             yield out(done)
@@ -145,13 +177,16 @@ def _split_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         new_gram, new_context = np.ones(len(route), bool), np.ones(len(route), bool)
         new_gram[1:] = route[1:] != route[:-1]
         new_context[1:] = new_gram[1:] | (context[1:] != context[:-1])
-        if before[0] == route[0]:
+        if before and before[0] == route[0]:
             new_gram[0] = False
             new_context[0] = before[1] != context[0]
-        again = ~new_context
-        some = [k[again], tie[again], np.maximum(start[again] - LEFT, 0), start[again] + LENGTH, route[again]]
-        first = np.flatnonzero(new_context)
-        rows = [x[first] for x in (k, tie, start, np.zeros_like(start), route)]
+        again, first = np.flatnonzero(~new_context), np.flatnonzero(new_context)
+        # The first context of each: of this batch, or (-1) of an earlier batch.
+        which = np.maximum.accumulate(np.where(new_context, np.arange(len(route)), -1))
+        of = [np.where(which < 0, b, x[np.maximum(which, 0)]) for x, b in zip((k, tie, start), before[2] if before else (0, 0, 0), strict=True)]
+        some = [k[again], tie[again], start[again], np.full(len(again), -1), route[again], of[0][again], of[1][again], start[again] - of[2][again]]
+        zero = np.zeros(len(first), np.int64)
+        rows = [x[first] for x in (k, tie, start)] + [zero, route[first]] + [zero] * 3
         opens = new_gram[first]
         followed = np.append(~opens[1:], False)
         keep = ~opens | followed
@@ -159,7 +194,7 @@ def _split_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             some = [np.append(a, b) for a, b in zip(some, waiting, strict=True)]
         if len(first):
             waiting = tuple(x[-1] for x in rows) if opens[-1] else None
-        before = (route[-1], context[-1])
+        before = (route[-1], context[-1], tuple(x[-1] for x in of))
         yield out([np.concatenate([a, b, c[keep]]) for a, b, c in zip(done, some, rows, strict=True)])
 
 
@@ -381,12 +416,28 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "n_bytes", "kept", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _compare_runs(alike: DataFrame, single: DataFrame) -> DataFrame:
+    """Runs of contexts alike by hash, with the stretch (start, end) of each and whether its bytes are equal (same)."""
+    keys = ["k", "tie", "of_k", "of_tie", "shift"]
+    ordered = Window.partitionBy(*keys).orderBy("start")
+    apart = (F.col("start") - F.lag("start").over(ordered) > SPAN).cast("int")
+    runs = alike.select(*keys, "start", F.coalesce(apart, F.lit(0)).alias("apart")).withColumn("run", F.sum("apart").over(ordered))
+    runs = runs.groupBy(*keys, "run").agg(F.greatest(F.min("start") - LEFT, F.lit(0)).alias("start"), (F.max("start") + LENGTH).alias("end"))
+    texts = single.select("k", "tie", F.col("text").cast("binary").alias("bytes"))
+    size = F.col("end") - F.col("start")
+    earlier = F.when(F.col("start") >= F.col("shift"), F.substring("bytes", F.col("start") - F.col("shift") + 1, size))
+    runs = runs.join(texts.withColumnsRenamed({"k": "of_k", "tie": "of_tie"}), ["of_k", "of_tie"]).select(*keys, "start", "end", earlier.alias("earlier"))
+    same = F.substring("bytes", F.col("start") + 1, size).eqNullSafe(F.col("earlier"))
+    return runs.join(texts, ["k", "tie"]).select(*keys, "start", "end", same.alias("same"))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, kept binary, n_spans): one row for each row of docs, kept are the bytes that stay.
 
     doc_id is a whole number; null counts as the smallest. Null texts are empty; texts under LENGTH bytes
     stay whole. Rows that share id and text are one document; rows that share the id only are ordered by
-    a hash of their text. An empty table gives an empty frame.
+    a hash of their text. An empty table gives an empty frame. bits of a context's hash are used: with
+    fewer, more contexts are taken for equal and then told apart by their bytes, and the result is the same.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"), F.col(text).alias("text"))
@@ -395,23 +446,31 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows of one id and text are one document.
     single = keyed if unique else keyed.dropDuplicates(["k", "tie"])
-    found = single.mapInArrow(_find_anchors, "route long, context long, k long, tie long, start int, end int")
+    found = single.mapInArrow(functools.partial(_find_anchors, bits=bits), "route long, context long, k long, tie long, start int, end int")
     found = found.repartition(parts, "route").sortWithinPartitions("route", "context", "k", "tie", "start")
-    split = write(found.mapInArrow(_split_contexts, "k long, tie long, start int, end int, gram long"), "contexts").df
-    novel = split.where("end = 0")
+    kinds = "k long, tie long, start int, end int, gram long, of_k long, of_tie long, shift int"
+    split = write(found.mapInArrow(_split_contexts, kinds), "contexts").df
+    alike = split.where("end < 0")
+    runs = write(_compare_runs(alike, single), "runs").df
+    differ = write(runs.where("not same").drop("same").withColumnsRenamed({"start": "low", "end": "high"}), "differ")
+    wrong = alike.join(small(differ), ["k", "tie", "of_k", "of_tie", "shift"]).where("start between low and high")
+    sides = F.array(F.struct("k", "tie", "start"), F.struct(F.col("of_k").alias("k"), F.col("of_tie").alias("tie"), (F.col("start") - F.col("shift")).alias("start")))
+    wrong = wrong.select("gram", F.explode(sides).alias("one")).select("one.*", "gram").distinct()
+    novel = split.where("end = 0").select("k", "tie", "start", "gram").unionByName(wrong)
     hot = write(novel.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
     novel = novel.join(small(hot), "gram", "left").select("k", "tie", F.struct("start", "gram", F.coalesce("hot", F.lit(False)).alias("hot")).alias("one"))
     lists = novel.groupBy("k", "tie").agg(F.collect_list("one").alias("novel"))
     fetched = single.join(lists, ["k", "tie"]).select("k", "tie", "text", "novel").mapInArrow(_fetch, "gram long, k long, tie long, at int, left int, bytes binary, end int")
     fetched = fetched.repartition(parts, "gram").sortWithinPartitions("gram", F.when(F.col("left") < 0, F.col("bytes")), "k", "tie", "at")
     sorted_ = fetched.mapInArrow(_sort_suffixes, "k long, tie long, start int, end int")
-    covers = split.where("end > 0").select("k", "tie", "start", "end").unionByName(sorted_)
+    equal = split.where("end > 0").unionByName(runs.where("same"), allowMissingColumns=True).select("k", "tie", "start", "end")
+    covers = equal.unionByName(sorted_)
     covers = write(covers.groupBy("k", "tie").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "covers").df
     applied = keyed.join(covers, ["k", "tie"], "left").select("k", "text", "covers").mapInArrow(_apply, "k long, n_bytes long, kept binary, n_spans long")
     return applied.select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "n_bytes", "kept", "n_spans")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, bits=bits)
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -161,15 +161,33 @@ def _repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffix_dedup(docs, rows, none, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(50_000, 64), (1, 64), (50_000, 1)])
+def test_suffix_dedup(docs, rows, none, monkeypatch, hot, bits):
+    """Also with nearly every context of a gram taken for equal by its hash: the bytes decide."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", 7)
-    got = by_id(suffix_dedup.decisions(docs))
+    got = by_id(suffix_dedup.decisions(docs, bits))
     assert {i: tuple(got[i])[1:] for i in got} == _repeats(rows)
     assert suffix_dedup.decisions(none).count() == 0
 
 
+def test_contexts_are_compared_by_bytes():
+    data = np.frombuffer(bytes(range(33, 127)) * 8, np.uint8).copy()
+    start, end = np.array([0, 0, 0, 0]), np.array([150, 150, 150, 168])
+    other = np.array([94, 95, 188, 94])
+    data[188 + 140] = 1
+    assert suffix_dedup._equal_contexts(data, start, end, other, other + np.array([150, 150, 150, 167])).tolist() == [True, False, False, False]
+
+
+def test_runs_that_differ_are_sorted(spark):
+    """Texts of one gram in several partitions, all contexts taken for equal by a hash of one bit."""
+    part = " ".join(WORDS[:40])
+    texts = [f"{i % 7} " * 60 + part + f" {i % 5}" * 60 for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = by_id(suffix_dedup.decisions(docs, 1))
+    assert {i: tuple(got[i])[1:] for i in got} == _repeats(enumerate(texts))
+
+
 def test_suffix_dedup_repeated_ids(spark):
     text = " ".join(WORDS[:40])
     twice = spark.createDataFrame([(1, text), (1, text), (None, "z" + text), (2, text)], "doc_id long, text string")
