@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Names of the special tokens, which no text may hold.
+# Names of the special tokens, which no text may hold.
 SPECIAL_NAMES = ["<BOS>", "<EOS>", "<USER>", "<ASSISTANT>", "<TOOL>", "<THINK>", "<FINAL>", "<PAD>"]
 
 # What marks a secret, the form of a decimal and of a fraction (Unicode digits and letters count).
@@ -136,10 +136,16 @@ def repeats_phrase(text: Column, times: int = 3, least_words: int = 9) -> Column
 
 
 def plain_decimal(number: Column) -> Column:
-    """A decimal in plain form: no commas, plus sign, trailing zeros or negative zero; null if it is none."""
-    value = number.try_cast("decimal(38,18)")
-    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(text.isin("-0", "0"), "0").otherwise(text)
+    """A decimal in plain form: no plus sign, needless zeros or negative zero; null if it is none.
+
+    Numbers of ASCII digits are exact at any length; others (exponents, other digits, blanks around) have to
+    fit decimal(38,18).
+    """
+    text = number.cast("string")
+    text = F.when(text.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?\z"), text).otherwise(number.try_cast("decimal(38,18)").cast("string"))
+    text = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), "^(-?)0+([0-9])", "$1$2")
+    text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(text == "-0", "0").otherwise(text)
 
 
 def last_decimal(text: Column) -> Column:
@@ -149,8 +155,8 @@ def last_decimal(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """The distinct decimals of a text, as decimal(38,18)."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DECIMAL), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(38,18)"))
+    """The distinct decimals of a text, plain."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DECIMAL), F.lit(0)), lambda x: plain_decimal(F.replace(x, F.lit(","), F.lit(""))))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 

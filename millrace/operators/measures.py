@@ -17,7 +17,7 @@ def scored(rows: DataFrame) -> DataFrame:
     """rows (completion, expected_answer, expected_unit, terminated, special_token_leak) with the parts of their score."""
     text = F.coalesce("completion", F.lit(""))
     rows = rows.withColumn("parsed_answer", T.last_decimal(text)).withColumn("repeated_phrase", T.repeats_phrase(text))
-    rows = rows.withColumn("numeric_correct", F.coalesce(F.col("parsed_answer").try_cast("decimal(38,18)") == F.col("expected_answer").try_cast("decimal(38,18)"), F.lit(False)))
+    rows = rows.withColumn("numeric_correct", F.coalesce(F.col("parsed_answer") == T.plain_decimal(F.col("expected_answer")), F.lit(False)))
     rows = rows.withColumn("unit_correct", T.has_unit(text, F.col("expected_unit")))
     fine = (F.trim(text) != "") & F.col("terminated") & ~F.col("special_token_leak") & ~F.col("repeated_phrase") & F.col("parsed_answer").isNotNull()
     rows = rows.withColumn("format_valid", fine)
@@ -120,7 +120,7 @@ def answer_reason(rows: DataFrame) -> DataFrame:
     from millrace.sources.readers import first_reason
 
     maths = T.squeeze(F.replace(F.replace(F.replace("answer_text", F.lit("−"), F.lit("-")), F.lit("×"), F.lit("*")), F.lit("÷"), F.lit("/")))
-    rows = rows.withColumn("_t", F.coalesce(maths, F.lit(""))).withColumn("_e", F.col("expected_answer").try_cast("decimal(38,18)")).withColumn("_f", F.trim("final_answer").try_cast("decimal(38,18)"))
+    rows = rows.withColumn("_t", F.coalesce(maths, F.lit(""))).withColumn("_e", T.plain_decimal(F.col("expected_answer"))).withColumn("_f", T.plain_decimal(F.trim("final_answer")))
     rules = [
         ("invalid_final_answer", F.col("_e").isNull() | F.col("_f").isNull()),
         ("final_answer_mismatch", F.col("_e") != F.col("_f")),

@@ -268,9 +268,23 @@ def mode_value(spark, d):
     return M.most_common(_results(spark, d), "task", "final", "event_id")
 
 
-@query()
+def _decimals_sql(text: str) -> str:
+    """All decimals of a text, plain. There is no look-behind: marks are set around each character that may stand
+    beside a number, and a number goes from mark to mark."""
+    marked = rf"chr(1) || regexp_replace({text}, '([^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}/])', chr(2) || '\1' || chr(1), 'g') || chr(2)"
+    number = r"\x01(?:\x02[-+]\x01)?(?:\p{Nd}{1,3}(?:\x02,\x01\p{Nd}{3})+|\p{Nd}+)(?:\x02\.\x01\p{Nd}+)?\x02"
+    plain = r"regexp_replace(regexp_replace(x, '[\x01\x02,+]', '', 'g'), '^(-?)0+(\p{Nd})', '\1\2')"
+    plain = rf"regexp_replace(regexp_replace({plain}, '(\.\p{{Nd}}*?)0+$', '\1'), '\.$', '')"
+    return f"list_transform(regexp_extract_all({marked}, '{number}'), lambda x: coalesce(nullif({plain}, '-0'), '0'))"
+
+
+def _last_decimal_sql(text: str) -> str:
+    blank = r"[\s\x0B\x85\p{Z}]*"
+    return rf"CASE WHEN NOT regexp_matches({text}, '\p{{Nd}}{blank}/{blank}[-+]?\p{{Nd}}') THEN ({_decimals_sql(text)})[-1] END"
+
+
+@query(f"SELECT doc_id, {_last_decimal_sql('text')} AS last_decimal, CAST(len(list_distinct({_decimals_sql("coalesce(text, '')")})) AS BIGINT) AS n_numbers FROM documents")
 def last_decimal(spark, d):
-    """SQL engines without look-behind cannot say this; tested against a restatement."""
     return table(spark, d, "documents").select("doc_id", T.last_decimal(F.col("text")).alias("last_decimal"), _long(F.size(T.numbers(F.col("text")))).alias("n_numbers"))
 
 
@@ -458,9 +472,17 @@ def head_split(spark, d):
     return ranked.groupBy(F.when(F.col("offset") < F.floor(F.col("total") * 0.9), "train").otherwise("validation").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("b").alias("n_bytes"))
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS_SQL}, s AS (SELECT conv_id, turn, coalesce(a, '') AS a, {_last_decimal_sql("coalesce(a, '')")} AS parsed_answer, coalesce({_last_decimal_sql('q')}, '0') AS expected,
+    regexp_extract_all(lower(coalesce(a, '')), '[a-z0-9'']+') AS w FROM p),
+    g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM s),
+    f AS (SELECT *, len(w) >= 9 AND list_max(map_values(list_aggregate(g, 'histogram'))) >= 3 AS repeated_phrase, coalesce(parsed_answer = expected, false) AS numeric_correct,
+    list_bool_or(list_transform({T.SPECIAL_NAMES}, lambda n: contains(upper(a), n))) AS leak FROM g),
+    v AS (SELECT *, trim(a) <> '' AND NOT leak AND NOT repeated_phrase AND parsed_answer IS NOT NULL AS format_valid FROM f)
+    SELECT conv_id, turn, parsed_answer, repeated_phrase, numeric_correct, true AS unit_correct, format_valid, numeric_correct AND format_valid AS task_correct FROM v"""
+)
 def score_answers(spark, d):
-    """Every assistant turn scored against the last decimal of its question; tested against a restatement."""
+    """Every assistant turn scored against the last decimal of its question."""
     rows = _pairs(spark, d).select("conv_id", "turn", F.col("a").alias("completion"), F.coalesce(T.last_decimal(F.col("q")), F.lit("0")).alias("expected_answer"), F.lit(None).cast("string").alias("expected_unit"))
     rows = rows.withColumn("terminated", F.lit(True)).withColumn("special_token_leak", T.leaks_special(F.coalesce("completion", F.lit(""))))
     return M.scored(rows).select("conv_id", "turn", "parsed_answer", "repeated_phrase", "numeric_correct", "unit_correct", "format_valid", "task_correct")

@@ -27,7 +27,7 @@ def one(spark, value, expr, kind="string"):
 
 
 def test_last_decimal(spark):
-    cases = {"First 3, then 1,200.50.": "1200.5", "The force is -84.0 N.": "-84", "No number.": None, "1/2": None, "NaN": None, "-0": "0", "a1": None, "x 7": "7", "1 / 2 and 3": None, "12,34": "34", "": None}
+    cases = {"First 3, then 1,200.50.": "1200.5", "The force is -84.0 N.": "-84", "No number.": None, "1/2": None, "NaN": None, "-0": "0", "a1": None, "x 7": "7", "1 / 2 and 3": None, "12,34": "34", "": None, "12345678901234567890123456789.0": "12345678901234567890123456789", "+000.10000000000000000000010": "0.1000000000000000000001"}
     rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", T.last_decimal(F.col("x")).alias("y")).collect()
     assert {r.x: r.y for r in rows} == cases
 
