@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, exact_dedup, jaccard, licenses, line_dedup, mixing, rp_forest, sentencepiece_bpe, suffix_dedup, toxicity
+from millrace.llm.search_sql import OP3_SQL, OP4_SQL, OP6_SQL, OP9_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,6 +151,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op2_chat_format": OP2_SQL,
+    "op3_rp_forest": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op5_license_scan": _license_sql(),
+    "op6_suffix_dedup": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
