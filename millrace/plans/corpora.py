@@ -85,9 +85,14 @@ def dialogue_rejects(spark, d):
     return counted(C.dialogue_pairs(_messages(spark, d)), F.col("reason"))
 
 
-@query(f"WITH {_MESSAGES_SQL} SELECT k || '-' || t AS message_id, CAST(row_number() OVER (ORDER BY sha256('oasst:' || k || '-' || t), k || '-' || t) AS INTEGER) AS rank FROM r WHERE reason = 'accepted' ORDER BY rank LIMIT 40")
+#: Few texts of the tables are so short that a pair fits into 256 tokens: the selection is made with more room.
+SELECTED_CONTEXT = 8192
+_ROOMY_SQL = _MESSAGES_SQL.replace("> 256", f"> {SELECTED_CONTEXT}")
+
+
+@query(f"WITH {_ROOMY_SQL} SELECT k || '-' || t AS message_id, CAST(row_number() OVER (ORDER BY sha256('oasst:' || k || '-' || t), k || '-' || t) AS INTEGER) AS rank FROM r WHERE reason = 'accepted' ORDER BY rank LIMIT 40")
 def dialogue_selected(spark, d):
-    accepted = C.dialogue_pairs(_messages(spark, d)).where("reason = 'accepted'")
+    accepted = C.dialogue_pairs(_messages(spark, d), SELECTED_CONTEXT).where("reason = 'accepted'")
     return S.top_by_hash(accepted.select("message_id"), "oasst", "message_id", 40).select("message_id", "rank")
 
 
