@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, exact_dedup, jaccard, licenses, line_dedup, mixing, rp_forest, sentencepiece_bpe, suffix_dedup, toxicity
+from millrace.llm import (
+    byte_bpe,
+    chat_format,
+    exact_dedup,
+    fill_in_middle,
+    jaccard,
+    licenses,
+    line_dedup,
+    mixing,
+    rp_forest,
+    sentencepiece_bpe,
+    source_divergence,
+    suffix_dedup,
+    toxicity,
+)
+from millrace.llm.report_sql import OP11_SQL, OP13_SQL
 from millrace.llm.search_sql import OP3_SQL, OP4_SQL, OP6_SQL, OP9_SQL
 
 
@@ -60,6 +75,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.decisions(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS block,
@@ -146,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,4 +189,6 @@ ORACLES: dict[str, str] = {
     "op6_suffix_dedup": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
