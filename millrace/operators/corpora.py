@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import tokens as K
+from millrace.operators.digests import stream_digests
 from millrace.operators.selection import conflicts, running_offset
 from millrace.sources.readers import GateError, demand_none, first_reason
 
@@ -47,7 +48,8 @@ def dialogue_pairs(messages: DataFrame, context: int = 256) -> DataFrame:
     message_id with several contents is an error.
     """
     demand_none(conflicts(messages.withColumn("_all", F.xxhash64(*messages.columns)).where("message_id IS NOT NULL"), "message_id", "_all"), "messages with one id and several contents")
-    messages = messages.dropDuplicates(["message_id"])
+    # A message without an id is no copy of another one without.
+    messages = messages.where("message_id IS NOT NULL").dropDuplicates(["message_id"]).unionByName(messages.where("message_id IS NULL"))
     asked = messages.where("message_id IS NOT NULL").select(*[F.col(c).alias(f"p_{c}") for c in messages.columns])
     pairs = messages.where("role = 'assistant'").join(asked, F.col("parent_id") == F.col("p_message_id"), "left")
     question, answer = T.normalise_lines(F.coalesce("p_text", F.lit(""))), T.normalise_lines(F.coalesce("text", F.lit("")))
@@ -131,16 +133,14 @@ def composed(whole: DataFrame, replay: str) -> DataFrame:
     return whole.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"), targets.alias("targets"), F.round(share, 9).alias("replay_fraction"))
 
 
-def split_digest(records: DataFrame, mark: Column) -> DataFrame:
-    """split, records, digest: the digest does not depend on the order of rows (a sum of 32-bit heads of the marks)."""
-    return records.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum(F.conv(F.substring(mark, 1, 8), 16, 10).cast("long")).alias("digest"))
+def extended(reference: DataFrame, new: DataFrame, key: str, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """The reference with the new training rows, and the check: split, records, digest, unchanged (validation and test stay as they are).
 
-
-def extended(reference: DataFrame, new: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
-    """The reference with the new training rows, and the check: split, records, digest, unchanged (validation and test stay as they are)."""
+    mark (SHA-256 of a row's bytes) names a row; the digest is that of each split's rows in the order of key.
+    """
     whole = reference.unionByName(new.where("split = 'train'"))
-    before = split_digest(reference, mark).select("split", F.col("records").alias("_r"), F.col("digest").alias("_d"))
-    after = split_digest(whole, mark).join(before, "split", "left")
+    before = stream_digests(reference, "split", key, mark).select("split", F.col("records").alias("_r"), F.col("digest").alias("_d"))
+    after = stream_digests(whole, "split", key, mark).join(before, "split", "left")
     same = F.col("records").eqNullSafe(F.col("_r")) & F.col("digest").eqNullSafe(F.col("_d"))
     return whole, after.select("split", "records", "digest", same.alias("unchanged"))
 
@@ -148,10 +148,8 @@ def extended(reference: DataFrame, new: DataFrame, mark: Column) -> tuple[DataFr
 def probed(requests: DataFrame, cache: DataFrame, key: str = "request") -> DataFrame:
     """requests with answer and status: hit (the cache has the key) or miss. One key with several answers in the cache is an error."""
     demand_none(conflicts(cache, key, "answer"), "keys with several answers")
-    known = cache.dropDuplicates([key]).select(key, "answer")
-    hits = requests.join(known, key).withColumn("status", F.lit("hit"))
-    misses = requests.join(known, key, "left_anti").withColumn("answer", F.lit(None).cast(cache.schema["answer"].dataType)).withColumn("status", F.lit("miss"))
-    return hits.unionByName(misses)
+    known = cache.dropDuplicates([key]).select(key, "answer", F.lit(True).alias("_hit"))
+    return requests.join(known, key, "left").withColumn("status", F.when(F.col("_hit"), "hit").otherwise("miss")).drop("_hit")
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from millrace.operators.selection import running_offset
 
@@ -17,6 +18,9 @@ from millrace.operators.selection import running_offset
 BOS, EOS, USER, ASSISTANT, TOOL, THINK, FINAL, PAD = range(256, 264)
 VOCABULARY = 264
 
+#: A record as binary.
+PACKED = StructType([StructField("tokens", BinaryType()), StructField("mask", BinaryType())])
+
 
 @F.arrow_udf(ArrayType(IntegerType()))
 def byte_ids(texts: pa.Array) -> pa.Array:
@@ -36,6 +40,30 @@ def text_of(tokens: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+@F.arrow_udf(PACKED)
+def packed_base(texts: pa.Array) -> pa.Array:
+    """The base record of each text (null: empty) as binary: little-endian tokens of 16 bits, and a byte for each that says whether it is a target."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+    n = len(texts)
+    starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    cuts = starts - starts[0] + 2 * np.arange(n + 1)
+    tokens, mask = np.empty(cuts[-1], "<u2"), np.ones(cuts[-1], np.uint8)
+    inner = np.ones(cuts[-1], bool)
+    inner[cuts[:-1]] = inner[cuts[1:] - 1] = False
+    tokens[cuts[:-1]], tokens[cuts[1:] - 1], mask[cuts[:-1]] = BOS, EOS, 0
+    tokens[inner] = body
+    fields = [slices(tokens, cuts), slices(mask, cuts)]
+    return pa.StructArray.from_arrays(fields, ["tokens", "mask"])
+
+
+def slices(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    offsets = np.ascontiguousarray(cuts * numbers.dtype.itemsize, np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+    return whole.cast(pa.binary())
+
+
 def _ids(*ids: int) -> Column:
     return F.array(*map(F.lit, ids))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from millrace.functions import calculations
 from millrace.functions import text as T
 from millrace.operators import corpora as C
+from millrace.operators import digests as D
 from millrace.operators import selection as S
 from millrace.operators import tokens as K
 from millrace.plans.catalog import _NORMAL_SQL, _PAIRS_SQL, BUCKET_SQL, BYTES_SQL, SEED, SPLIT_SQL, _pairs
@@ -44,17 +45,6 @@ def web_gate(spark, d):
     return rows.groupBy("scored", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(
-    f"""WITH d AS (SELECT doc_id // 128 AS row_group, {BYTES_SQL} AS b FROM documents)
-    SELECT row_group, count(*) FILTER (b BETWEEN 256 AND 65536) AS accepted, count(*) FILTER (b NOT BETWEEN 256 AND 65536) AS rejected FROM d WHERE row_group IN (0, 2, 3, 5) GROUP BY row_group"""
-)
-def row_group_scan(spark, d):
-    """Listed row groups only, with what is accepted and refused in each."""
-    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 128).alias("row_group"), F.octet_length("text").alias("b")).where(F.col("row_group").isin(0, 2, 3, 5))
-    fits = F.col("b").between(256, 65536)
-    return docs.groupBy("row_group").agg(F.count_if(fits).alias("accepted"), F.count_if(~fits).alias("rejected"))
-
-
 def _messages(spark, d) -> DataFrame:
     k, t = F.col("conv_id"), F.col("turn")
     name = F.concat(k, F.lit("-"), t)
@@ -157,10 +147,9 @@ def record_offsets(spark, d):
 )
 def packed_shards(spark, d):
     """All records published as packed shards, loaded again and verified."""
-    rows = _records(spark, d)
-    tokens, mask = K.base_record(F.col("text"))
+    rows = _records(spark, d).select("split", "record_id", "family_id", K.packed_base(F.col("text")).alias("r"))
     folder = shards.scratch_folder(spark, "shards")
-    shards.publish(rows.select("split", "record_id", "family_id", tokens.alias("tokens"), mask.alias("mask")), folder)
+    shards.publish(rows.select("split", "record_id", "family_id", "r.tokens", "r.mask"), folder)
     return shards.load(spark, folder).select("record_id", "split", "n_tokens", "n_targets", "tokens_sha256")
 
 
@@ -175,14 +164,18 @@ def compose_corpora(spark, d):
     return C.composed(whole, "replay")
 
 
+_FOLD_SQL = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list(CAST(CAST('0x' || substr(m, {0}, 15) AS BIGINT) AS HUGEINT) ORDER BY doc_id, m)), lambda h, x: (h * {1} + x) % {2})"
+_DIGEST_SQL = "format('{{:016x}}', CAST({} AS BIGINT)) || format('{{:016x}}', CAST({} AS BIGINT))".format(*(_FOLD_SQL.format(15 * i + 1, base, D.PRIME) for i, base in enumerate(D.BASES)))
+
+
 @query(
-    f"""WITH {_RECORDS_SQL} SELECT split, count(*) AS records, CAST(sum(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)) AS BIGINT) AS digest, split <> 'train' AS unchanged
-    FROM r WHERE doc_id % 2 = 0 OR split = 'train' GROUP BY split"""
+    f"""WITH {_RECORDS_SQL}, m AS (SELECT doc_id, split, sha256(text) AS m FROM r)
+    SELECT split, count(*) AS records, {_DIGEST_SQL} AS digest, split <> 'train' AS unchanged FROM m WHERE doc_id % 2 = 0 OR split = 'train' GROUP BY split"""
 )
 def extend_corpus(spark, d):
     """New rows reach the training split only; the other splits stay the same to the byte."""
     rows = _records(spark, d)
-    return C.extended(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), F.sha2("text", 256))[1]
+    return C.extended(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "record_id", F.sha2("text", 256))[1]
 
 
 @query("SELECT user_id AS family_id FROM events WHERE value > 99 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType
 
+from millrace.operators.digests import stream_digests
 from millrace.operators.tokens import VOCABULARY
+from millrace.sources.flat_shards import wrong_value
 from millrace.sources.readers import GateError, demand_none
+from millrace.sources.row_groups import opened
 from millrace.sources.sinks import u8, u16_le
 from millrace.sources.staging import shared_folder
 
-#: Tokens as hexadecimal, low byte first: a byte value, or one of the few ids above.
-_TOKENS = rf"\A(?:[0-9A-F]{{2}}00|0[0-{VOCABULARY - 257}]01)*+\z"
-_MASK = r"\A(?:0[01])*+\z"
+#: Bytes of a file read at once.
+READ_BYTES = 1 << 20
 
 
 def scratch_folder(spark: SparkSession, tag: str) -> str:
@@ -30,28 +37,44 @@ def _place(spark: SparkSession, folder: str):
 def publish(records: DataFrame, folder: str) -> None:
     """Write records (split, record_id, family_id, tokens, mask) and their manifest; the folder appears when all is written.
 
-    Everything goes to a sibling folder first, which is then renamed. A folder that exists is refused.
+    tokens and mask are arrays, or binary as the packed form has them (two bytes a token, the low one first). Everything goes to a sibling folder first, which is then renamed. A folder that exists is refused.
     """
     spark = records.sparkSession
     files, target = _place(spark, folder)
     if files.exists(target):
         raise GateError(f"{folder} exists")
     staging = f"{folder}.staging-{uuid.uuid4().hex}"
-    packed = records.select("split", "record_id", "family_id", F.size("tokens").alias("n_tokens"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("n_targets"), u16_le(F.col("tokens")).alias("tokens"), u8(F.col("mask")).alias("mask"))
-    packed = packed.withColumns({"tokens_sha256": F.sha2("tokens", 256), "mask_sha256": F.sha2("mask", 256)})
+    binary = isinstance(records.schema["tokens"].dataType, BinaryType)
+    body = [F.col("tokens"), F.col("mask")] if binary else [u16_le(F.col("tokens")).alias("tokens"), u8(F.col("mask")).alias("mask")]
+    packed = records.select("split", "record_id", "family_id", *body)
+    packed = packed.withColumns({"n_tokens": F.length("mask"), "n_targets": ones(F.col("mask")), "tokens_sha256": F.sha2("tokens", 256), "mask_sha256": F.sha2("mask", 256)})
     packed.repartitionByRange("split", "record_id").sortWithinPartitions("split", "record_id").write.partitionBy("split").parquet(f"{staging}/records")
     totals(spark.read.parquet(f"{staging}/records")).coalesce(1).write.json(f"{staging}/manifest")
     if not files.rename(_place(spark, staging)[1], target):
         raise GateError(f"{folder} could not be published")
 
 
+@F.arrow_udf(IntegerType())
+def ones(masks: pa.Array) -> pa.Array:
+    """How many bytes of a mask are 1."""
+    return pa.array([None if m is None else m.count(1) for m in masks.to_pylist()], pa.int32())
+
+
+@F.arrow_udf(StringType())
+def unsound(tokens: pa.Array, masks: pa.Array) -> pa.Array:
+    """What is wrong with packed tokens and their mask; null if nothing is."""
+    pairs = zip(tokens.to_pylist(), masks.to_pylist(), strict=True)
+    odd = "tokens of half a number"
+    return pa.array([odd if len(t) % 2 else wrong_value(np.frombuffer(t, "<u2"), np.frombuffer(m, "u1"), VOCABULARY) for t, m in pairs], pa.string())
+
+
 def totals(packed: DataFrame) -> DataFrame:
-    """split, records, families, tokens, targets, digest (does not depend on the order of records)."""
-    head = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
-    return packed.groupBy("split").agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("family_id").alias("families"), F.sum("n_tokens").alias("tokens"), F.sum("n_targets").alias("targets"),
-        F.sum(head("tokens_sha256") + head("mask_sha256")).alias("digest"),
+    """split, records, families, tokens, targets, digest (of the records in the order of their ids)."""
+    counts = packed.groupBy("split").agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("family_id").alias("families"), F.sum("n_tokens").alias("tokens"), F.sum("n_targets").alias("targets")
     )
+    digests = stream_digests(packed, "split", "record_id", F.sha2(F.concat("tokens_sha256", "mask_sha256"), 256))
+    return counts.join(digests.select("split", "digest"), "split")
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,21 +83,39 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     if not files.exists(path):
         raise GateError(f"{folder} has no manifest")
     packed = spark.read.parquet(f"{folder}/records")
-    wrong = (F.length("tokens") != F.col("n_tokens") * 2) | (F.length("mask") != F.col("n_tokens"))
+    wrong = (F.length("mask") != F.col("n_tokens")) | (ones(F.col("mask")) != F.col("n_targets")) | unsound(F.col("tokens"), F.col("mask")).isNotNull()
     wrong |= (F.sha2("tokens", 256) != F.col("tokens_sha256")) | (F.sha2("mask", 256) != F.col("mask_sha256"))
-    wrong |= ~F.hex("tokens").rlike(_TOKENS) | ~F.hex("mask").rlike(_MASK)
     demand_none(packed.where(wrong).select("split", "record_id"), "records that do not agree with themselves")
-    told = spark.read.schema("split string, records long, families long, tokens long, targets long, digest long").json(f"{folder}/manifest")
+    told = spark.read.schema("split string, records long, families long, tokens long, targets long, digest string").json(f"{folder}/manifest")
     found = totals(packed).select("split", "records", "families", "tokens", "targets", "digest")
     demand_none(told.exceptAll(found).unionByName(found.exceptAll(told)), "totals that do not agree with the manifest")
     return packed
 
 
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, sha256 of files of any size: a task for each file, which reads it a MB at a time."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                system, place = opened(path)
+                sha = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while data := stream.read(READ_BYTES):
+                        sha.update(data)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "sha256"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1), "path")
+    return rows.mapInArrow(digest, "path string, sha256 string")
+
+
 def pinned_parquet(spark: SparkSession, pins: dict[str, str]) -> DataFrame:
-    """The Parquet files of pins, path -> SHA-256 of the file; an error if one file's digest differs. Digests are computed where the files are read."""
-    bytes_ = spark.read.format("binaryFile").load(list(pins)).select(F.sha2("content", 256).alias("sha256"))
-    if sorted(r.sha256 for r in bytes_.collect()) != sorted(pins.values()):  # a row for each pinned file
-        raise GateError("a file does not have its pinned digest")
+    """The Parquet files of pins, path -> SHA-256 of the file; an error if one file does not have its own digest."""
+    told = spark.createDataFrame(list(pins.items()), "path string, pin string")
+    wrong = told.join(file_digests(spark, list(pins)), "path", "left").where(~F.col("pin").eqNullSafe(F.col("sha256")))
+    demand_none(wrong.select("path"), "files without their pinned digest")
     return spark.read.parquet(*pins)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +35,26 @@ def canonical_rows(rows: DataFrame) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def u16_le(tokens: Column) -> Column:
+def _numbers(rows: pa.Array, dtype: str, least: int, most: int, wrong: str) -> pa.Array:
+    """Arrays of numbers as binary values of a type of fixed width; null stays null."""
+    out = []
+    for row in rows.to_numpy(zero_copy_only=False):
+        if row is not None and len(row) and not (least <= row.min() and row.max() <= most):  # a null among them is no number
+            raise GateError(wrong)
+        out.append(None if row is None else np.asarray(row).astype(dtype).tobytes())
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def u16_le(tokens: pa.Array) -> pa.Array:
     """Tokens as binary, two bytes each, the low one first; a token outside 0 to 65535 is an error."""
-    fits = lambda t: F.when(t.between(0, 65535), t).otherwise(F.raise_error(F.lit("token out of range")))
-    pair = lambda t: F.concat(F.lpad(F.hex(fits(t).bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(t, 8)), 2, "0"))
-    return F.unhex(F.array_join(F.transform(tokens, pair), ""))
+    return _numbers(tokens, "<u2", 0, 65_535, "token out of range")
 
 
-def u8(values: Column) -> Column:
-    """Small numbers as binary, a byte each."""
-    return F.unhex(F.array_join(F.transform(values, lambda m: F.lpad(F.hex(m), 2, "0")), ""))
+@F.arrow_udf(T.BinaryType())
+def u8(values: pa.Array) -> pa.Array:
+    """Small numbers as binary, a byte each; a number outside 0 to 255 is an error."""
+    return _numbers(values, "u1", 0, 255, "number out of range")
 
 
 def allowed(rows: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
