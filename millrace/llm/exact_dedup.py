@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import small, write
+from millrace.llm.scratch import numbered, small, write
 
 #: Bytes of a block.
 BLOCK_BYTES = 16384
@@ -51,7 +51,7 @@ def _named(keys: DataFrame, columns: list[str], spread: Column) -> DataFrame:
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> ExactGroups:
     """Group the rows of docs by their whole text; null counts as empty.
 
-    All columns are kept, whatever their names (own columns start with _mr_). Of each group the row
+    All columns are kept (own columns start with _mr_, and no column of docs may). Of each group the row
     with the largest doc_id stays (null is the smallest); if that id occurs in several rows, exactly
     one of them stays. Empty texts are equal to each other. An empty table gives two empty frames.
     """
@@ -120,6 +120,7 @@ def dedup_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs."""
-    found = exact_groups(docs, doc_id, text)
-    return found.settled.unionByName(found.grouped.where("_mr_kept").select(*docs.columns))
+    """The rows that stay, with the columns of docs, whatever their names."""
+    plain, own = numbered(docs)
+    found = exact_groups(plain, own[doc_id], own[text])
+    return found.settled.unionByName(found.grouped.where("_mr_kept").select(*plain.columns)).toDF(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components, smallest_ids
 from millrace.llm.leaf_pairs import groups, results, tally
 from millrace.llm.polyhash import mix
-from millrace.llm.scratch import lean, small, write
+from millrace.llm.scratch import lean, numbered, small, write
 from millrace.llm.shingles import WORDS, shingle_sets
 
 THRESHOLD = 0.8
@@ -219,6 +219,7 @@ def decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The row with the smallest doc_id of each group of linked rows, and all rows that link with nothing; the columns of docs."""
-    dropped = link_classes(docs, threshold=threshold).where("component <> id").select(F.col("id").alias("_mr_drop")).distinct()
-    return docs.join(small(write(dropped, "dropped")), docs["doc_id"] == F.col("_mr_drop"), "left_anti")
+    """The row with the smallest doc_id of each group of linked rows, and all rows that link with nothing; the columns of docs, whatever their names."""
+    plain, own = numbered(docs)
+    dropped = link_classes(plain, own["doc_id"], own["text"], threshold=threshold).where("component <> id").select(F.col("id").alias("_mr_drop")).distinct()
+    return plain.join(small(write(dropped, "dropped")), F.col(own["doc_id"]) == F.col("_mr_drop"), "left_anti").toDF(*docs.columns)

@@ -11,7 +11,8 @@ lines (of white space in any script, a carriage return too) always stay.
 3. The others emit all variants within the bound: the line itself and the line without each one of its
    characters, as hashed keys with the place of the deletion. A line is one deletion away from another
    if that one's key is among its variants; two lines are a substitution apart if they agree after a
-   deletion at the same place. Keys are joined with the earliest line of the key, which is enough to
+   deletion at the same place. A key has two hashes of residues modulo a prime, 124 bits together, so that
+   no stranger's key hides a partner. Keys are joined with the earliest line of the key, which is enough to
    know that an earlier line exists; pairs are never emitted, so a key that many lines share stays linear.
 4. The edit distance of each line found and its earlier partner is verified on the texts.
 """
@@ -25,29 +26,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.polyhash import Poly, mix
+from millrace.llm.polyhash import Residues
 from millrace.llm.scratch import small, write
 
-_POLY = Poly(91)
+_HASHES = Residues(91)
+_KEY = ["key", "key2"]
 _PLACE = ["k", "tie", "at"]
 _NO_ID = -(1 << 63)
 #: A line with this is not blank.
 _INK = r"(?U)[^\s\p{Zs}\p{Zl}\p{Zp}\x1c-\x1f]"
 
 
-def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed keys of a line and of the line without its character i, and the places: -1, 0, 1, ..."""
+def hashed_variants(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes each of a line and of the line without its character i, and the places: -1, 0, 1, ..."""
     data = np.frombuffer(line.encode(), np.uint8)
-    n = len(data)
-    prefix = _POLY.prefix(data)
     starts = np.flatnonzero((data & 0xC0) != 0x80)
-    ends = np.append(starts[1:], n)
-    # What stands right of the deleted character moves to the left by its bytes.
-    rest = _POLY.stretch(prefix, ends, np.full(len(ends), n)) * _POLY.up[starts]
-    size = (n - (ends - starts)).astype(np.uint64)
-    keys = mix((prefix[starts] + rest) ^ mix(size))
-    own = mix(prefix[-1:] ^ mix(np.array([n], np.uint64)))
-    return np.concatenate([own, keys]).astype(np.int64), np.arange(-1, len(starts), dtype=np.int32)
+    one, two = _HASHES.without(data, starts, np.append(starts[1:], len(data)))
+    return one.view(np.int64), two.view(np.int64), np.arange(-1, len(starts), dtype=np.int32)
+
+
+def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first hash of each variant, and the places."""
+    one, _, at = hashed_variants(line)
+    return one, at
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +56,9 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         held, size = [], 0
         for i, line in zip(ids, lines, strict=True):
-            key, at = variants(line)
-            held.append((key, at, np.full(len(key), i)))
-            size += len(key)
+            found = hashed_variants(line)
+            held.append((*found, np.full(len(found[0]), i)))
+            size += len(found[0])
             if size > 100_000:
                 yield _variant_batch(held)
                 held, size = [], 0
@@ -65,8 +66,9 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _variant_batch(held: list) -> pa.RecordBatch:
-    key, at, of = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array(of)], ["key", "at", "id"])
+    kinds = [np.int64, np.int64, np.int32, np.int64]
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, k) for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*_KEY, "at", "id"])
 
 
 def _halves(line: Column, n: Column) -> list[Column]:
@@ -92,13 +94,13 @@ def near_lines(first: DataFrame, keyed: DataFrame, least_chars: int = 1) -> Data
     lists = small(write(places.df.groupBy("k", "tie").agg(F.collect_list(F.struct("at", "id", "a", "b")).alias("lines")), "wanted"))
     split = keyed.join(lists, ["k", "tie"]).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("one"))
     texts = write(split.select("one.id", "one.a", "one.b", F.col("all")[F.col("one.at")].alias("line")).dropDuplicates(["id"]), "texts")
-    rows = write(texts.df.select("id", "line").mapInArrow(_emit, "key long, at int, id long"), "variants").df
-    by_place = rows.groupBy("key", "at").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c"))
-    by_key = by_place.groupBy("key").agg(F.sum("c").alias("c"), F.min(F.when(F.col("at") >= 0, F.col("m"))).alias("cut"), F.min(F.when(F.col("at") < 0, F.col("m"))).alias("own"))
-    several = small(write(by_key.where("c > 1").select("key", "cut", "own"), "keys"))
-    near = rows.join(several, "key")
-    same = small(write(by_place.where("c > 1 AND at >= 0").select("key", "at", F.col("m").alias("same")), "same"))
-    near = near.join(same, ["key", "at"], "left")
+    rows = write(texts.df.select("id", "line").mapInArrow(_emit, "key long, key2 long, at int, id long"), "variants").df
+    by_place = rows.groupBy(*_KEY, "at").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c"))
+    by_key = by_place.groupBy(*_KEY).agg(F.sum("c").alias("c"), F.min(F.when(F.col("at") >= 0, F.col("m"))).alias("cut"), F.min(F.when(F.col("at") < 0, F.col("m"))).alias("own"))
+    several = small(write(by_key.where("c > 1").select(*_KEY, "cut", "own"), "keys"))
+    near = rows.join(several, _KEY)
+    same = small(write(by_place.where("c > 1 AND at >= 0").select(*_KEY, "at", F.col("m").alias("same")), "same"))
+    near = near.join(same, [*_KEY, "at"], "left")
     partner = F.explode(F.when(F.col("at") < 0, F.array("cut")).otherwise(F.array("own", "same"))).alias("partner")
     pairs = near.select("id", partner).where("partner < id").distinct()
     earlier = texts.df.select(F.col("id").alias("partner"), F.col("line").alias("other"))

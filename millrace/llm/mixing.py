@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.scratch import small, write
+from millrace.llm.scratch import numbered, small, write
 
 #: Blocks of a source: two hexadecimal digits.
 DIGITS = 2
@@ -146,7 +146,9 @@ def schedule(docs: DataFrame, evenness: float | None = EVENNESS, max_repeats: fl
 
 def mixed(docs: DataFrame, evenness: float | None = EVENNESS, max_repeats: float = MAX_REPEATS, budget_tokens: float | None = None) -> DataFrame:
     """The rows of docs, each as often as the passes take it, with the columns of docs, whatever their names."""
-    found = mixture(docs, evenness=evenness, max_repeats=max_repeats, budget_tokens=budget_tokens)
-    own = docs.withColumn("_mr_own", _block("doc_id"))
-    joined = own.join(_schedule(found.passes), (F.col("_mr_own") == F.col("_mr_block")) & docs["source"].eqNullSafe(F.col("_mr_source")))
-    return joined.select(*[docs[c] for c in docs.columns])
+    plain, own = numbered(docs)
+    doc_id, text, source = (own[c] for c in ("doc_id", "text", "source"))
+    found = mixture(plain, doc_id, text, source, evenness, max_repeats, budget_tokens)
+    blocks = plain.withColumn("_mr_own", _block(doc_id))
+    joined = blocks.join(_schedule(found.passes), (F.col("_mr_own") == F.col("_mr_block")) & F.col(source).eqNullSafe(F.col("_mr_source")))
+    return joined.select(*plain.columns).toDF(*docs.columns)

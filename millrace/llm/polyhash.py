@@ -1,7 +1,10 @@
 """Prefix polynomial hashes over byte buffers, in arrays.
 
 h[i] = sum over j < i of table[byte j] * BASE**j, modulo 2**64. The hash of any stretch follows from
-two of them, because BASE is odd and so has an inverse.
+two of them, because BASE is odd and so has an inverse. Modulo a power of two some texts of a thousand
+bytes and more share a hash whatever the base (a Thue-Morse word and its complement), so Poly is for
+stretches of LONG_STRETCH bytes at most, or where bytes are compared after. Residues has several
+residues modulo the prime 2**31 - 1, which no text defeats for all bases.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ CHUNK_BYTES = 1 << 18
 #: Powers that a polynomial keeps after a task.
 KEPT_POWERS = 1 << 20
 
+#: Stretches of so many bytes or more need another hash than Poly.
+LONG_STRETCH = 256
+
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,6 +68,50 @@ class Poly:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
+_P = np.uint64((1 << 31) - 1)
+_SHIFT = np.uint64(31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo the prime."""
+    for _ in range(2):
+        x = (x & _P) + (x >> _SHIFT)
+    x[x == _P] = 0
+    return x
+
+
+class Residues:
+    """Four polynomials modulo 2**31 - 1: a random table of byte values and a random base each, fixed by the seed."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.tables = rng.integers(1, int(_P), (4, 256), dtype=np.uint64)
+        self.bases = [int(x) for x in rng.integers(1 << 20, int(_P) - 1, 4)]
+
+    def _powers(self, i: int, n: int) -> np.ndarray:
+        out, done = np.ones(n, np.uint64), 1
+        while done < n:
+            more = min(done, n - done)
+            out[done : done + more] = _reduced(out[:more] * np.uint64(pow(self.bases[i], done, int(_P))))
+            done += more
+        return out
+
+    def without(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes (of two residues each) of all bytes, first, and of the bytes without those from a start to its end."""
+        n, half = len(data), []
+        for i in range(4):
+            powers = self._powers(i, n + 1)
+            prefix = np.zeros(n + 1, np.uint64)
+            prefix[1:] = _reduced(np.cumsum(_reduced(self.tables[i][data] * powers[:n])))
+            # What stands right of a gap moves to the left by its width.
+            inverse = [pow(self.bases[i], -int(w), int(_P)) for w in range(1, 5)]
+            back = np.array([1, *inverse], np.uint64)[ends - starts]
+            rest = _reduced(_reduced(prefix[n] + _P - prefix[ends]) * back)
+            half.append(np.append(prefix[n], _reduced(prefix[starts] + rest)))
+        sizes = np.append(n, n - (ends - starts)).astype(np.uint64)
+        return tuple(mix((a << _SHIFT | b) ^ mix(sizes)) for a, b in (half[:2], half[2:]))
+
+
 def forget_powers() -> None:
     """Let go of the powers that one very long text needed."""
     for poly in Poly.known:

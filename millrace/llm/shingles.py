@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.polyhash import Poly, byte_view, chunks, mix
+from millrace.llm.polyhash import LONG_STRETCH, Poly, byte_view, chunks, mix
 
 #: Words of a shingle.
 WORDS = 5
@@ -35,6 +37,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS):
         ends[inner - 1] = ~space[inner - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         word = mix(_POLY.stretch(_POLY.prefix(own), start, end))
+        for i in np.flatnonzero(end - start >= LONG_STRETCH).tolist():
+            word[i] = int.from_bytes(hashlib.blake2b(own[start[i] : end[i]].tobytes(), digest_size=8).digest())
         text = np.searchsorted(cuts, start, side="right") - 1
         total = np.zeros(len(word), np.uint64)
         for j in range(min(words, len(word))):
