@@ -18,6 +18,12 @@ SECRETS = [r"sk-[A-Za-z0-9]{16,}", r"(?i)DEEPSEEK_API_KEY\s*="]
 DECIMAL = r"(?U)(?<![\w/])[-+]?(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?(?![\w/])"
 FRACTION = r"(?U)[-+]?\d+\s*/\s*[-+]?\d+"
 
+# What stands for a typographic or mathematical sign in ASCII.
+SIGNS = {
+    "²": "^2", "³": "^3", "·": "*", "×": "*", "÷": "/", "Ω": "ohm", "λ": "lambda",
+    "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "−": "-", "⋅": "*",
+}
+
 
 @F.arrow_udf(StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
@@ -65,6 +71,14 @@ def identity(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *parts), 256)
 
 
+def ascii_maths(text: Column) -> Column:
+    """Typographic and mathematical signs in ASCII. Texts without any are not walked."""
+    out = text
+    for sign, plain in SIGNS.items():
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return F.when(text.rlike("[" + "".join(SIGNS) + "]"), out).otherwise(text)
+
+
 def worked_answer(answer: Column) -> Column:
     """The reasoning of a worked answer: what stands before the last ####, without <<annotations>>, in one line."""
     before = F.when(F.contains(answer, F.lit("####")), F.regexp_replace(answer, r"(?s)####(?:(?!####).)*\z", ""))

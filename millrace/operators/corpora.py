@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import calculations
 from millrace.functions import text as T
 from millrace.operators import tokens as K
 from millrace.operators.digests import stream_digests
@@ -90,6 +91,48 @@ def paired_fit(examples: DataFrame, frozen: DataFrame, context: int = 256) -> tu
     return marked.where(open_ & ~F.col("_direct") & ~F.col("_think")).select(*examples.columns), account
 
 
+# Steps of a compact solution, and its bytes.
+MOST_STEPS, MOST_REASONING_BYTES = 4, 160
+
+
+def compact_problems(problems: DataFrame) -> DataFrame:
+    """problems (question, answer and others) with exact_answer, n_steps, reasoning, final_answer, family_id and reason.
+
+    reason is accepted, or the first rule against a problem: missing_field, no_final_answer, annotation_count (one to four),
+    invalid_annotation, final_mismatch (the last step is not the answer), reasoning_too_long. The reasoning
+    of an accepted one is made of its verified annotations alone; of a refused one it is null.
+    """
+    question = T.squeeze(F.coalesce("question", F.lit("")))
+    rows = problems.withColumns({"_q": question, "_f": T.final_number(F.col("answer")), "_a": T.annotations(F.coalesce("answer", F.lit("")))})
+    checked = F.array(*[calculations.verified(F.try_element_at("_a", F.lit(i + 1))) for i in range(MOST_STEPS)])
+    rows = rows.withColumn("_s", F.slice(checked, 1, F.least(F.size("_a"), F.lit(MOST_STEPS))))
+    text = F.array_join(F.transform("_s", lambda x: F.concat(F.lit("Compute "), x["expression"], F.lit(" = "), x["result"], F.lit("."))), " ")
+    rows = rows.withColumn("_r", text)
+    rules = [
+        ("missing_field", (F.col("_q") == "") | (F.coalesce(F.trim("answer"), F.lit("")) == "")),
+        ("no_final_answer", F.col("_f").isNull()),
+        ("annotation_count", ~F.size("_a").between(1, MOST_STEPS)),
+        ("invalid_annotation", F.exists("_s", lambda x: x["error"].isNotNull())),
+        ("final_mismatch", ~F.try_element_at("_s", F.lit(-1))["result"].eqNullSafe(F.col("_f"))),
+        ("reasoning_too_long", F.octet_length("_r") > MOST_REASONING_BYTES),
+    ]
+    rows = rows.withColumn("reason", first_reason(rules))
+    good = lambda c: F.when(F.col("reason") == "accepted", c)
+    family = T.stable_id("gsm8k", F.to_json(F.struct(F.lower("_q").alias("question"))))
+    return rows.select(
+        *problems.columns, F.col("_f").alias("exact_answer"), F.size("_a").alias("n_steps"), good(F.col("_r")).alias("reasoning"),
+        good(F.concat(F.lit("The answer is "), "_f", F.lit("."))).alias("final_answer"), good(family).alias("family_id"), "reason",
+    )
+
+
+def packed_modes(examples: DataFrame) -> DataFrame:
+    """mode_records with tokens and mask as binary, made by NumPy in Arrow batches: record_id, family_id, mode, tokens, mask."""
+    each = F.explode(F.array(F.struct(F.lit("direct").alias("mode"), F.lit(None).cast("string").alias("reasoning")), F.struct(F.lit("think").alias("mode"), F.col("reasoning")))).alias("m")
+    rows = examples.select("record_id", "family_id", "prompt", "final", each)
+    packed = rows.select("record_id", "family_id", "m.mode", K.packed_response(F.col("prompt"), F.col("final"), F.col("m.reasoning")).alias("r"))
+    return packed.select("record_id", "family_id", "mode", "r.tokens", "r.mask")
+
+
 def mode_records(examples: DataFrame) -> DataFrame:
     """Every example (record_id, family_id, prompt, reasoning, final) as a direct and a thinking record: record_id, family_id, mode, tokens, mask."""
     parts = []

@@ -99,8 +99,11 @@ def reward_audit(rows: DataFrame, ai: str, numeric: str, correct: str) -> DataFr
     )
 
 
-def seed_gate(seeds: DataFrame, base_primary: float, base_challenge: float) -> DataFrame:
-    """One row: means and spreads over seeds (primary, challenge, format_rate, mode_rate), and the gates that all must hold."""
+def seed_gate(seeds: DataFrame, base_primary: float, base_challenge: float, trained: DataFrame | None = None, holdout: DataFrame | None = None) -> DataFrame:
+    """One row: means and spreads over seeds (primary, challenge, format_rate, mode_rate), and the gates that all must hold.
+
+    holdout, if given: the families of the holdout (family_id), and trained those of the training data; one in both closes the gate.
+    """
     both = (F.col("primary") > base_primary) & (F.col("challenge") > base_challenge)
     row = seeds.agg(
         F.count(F.lit(1)).alias("n_seeds"),
@@ -112,14 +115,31 @@ def seed_gate(seeds: DataFrame, base_primary: float, base_challenge: float) -> D
         F.least(F.min("format_rate"), F.min("mode_rate")).alias("least_rate"),
     )
     gate = (F.col("n_seeds") == 3) & (F.col("primary_mean") > base_primary) & (F.col("challenge_mean") > base_challenge) & (F.col("n_improving") >= 2) & (F.col("least_rate") >= 0.95)
-    return row.withColumn("improved", gate)
+    if trained is None or holdout is None:
+        return row.withColumn("improved", gate)
+    both = trained.select("family_id").distinct().join(holdout.select("family_id").distinct(), "family_id")
+    overlap = both.agg(F.count(F.lit(1)).alias("n_overlap"))  # one row
+    return row.withColumn("improved", gate).join(overlap).withColumn("improved", F.col("improved") & (F.col("n_overlap") == 0))
+
+
+# The largest error and root mean square of a probe.
+MOST_ERROR, MOST_RMSE = 2e-4, 5e-5
+
+
+def probe_gate(reference: Column, candidate: Column, reference_best: Column, candidate_best: Column, most_error: float = MOST_ERROR, most_rmse: float = MOST_RMSE) -> list[Column]:
+    """max_error, rmse, same_best, passed of two arrays of logits and of the tokens chosen greedily from them; arrays of different lengths are an error."""
+    gap = F.when(F.size(reference) == F.size(candidate), F.zip_with(reference, candidate, lambda a, b: a - b)).otherwise(F.raise_error(F.lit("logits of different lengths")).cast("array<double>"))
+    top = F.array_max(F.transform(gap, F.abs))
+    rmse = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) / F.size(reference))
+    same = reference_best.eqNullSafe(candidate_best)
+    return [top.alias("max_error"), rmse.alias("rmse"), same.alias("same_best"), ((top <= most_error) & (rmse <= most_rmse) & same).alias("passed")]
 
 
 def answer_reason(rows: DataFrame) -> DataFrame:
     """rows (task, prompt, expected_answer, expected_unit, final_answer, unit, answer_text) with reason: the first check that an external answer fails, or verified."""
     from millrace.sources.readers import first_reason
 
-    maths = T.squeeze(F.replace(F.replace(F.replace("answer_text", F.lit("−"), F.lit("-")), F.lit("×"), F.lit("*")), F.lit("÷"), F.lit("/")))
+    maths = T.squeeze(T.ascii_maths(F.col("answer_text")))
     rows = rows.withColumn("_t", F.coalesce(maths, F.lit(""))).withColumn("_e", T.plain_decimal(F.col("expected_answer"))).withColumn("_f", T.plain_decimal(F.trim("final_answer")))
     rules = [
         ("invalid_final_answer", F.col("_e").isNull() | F.col("_f").isNull()),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +14,9 @@ from pyspark.sql import Window as W
 from millrace.functions.text import seeded
 from millrace.sources.staging import settle
 
+#: Groups of more rows are not walked by one task.
+HOT_ROWS = 1_000_000
+
 
 def first_of_group(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The first row of each group. Map tasks keep one row of a group each, so a hot group arrives combined."""
@@ -31,17 +39,58 @@ def top_by_hash(rows: DataFrame, seed: str, key: str, k: int, group: list[str] |
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, content: str, most: int, budget: int) -> DataFrame:
+def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, content: str, most: int, budget: int, hot: int = HOT_ROWS) -> DataFrame:
     """Greedy choice by seeded hash: of each group the rows in hash order whose size still fits, up to most rows.
 
-    A row that does not fit is passed over and the walk goes on; of equal contents the first counts.
+    A row that does not fit is passed over and the walk goes on; of equal contents the first counts. Groups of up
+    to hot rows are walked in one pass over partitions sorted by group and hash, with what is left of the budget
+    carried from batch to batch, so nothing is held. Larger groups go by prefix sums, see in_rounds.
+    Returns (group, key, size).
+    """
+    walk = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"), F.col(content).alias("c"), seeded(seed, F.col(key)).alias("h"))
+    walk = settle(walk.groupBy("g", "c").agg(F.min_by(F.struct("h", "k", "s"), F.struct("h", "k")).alias("r")).select("g", "r.*"))
+    large = settle(walk.groupBy("g").count().where(F.col("count") > hot).select(F.col("g").alias("_g")))
+    several = not large.isEmpty()
+    same = F.col("g").eqNullSafe(F.col("_g"))
+    usual = walk.join(large, same, "left_anti") if several else walk
+    kinds = ", ".join(f"{c} {walk.schema[c].dataType.simpleString()}" for c in ("g", "k", "s"))
+    sorted_ = usual.where(F.col("s") <= budget).repartition("g").sortWithinPartitions("g", "h", "k").select("g", "k", "s")
+    chosen = sorted_.mapInArrow(lambda batches: _walked(batches, most, budget), kinds)
+    if several:
+        chosen = chosen.unionByName(in_rounds(walk.join(large, same, "left_semi"), most, budget))
+    return chosen.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(size))
+
+
+def _walked(batches: Iterator[pa.RecordBatch], most: int, budget: int) -> Iterator[pa.RecordBatch]:
+    """The rows (g, k, s) of sorted batches that the walk takes."""
+    now, left, places = None, budget, most
+    for batch in batches:
+        if not len(batch):
+            continue
+        coded = pc.run_end_encode(batch.column(0))
+        ends, sizes, taken, at = coded.run_ends.to_pylist(), batch.column(2).to_numpy(), [], 0
+        for end, g in zip(ends, coded.values, strict=True):
+            if now is None or not g.equals(now):
+                now, left, places = g, budget, most
+            open_ = np.arange(at, end)
+            while places > 0 and len(open_ := open_[sizes[open_] <= left]):
+                # The longest run that fits as a whole; what follows it does not fit and is passed over.
+                n = min(int(np.searchsorted(np.cumsum(sizes[open_]), left, side="right")), places)
+                taken.append(open_[:n])
+                left, places, open_ = left - int(sizes[open_[:n]].sum()), places - n, open_[n:]
+            at = end
+        if taken:
+            yield batch.take(pa.array(np.concatenate(taken)))
+
+
+def in_rounds(walk: DataFrame, most: int, budget: int) -> DataFrame:
+    """The same choice for rows (g, k, s, h) of groups that no task should walk alone.
+
     A round takes the longest run of rows that fits as a whole, found by prefix sums over ranges of the
     order, and then leaves out what can never fit again; so rounds are as few as the times that the walk
-    is stopped by a large row, and no task holds a group. Returns (group, key, size).
+    is stopped by a large row, and no task holds a group.
     """
-    walk = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"), F.col(content).alias("c"), seeded(seed, F.col(key)).alias("h"))
-    walk = walk.groupBy("g", "c").agg(F.min_by(F.struct("h", "k", "s"), F.struct("h", "k")).alias("r")).select("g", "r.*")
-    left = settle(walk.select("*", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")).where((F.col("s") <= budget) & (F.lit(most) > 0)))
+    left = settle(walk.select("g", "k", "s", "h", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")).where((F.col("s") <= budget) & (F.lit(most) > 0)))
     chosen = left.select("g", "k", "s").limit(0)
     while not left.isEmpty():
         placed = running_offset(left, "h", F.col("s"), ["g"]).withColumnRenamed("offset", "before")
@@ -53,7 +102,7 @@ def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, c
         rest = placed.where("NOT fits").join(taken.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")))
         rest = rest.select("g", "k", "s", "h", (F.col("used") + F.col("more")).alias("used"), (F.col("n") + F.col("rows")).alias("n"))
         left = settle(rest.where((F.col("s") <= budget - F.col("used")) & (F.col("n") < most)))
-    return chosen.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(size))
+    return chosen
 
 
 def running_offset(rows: DataFrame, key: str, size: Column, group: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from millrace.operators.selection import running_offset
+from millrace.sources.readers import first_reason
 
 # Ids above the bytes.
 BOS, EOS, USER, ASSISTANT, TOOL, THINK, FINAL, PAD = range(256, 264)
@@ -104,6 +105,67 @@ def conversation_gate(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.groupBy(key).agg(n.alias("n_turns"), (F.bool_and("good") & (n % 2 == 0)).alias("valid"), (F.sum(F.col("size") + 1) + 2).alias("n_tokens"), (F.sum(answered) + 1).alias("n_targets"))
 
 
+@F.arrow_udf(PACKED)
+def _packed_turns(turns: pa.Array) -> pa.Array:
+    """Tokens and mask of alternating turns, array<struct<role, text>>; null stays null."""
+    rows = []
+    for turn in turns.to_pylist():
+        if turn is None:
+            rows.append(None)
+            continue
+        bodies = [(USER if t["role"] == "user" else ASSISTANT, np.frombuffer(t["text"].encode(), np.uint8)) for t in turn]
+        tokens, mask = [np.array([BOS])], [np.zeros(1, np.uint8)]
+        for role, body in bodies:
+            tokens += [np.array([role]), body]
+            mask += [np.zeros(1, np.uint8), np.full(len(body), role == ASSISTANT, np.uint8)]
+        tokens, mask = np.concatenate([*tokens, np.array([EOS])]).astype("<u2"), np.concatenate([*mask, np.ones(1, np.uint8)])
+        rows.append({"tokens": tokens.tobytes(), "mask": mask.tobytes()})
+    return pa.array(rows, pa.struct([("tokens", pa.binary()), ("mask", pa.binary())]))
+
+
+def conversation_records(turns: DataFrame, key: str = "conv_id", context: int | None = None) -> DataFrame:
+    """key, reason, tokens, mask of each conversation (key, turn, role, text): assistants' bytes and the end are targets.
+
+    reason is accepted, or the first rule against it: starts_with_user, alternates, empty_turn, ends_with_assistant,
+    too_long (more than context tokens); then tokens and mask are null. Turns of one number go by role and text. A
+    record is one value, so a conversation is gathered in one row.
+    """
+    rows = turns.select(key, F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    role = lambda i: F.element_at("turns", F.lit(i))["role"]
+    right = F.transform("turns", lambda t, i: t["role"] == F.when(i % 2 == 0, "user").otherwise("assistant"))
+    size = F.aggregate("turns", F.lit(2).cast("long"), lambda n, t: n + 1 + F.octet_length(t["text"]))
+    rules = [
+        ("starts_with_user", role(1) != "user"),
+        ("alternates", F.exists(right, lambda x: ~x)),
+        ("empty_turn", F.exists("turns", lambda t: t["text"] == "")),
+        ("ends_with_assistant", role(-1) != "assistant"),
+        ("too_long", F.lit(context is not None) & (size > (context or 0))),
+    ]
+    judged = held.withColumn("reason", first_reason(rules))
+    packed = judged.withColumn("r", _packed_turns(F.when(F.col("reason") == "accepted", F.col("turns"))))
+    return packed.select(key, "reason", "r.tokens", "r.mask")
+
+
+def packed_response(prompt: Column, final: Column, reasoning: Column) -> Column:
+    """The record of an answer as binary, struct<tokens, mask>: as response_record has it, but built by NumPy in Arrow batches."""
+    return _packed_response(prompt, final, reasoning)
+
+
+@F.arrow_udf(PACKED)
+def _packed_response(prompts: pa.Array, finals: pa.Array, reasonings: pa.Array) -> pa.Array:
+    rows = []
+    for prompt, final, reasoning in zip(prompts.to_pylist(), finals.to_pylist(), reasonings.to_pylist(), strict=True):
+        p, f = (np.frombuffer((x or "").encode(), np.uint8) for x in (prompt, final))
+        body = [[FINAL], f] if reasoning is None else [[THINK], np.frombuffer(reasoning.encode(), np.uint8), [FINAL], f]
+        tokens = np.concatenate([np.asarray(x, "<u2") for x in ([BOS, USER], p, [ASSISTANT], *body, [EOS])])
+        # The cue of the mode is the last token that is no target.
+        mask = np.zeros(len(tokens), np.uint8)
+        mask[len(p) + 4 :] = 1
+        rows.append({"tokens": tokens.tobytes(), "mask": mask.tobytes()})
+    return pa.array(rows, pa.struct([("tokens", pa.binary()), ("mask", pa.binary())]))
+
+
 def windows(records: DataFrame, key: str, n_tokens: Column, block: int = 256, full_only: bool = False) -> DataFrame:
     """window, n_targets, n_records: windows of block predictions over the records packed in key order, each target in one window.
 

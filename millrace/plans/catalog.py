@@ -385,15 +385,15 @@ def vector_head(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT i // 63 AS l, (i // 3) % 21 AS r, ['+', '-', '*'][i % 3 + 1] AS op FROM range(0, 1323) t(i)),
+    """WITH g AS (SELECT DISTINCT p_size % 21 AS l, p_partkey % 21 AS r, ['+', '-', '*'][p_partkey // 21 % 3 + 1] AS op FROM part),
     a AS (SELECT l, r, op, CASE op WHEN '+' THEN l + r WHEN '-' THEN l - r ELSE l * r END AS answer, sha256('easy-1:' || l || op || r) AS h FROM g)
     SELECT CAST(l AS BIGINT) AS left_value, op, CAST(r AS BIGINT) AS right_value, CAST(answer AS BIGINT) AS answer FROM a ORDER BY h LIMIT 256"""
 )
 def easy_grid(spark, d):
-    """All small sums, differences and products; the 256 with the smallest hashes. The grid is one range, no join."""
-    i = F.col("id")
-    left, right, op = F.floor(i / 63), F.floor(i / 3) % 21, F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("*")), (i % 3 + 1).cast("int"))
-    rows = spark.range(21 * 21 * 3).select(left.alias("left_value"), op.alias("op"), right.alias("right_value"))
+    """The small sums, differences and products that the parts name; the 256 with the smallest hashes."""
+    k = F.col("p_partkey")
+    op = F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("*")), (F.floor(k / 21) % 3 + 1).cast("int"))
+    rows = table(spark, d, "part").select(_long(F.col("p_size") % 21).alias("left_value"), op.alias("op"), _long(k % 21).alias("right_value")).distinct()
     answer = F.when(F.col("op") == "+", F.col("left_value") + F.col("right_value")).when(F.col("op") == "-", F.col("left_value") - F.col("right_value")).otherwise(F.col("left_value") * F.col("right_value"))
     rows = rows.withColumn("answer", answer).withColumn("h", T.seeded("easy-1", F.concat("left_value", "op", "right_value")))
     return rows.orderBy("h").limit(256).drop("h")
@@ -453,14 +453,22 @@ def vocabulary(spark, d):
     return K.vocabulary(table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")).select("ch", "id", "n")
 
 
-@query("SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i <= 100 THEN 3e-4 * i / 100 WHEN i >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 900.0)) * (3e-4 - 3e-5) END, 12) AS rate FROM range(1, 1101) t(i)")
+@query(
+    """SELECT event_id, round(CASE WHEN i <= 100 THEN 3e-4 * i / 100 WHEN i >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 900.0)) * (3e-4 - 3e-5) END, 12) AS rate
+    FROM (SELECT event_id, event_id + 1 AS i FROM events)"""
+)
 def learning_rate(spark, d):
-    return spark.range(1, 1101).select(F.col("id").alias("step"), F.round(M.learning_rate(F.col("id"), 3e-4, 3e-5, 100, 1000), 12).alias("rate"))
+    """Every event as a step."""
+    return table(spark, d, "events").select("event_id", F.round(M.learning_rate(F.col("event_id") + 1, 3e-4, 3e-5, 100, 1000), 12).alias("rate"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS head, round(CASE WHEN i < 8 THEN pow(2, -8.0 * (i + 1) / 8) ELSE pow(2, -4.0 * (2 * (i - 8) + 1) / 8) END, 12) AS slope FROM range(0, 12) t(i)")
+@query(
+    """SELECT p_partkey, CAST(i AS BIGINT) AS head, round(CASE WHEN i < 8 THEN pow(2, -8.0 * (i + 1) / 8) ELSE pow(2, -4.0 * (2 * (i - 8) + 1) / 8) END, 12) AS slope
+    FROM (SELECT p_partkey, p_partkey % 12 AS i FROM part)"""
+)
 def alibi_slopes(spark, d):
-    return spark.range(12).select(F.col("id").alias("head"), F.round(M.alibi_slope(F.col("id"), 12), 12).alias("slope"))
+    """Parts as heads of twelve."""
+    return table(spark, d, "part").select("p_partkey", _long(F.col("p_partkey") % 12).alias("head")).select("p_partkey", "head", F.round(M.alibi_slope(F.col("head"), 12), 12).alias("slope"))
 
 
 @query(f"WITH t AS (SELECT CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'validation' END AS part, {BYTES_SQL} AS b FROM documents) SELECT part, count(*) AS n_rows, CAST(sum(b) AS BIGINT) AS n_bytes FROM t GROUP BY part")

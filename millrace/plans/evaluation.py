@@ -162,12 +162,11 @@ def component_check(spark, d):
 
 
 @query(
-    """SELECT CAST(l AS BIGINT) AS layers, CAST(c AS BIGINT) AS context, CAST(2 * l * c * 4 * 32 * b AS BIGINT) AS kv_bytes, CAST(l * (12 * 128 * 128 + 13 * 128) + 264 * 128 + c * 128 AS BIGINT) AS parameters
-    FROM (SELECT 2 + i % 6 AS l, 256 << (i // 6) AS c, 2 AS b FROM range(0, 24) t(i))"""
+    """SELECT p_partkey, CAST(l AS BIGINT) AS layers, CAST(c AS BIGINT) AS context, CAST(2 * l * c * 4 * 32 * 2 AS BIGINT) AS kv_bytes, CAST(l * (12 * 128 * 128 + 13 * 128) + 264 * 128 + c * 128 AS BIGINT) AS parameters
+    FROM (SELECT p_partkey, 2 + p_size % 6 AS l, 256 << CAST(p_partkey % 4 AS INTEGER) AS c FROM part)"""
 )
 def model_budget(spark, d):
-    """Bytes of the key-value cache and number of parameters over a grid of layers and context lengths (heads 4 of 32, width 128, two bytes)."""
-    i = F.col("id")
-    rows = spark.range(24).select((2 + i % 6).alias("layers"), F.expr("shiftleft(256L, CAST(id div 6 AS INT))").alias("context"))
+    """Bytes of the key-value cache and number of parameters of models whose layers and context lengths the parts name (heads 4 of 32, width 128, two bytes)."""
+    rows = table(spark, d, "part").select("p_partkey", as_long(2 + F.col("p_size") % 6).alias("layers"), F.expr("shiftleft(256L, CAST(p_partkey % 4 AS INT))").alias("context"))
     cache, weights = M.kv_cache_bytes(F.col("layers"), F.col("context"), 4, 32, 2), M.parameters(F.col("layers"), F.col("context"), 128, 264)
-    return rows.select("layers", "context", as_long(cache).alias("kv_bytes"), as_long(weights).alias("parameters"))
+    return rows.select("p_partkey", "layers", "context", as_long(cache).alias("kv_bytes"), as_long(weights).alias("parameters"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import catalog, corpora, evaluation, rollouts, streams  # noqa: F401
+from millrace.plans import building, catalog, corpora, evaluation, rollouts, streams  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

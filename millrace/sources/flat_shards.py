@@ -294,3 +294,76 @@ def read_ranges(ranges: DataFrame, folder: str) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema.fields)
     return ranges.mapInArrow(read, f"{kinds}, tokens binary, mask binary")
+
+
+def compose_flat(spark: SparkSession, components: dict[str, str], folder: str, replay: str | None = None) -> dict:
+    """One corpus out of published ones, split by split, the streams of the components behind each other; returns its manifest.
+
+    Every component is verified first, and all need the same splits and vocabulary. Stretches are copied by tasks to their
+    places. The digest of a split is composed of the components' digests. The manifest tells tokens, targets and
+    the manifest's SHA-256 of each component, and which share of the training tokens the component replay has.
+    """
+    target = mounted(folder)
+    if os.path.exists(target):
+        raise GateError(f"{folder} exists")
+    if not components or (replay is not None and replay not in components):
+        raise GateError("no components, or none that is replayed")
+    found = {name: verify_flat(spark, place) for name, place in components.items()}
+    if len({(m["vocabulary"], tuple(sorted(m["splits"]))) for m in found.values()}) > 1:
+        raise GateError("components of other splits or vocabularies")
+    first = next(iter(found.values()))
+    splits = {s: {"tokens": 0, "records": 0, "targets": 0, "digest": Digest(), "stretches": []} for s in first["splits"]}
+    copies, told = [], []
+    for name, manifest in found.items():
+        path = mounted(components[name])
+        for split, own in manifest["splits"].items():
+            whole = splits[split]
+            for s in own["stretches"]:
+                copies.append((path, split, s["start"], s["tokens"], whole["tokens"] + s["start"]))
+                whole["stretches"].append({**s, "start": whole["tokens"] + s["start"]})
+            whole["digest"] = whole["digest"].before(Digest(own["records"], int(own["digest"][:16], 16), int(own["digest"][16:], 16)))
+            for c in ("tokens", "records", "targets"):
+                whole[c] += own[c]
+        with open(f"{path}/manifest.json", "rb") as file:
+            sha = hashlib.sha256(file.read()).hexdigest()
+        told.append({"name": name, "manifest_sha256": sha, **{c: {split: x[c] for split, x in manifest["splits"].items()} for c in ("tokens", "targets")}})
+    staging = f"{target}.staging-{uuid.uuid4().hex}"
+    os.makedirs(staging)
+    try:
+        for split, whole in splits.items():
+            for name, width in zip(_names(split), (2, 1), strict=True):
+                with open(f"{staging}/{name}", "wb") as file:
+                    file.truncate(whole["tokens"] * width)
+            whole["digest"] = whole["digest"].hex()
+        rows = spark.createDataFrame(copies, "path string, split string, start long, n long, to long")
+        rows.repartition(max(len(copies), 1), "path", "split", "start").mapInArrow(lambda batches: _copied(batches, staging), "n long").agg(F.sum("n")).collect()
+        manifest = {"schema_version": 1, "vocabulary": first["vocabulary"], "splits": splits, "components": told}
+        if replay is not None and "train" in splits:
+            share = next(c["tokens"]["train"] for c in told if c["name"] == replay)
+            manifest["replay_train_fraction"] = share / splits["train"]["tokens"] if splits["train"]["tokens"] else 0.0
+        with open(f"{staging}/manifest.json", "x") as file:
+            file.write(json.dumps(manifest, sort_keys=True, separators=(",", ":")))
+            file.flush()
+            os.fsync(file.fileno())
+        verify_flat(spark, staging)
+        os.rename(staging, target)
+    except Exception:
+        shutil.rmtree(staging, ignore_errors=True)
+        raise
+    return manifest
+
+
+def _copied(batches: Iterator[pa.RecordBatch], staging: str) -> Iterator[pa.RecordBatch]:
+    """Stretches copied to their places, a MB at a time; a second copy writes the same bytes."""
+    for batch in batches:
+        for path, split, start, n, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with open(f"{staging}/{_names(split)[0]}", "r+b") as tokens, open(f"{staging}/{_names(split)[1]}", "r+b") as mask:
+                tokens.seek(2 * to)
+                mask.seek(to)
+                for t, m in _stretch(path, split, start, n):
+                    tokens.write(t.data)
+                    mask.write(m.data)
+                for file in (tokens, mask):
+                    file.flush()
+                    os.fsync(file.fileno())
+        yield pa.RecordBatch.from_arrays([batch.column(3)], ["n"])

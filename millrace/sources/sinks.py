@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,28 @@ def allowed(rows: DataFrame, required: list[str], optional: list[str]) -> DataFr
     return rows.select(*required, *[c for c in optional if c in rows.columns])
 
 
+def write_with_account(rows: DataFrame, folder: str, group: str, values: list[str], sums: list[str], reasons: list[str], keep: str = "accepted", by: str = "reason") -> tuple[DataFrame, DataFrame]:
+    """Write the rows whose reason is keep, and give the account of all, taken while they pass: nothing is read a second time.
+
+    rows: with a reason, a group (such as split) out of values, and numbers to sum. Returned are (reason, n_rows), and for each
+    group (group, rows, sums) of what was written. Counting happens in the writing stage itself, where Spark counts a
+    partition once however often it runs. A reason that is not in the rows is no row, a group outside values an error.
+    """
+    reasons = sorted({*reasons, keep})
+    known = F.col(by).isin(reasons) & F.col(group).isin(values)
+    checked = rows.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.lit("a reason or group that is not known"))))
+    seen, told = Observation(), Observation()
+    passing = checked.observe(seen, *[F.count_if(F.col(by) == r).alias(f"r{i}") for i, r in enumerate(reasons)]).where(F.col(by) == keep)
+    each = [F.count_if(F.col(group) == v).alias(f"v{i}") for i, v in enumerate(values)]
+    each += [F.sum(F.when(F.col(group) == v, F.col(c)).otherwise(0)).cast("long").alias(f"v{i}_{j}") for i, v in enumerate(values) for j, c in enumerate(sums)]
+    passing.observe(told, *each).drop(by).write.parquet(folder)
+    spark = rows.sparkSession
+    account = [(r, seen.get[f"r{i}"]) for i, r in enumerate(reasons) if seen.get[f"r{i}"]]
+    totals = [(v, told.get[f"v{i}"], *[told.get[f"v{i}_{j}"] or 0 for j in range(len(sums))]) for i, v in enumerate(values)]
+    schema = f"`{group}` string, rows long" + "".join(f", `{c}` long" for c in sums)
+    return spark.createDataFrame(account, "reason string, n_rows long"), spark.createDataFrame(totals, schema)
+
+
 def append_new(rows: DataFrame, folder: str, key: str, payload: str) -> int:
     """Append the rows whose key is not there yet. The same key with another payload stops the whole append."""
     spark = rows.sparkSession
