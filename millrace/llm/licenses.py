@@ -1,9 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, once with every new line as an end and once with new lines as spaces
-(wrapped notices), and each sentence is normalised: lower case, letters and digits, single spaces.
-Sentences that are known get their identifier; the others vanish. The identifiers of a text, in order,
-are matched against the rules in their order: a rule is a sequence of identifiers that must follow each
+A text is cut into paragraphs at blank lines. A paragraph is cut into sentences, either with every new
+line as an end or with new lines as spaces (wrapped notices), whichever finds more that is known. Each
+sentence is normalised: lower case, letters and digits, single spaces, and the name of a copyright
+holder is a placeholder. Sentences that are known get their identifier; the others vanish. Titles of
+licences are known sentences too, so a whole licence text is recognised by its head. The identifiers of
+a text, in order, are matched against the rules in their order: a rule is a sequence of identifiers that must follow each
 other, longer and more exact ones first, and what a rule has matched no later rule sees again.
 
 All of it is one projection of DataFrame functions over each row: no shuffle, no state, no Python.
@@ -96,11 +98,29 @@ SENTENCES = {
     "cc_by_nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc_zero": ["licensed under cc0 1 0", "this work is dedicated to the public domain"],
     "rights": ["all rights reserved"],
+    "gpl1_title": ["gnu general public license version 1 february 1989"],
+    "gpl2_title": ["gnu general public license version 2 june 1991"],
+    "gpl3_title": ["gnu general public license version 3 29 june 2007"],
+    "lgpl2_title": ["gnu library general public license version 2 june 1991"],
+    "lgpl21_title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl3_title": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl3_title": ["gnu affero general public license version 3 19 november 2007"],
+    "gfdl12_title": ["gnu free documentation license version 1 2 november 2002"],
+    "gfdl13_title": ["gnu free documentation license version 1 3 3 november 2008"],
+    "mpl11_title": ["mozilla public license version 1 1"],
+    "mpl20_title": ["mozilla public license version 2 0"],
+    "apache_title": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"],
+    "artistic_title": ["the artistic license"],
+    "artistic2_title": ["the artistic license 2 0"],
+    "cc_zero_title": ["cc0 1 0 universal"],
+    "epl2_title": ["eclipse public license v 2 0"],
 }
 
 # Rules in their order, (licence, identifiers that follow each other).
 RULES = [
+    ("MIT", ("rights", "mit_grant", "mit_notice", "mit_warranty")),
     ("MIT", ("mit_grant", "mit_notice", "mit_warranty")),
+    ("MIT", ("rights", "mit_grant", "mit_notice")),
     ("MIT", ("mit_grant", "mit_notice")),
     ("MIT", ("mit_grant",)),
     ("MIT", ("mit_short",)),
@@ -133,6 +153,7 @@ RULES = [
     ("MPL-2.0", ("mpl_terms", "mpl_copy")),
     ("MPL-2.0", ("mpl_terms",)),
     ("MPL-2.0", ("mpl_short",)),
+    ("ISC", ("rights", "isc_grant")),
     ("ISC", ("isc_grant",)),
     ("ISC", ("isc_short",)),
     ("EPL-2.0", ("epl_short",)),
@@ -141,28 +162,57 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc_by_sa",)),
     ("CC-BY-4.0", ("cc_by",)),
     ("CC0-1.0", ("cc_zero",)),
+    ("GPL-1.0", ("gpl1_title",)),
+    ("GPL-2.0", ("gpl2_title",)),
+    ("GPL-3.0", ("gpl3_title",)),
+    ("LGPL-2.0", ("lgpl2_title",)),
+    ("LGPL-2.1", ("lgpl21_title",)),
+    ("LGPL-3.0", ("lgpl3_title",)),
+    ("AGPL-3.0", ("agpl3_title",)),
+    ("GFDL-1.2", ("gfdl12_title",)),
+    ("GFDL-1.3", ("gfdl13_title",)),
+    ("MPL-1.1", ("mpl11_title", "apache_copy", "rights")),
+    ("MPL-1.1", ("mpl11_title",)),
+    ("MPL-2.0", ("mpl20_title",)),
+    ("Apache-2.0", ("apache_title",)),
+    ("Artistic-1.0", ("artistic_title",)),
+    ("Artistic-2.0", ("artistic2_title",)),
+    ("CC0-1.0", ("cc_zero_title",)),
+    ("EPL-2.0", ("epl2_title",)),
     ("Proprietary", ("rights",)),
 ]
 
 
-# Fixed value: the tag in front of a licence's short name.
+# The tag in front of a licence's short name; a holder's name and what stands for it.
 TAG = "spdx-license-identifier:"
+HOLDER = r"neither the names? of (?:(?!nor the names)[a-z0-9 ])+nor the names of (?:its|their|any) contributors"
+HOLDER_KNOWN = "neither the name of the copyright holder nor the names of its contributors"
+#: Where paragraphs end, and what a wrapped one ends its sentences with.
+PARAGRAPH = r"\n\s*\n"
 #: Each known sentence holds one of these, so a text without them is not cut.
-TRIGGERS = ("licen", "software", "permission", "redistribut", "warrant", "rights", "copyright", "copy", "domain")
+TRIGGERS = ("licen", "software", "permission", "redistribut", "warrant", "rights", "copyright", "copy", "domain", "cc0")
 if missed := [s for known in SENTENCES.values() for s in known if not any(t in s for t in TRIGGERS)]:
     raise ValueError(f"sentences without a trigger: {missed}")
 
 
-def sentence_ids(text: Column, lines: bool) -> Column:
-    """The known sentences of a text in order, as one string of <identifier>. A literal | ends a sentence as well; the colon of an SPDX tag does not."""
-    ends = r"[.!?;:]+(?=\s|$)|\n" if lines else r"[.!?;:]+(?=\s|$)|\n\s*\n"
-    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(TAG), F.lit(TAG.replace("-", " ").replace(":", " ")))
-    clean = F.regexp_replace(F.regexp_replace(low, ends, "|"), r"[^a-z0-9|]+", " ")
+def _known(paragraph: Column, lines: bool) -> Column:
+    """The known sentences of a paragraph in order, as one string of <identifier>. A literal | ends a sentence as well."""
+    ends = r"[.!?;:]+(?=\s|$)|\n" if lines else r"[.!?;:]+(?=\s|$)"
+    clean = F.regexp_replace(F.regexp_replace(paragraph, ends, "|"), r"[^a-z0-9|]+", " ")
+    clean = F.regexp_replace(clean, HOLDER, HOLDER_KNOWN)
     known = F.create_map(*[F.lit(x) for name, sentences in SENTENCES.items() for s in sentences for x in (s, f"<{name}>")])
     found = F.transform(F.split(clean, r"\|"), lambda s: F.try_element_at(known, F.trim(s)))
     return F.array_join(F.filter(found, lambda x: x.isNotNull()), "")
 
 
+def sentence_ids(text: Column) -> Column:
+    """The known sentences of a text in order, paragraph by paragraph. The colon of an SPDX tag, the point of "v." and that of a company in front of "nor" end no sentence."""
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(TAG), F.lit(TAG.replace("-", " ").replace(":", " ")))
+    low = F.regexp_replace(F.regexp_replace(low, r"\bv\.\s+", "v "), r"\b(inc|ltd|co|corp)\.\s+nor\b", "$1 nor")
+    both = F.transform(F.split(low, PARAGRAPH), lambda p: F.struct(_known(p, True).alias("a"), _known(p, False).alias("b")))
+    return F.array_join(F.transform(both, lambda p: F.when(F.length(p["b"]) > F.length(p["a"]), p["b"]).otherwise(p["a"])), "")
+
+
 def _matched(ids: Column) -> Column:
     """array<struct<rule, times>>: how often each rule matches, rules in order."""
     rest, out = ids, []
@@ -178,25 +228,19 @@ def _matched(ids: Column) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, sentences (identifiers in order), n_matches, licenses (array, in the order of the rules).
 
-    A rule's matches are the larger number of the two ways of cutting. Null and empty texts have no
-    licences; equal rows, and rows that share an id, are each returned. Other columns, whatever their
-    names, are not read. An empty table gives an empty frame.
+    Null and empty texts have no licences; equal rows, and rows that share an id, are each returned. Other
+    columns, whatever their names, are not read. An empty table gives an empty frame.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     any_known = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in TRIGGERS])
-    cut = [F.when(any_known, sentence_ids(F.col(text), lines)).otherwise("") for lines in (True, False)]
-    ids = docs.select(F.col(doc_id).alias("doc_id"), cut[0].alias("a"), cut[1].alias("b"))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.when(any_known, sentence_ids(F.col(text))).otherwise("").alias("sentences"))
     none = F.array().cast("array<struct<rule: int, times: int>>")
     # Most texts hold no known sentence; the rules are tried on the others only.
-    rules = [F.when(F.col(c) != "", F.filter(_matched(F.col(c)), lambda x: x["times"] > 0)).otherwise(none) for c in ("a", "b")]
-    found = ids.select("doc_id", "a", "b", rules[0].alias("ra"), rules[1].alias("rb"))
-    numbers = F.array_sort(F.array_union(F.col("ra.rule"), F.col("rb.rule")))
-    times = lambda of, n: F.coalesce(F.try_element_at(F.filter(of, lambda x: x["rule"] == n), F.lit(1))["times"], F.lit(0))
-    total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, n: s + F.greatest(times(F.col("ra"), n), times(F.col("rb"), n)))
+    rules = F.when(F.col("sentences") != "", F.filter(_matched(F.col("sentences")), lambda x: x["times"] > 0)).otherwise(none)
+    found = ids.select("doc_id", "sentences", rules.alias("rules"))
+    total = F.aggregate("rules", F.lit(0).cast("long"), lambda s, x: s + x["times"])
     names = F.array(*[F.lit(name) for name, _ in RULES])
-    return found.select(
-        "doc_id", F.when(F.length("b") > F.length("a"), F.col("b")).otherwise(F.col("a")).alias("sentences"), total.alias("n_matches"), F.array_distinct(F.transform(numbers, lambda n: names[n])).alias("licenses")
-    )
+    return found.select("doc_id", "sentences", total.alias("n_matches"), F.array_distinct(F.transform("rules", lambda x: names[x["rule"]])).alias("licenses"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:

@@ -141,20 +141,24 @@ def _license_sql() -> str:
         steps.append(f"replace(r{i}, '{pattern}', '#') AS r{i + 1}")
         times.append(f"(length(r{i}) - length(r{i + 1})) // {len(pattern) - 1} AS t{i}")
         names.setdefault(name, []).append(i)
-    each = ", ".join(f"max(t{i}) AS t{i}" for i in range(len(times)))
     found = ", ".join(f"CASE WHEN {' + '.join(f't{i}' for i in which)} > 0 THEN '{name}' END" for name, which in names.items())
+    holder = licenses.HOLDER.replace("(?:(?!nor the names)[a-z0-9 ])+", "[a-z0-9 ]+?")
     return f"""
 WITH k(s, id) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () AS row, doc_id, replace(lower(coalesce(text, '')), '{licenses.TAG}', '{licenses.TAG.replace("-", " ").replace(":", " ")}') AS t FROM documents),
-c AS (SELECT row, 'a' AS cut, regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\f\\r\\x0B]*\\n|[.!?;:]+[ \\t\\f\\r\\x0B]|\\n', '|', 'g') AS x FROM d
-      UNION ALL SELECT row, 'b', regexp_replace(t || chr(10), '[.!?;:]+[ \\t\\n\\f\\r\\x0B]|\\n[ \\t\\n\\f\\r\\x0B]*\\n', '|', 'g') FROM d),
-w AS (SELECT row, cut, string_split(regexp_replace(x, '[^a-z0-9|]+', ' ', 'g'), '|') AS parts FROM c),
-u AS (SELECT row, cut, unnest(parts) AS s, unnest(range(1, len(parts) + 1)) AS at FROM w),
-i AS (SELECT u.row, u.cut, string_agg(k.id, '' ORDER BY u.at) AS r0 FROM u JOIN k ON trim(u.s) = k.s GROUP BY u.row, u.cut),
-m AS (SELECT row, {", ".join(steps)}, {", ".join(times)} FROM i),
-g AS (SELECT row, {each} FROM m GROUP BY row)
+d AS (SELECT row_number() OVER () AS row, doc_id,
+             regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '{licenses.TAG}', '{licenses.TAG.replace("-", " ").replace(":", " ")}'), '\\bv\\.[ \\t\\n\\f\\r\\x0B]+', 'v ', 'g'), '\\b(inc|ltd|co|corp)\\.[ \\t\\n\\f\\r\\x0B]+nor\\b', '\\1 nor', 'g') AS t FROM documents),
+e AS (SELECT row, string_split_regex(t, '\\n[ \\t\\n\\f\\r\\x0B]*\\n') AS parts FROM d),
+p AS (SELECT row, unnest(parts) || chr(10) AS t, unnest(range(1, len(parts) + 1)) AS part FROM e),
+c AS (SELECT row, part, 'a' AS cut, regexp_replace(t, '[.!?;:]+[ \\t\\f\\r\\x0B]*\\n|[.!?;:]+[ \\t\\f\\r\\x0B]|\\n', '|', 'g') AS x FROM p
+      UNION ALL SELECT row, part, 'b', regexp_replace(t, '[.!?;:]+[ \\t\\n\\f\\r\\x0B]', '|', 'g') FROM p),
+w AS (SELECT row, part, cut, string_split(regexp_replace(regexp_replace(x, '[^a-z0-9|]+', ' ', 'g'), '{holder}', '{licenses.HOLDER_KNOWN}', 'g'), '|') AS parts FROM c),
+u AS (SELECT row, part, cut, unnest(parts) AS s, unnest(range(1, len(parts) + 1)) AS at FROM w),
+i AS (SELECT u.row, u.part, u.cut, string_agg(k.id, '' ORDER BY u.at) AS ids FROM u JOIN k ON trim(u.s) = k.s GROUP BY u.row, u.part, u.cut),
+b AS (SELECT row, part, arg_max(ids, 2 * length(ids) + CASE cut WHEN 'a' THEN 1 ELSE 0 END) AS ids FROM i GROUP BY row, part),
+r AS (SELECT row, string_agg(ids, '' ORDER BY part) AS r0 FROM b GROUP BY row),
+m AS (SELECT row, {", ".join(steps)}, {", ".join(times)} FROM r)
 SELECT d.doc_id, CAST(coalesce({" + ".join(f"t{i}" for i in range(len(times)))}, 0) AS BIGINT) AS n_matches, concat_ws(',', {found}) AS licenses
-FROM d LEFT JOIN g ON d.row = g.row
+FROM d LEFT JOIN m ON d.row = m.row
 """
 
 
