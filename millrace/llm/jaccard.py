@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by the chosen-path method.
 
-A text is its set of distinct five-word shingles. In each of RUNS runs a set chooses a path: at every
+A text is its set of distinct five-word shingles. In each run a set chooses a path: at every
 level it samples one of its tokens by a hash that all sets share (the smallest hash value), so two
 sets choose the same token with a probability equal to their Jaccard similarity. Sets with the same
 path so far share a bucket. Buckets of up to SPLIT sets are leaves; larger ones are split by the next
@@ -10,8 +10,10 @@ all alike), or whose texts are long, is compared whole as well, in pairs of bloc
 BLOCK_SHINGLES shingles, each pair of blocks a group of its own, so no bucket is capped and no
 candidate is dropped.
 
-A pair of similarity s meets in a run with probability s**depth or more. At s = 0.8 ten runs miss it
-with probability 1e-7 if leaves are of the first level, 4e-5 at the second and 8e-4 at the third.
+A pair of similarity s meets in a run with probability s**depth or more. There are as many runs as a pair
+at the threshold needs to be found with the target recall even if its bucket is split to the last
+level: ten for 0.8 and 0.999. Such a pair is then missed with probability 1e-7 if leaves are of the first
+level, 4e-5 at the second and 8e-4 at the third.
 
 Equal sets are one class with a size; copies are never expanded into pairs. A pair that meets in
 several leaves counts in the first of them only, which both sets can tell from their lists of leaves,
@@ -21,6 +23,8 @@ it is connected with there.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,8 @@ from millrace.llm.scratch import lean, numbered, small, write
 from millrace.llm.shingles import WORDS, shingle_sets
 
 THRESHOLD = 0.8
-RUNS, LEVELS = 10, 3
+#: The share of pairs at the threshold that have to be found, and the tokens of a path.
+RECALL, LEVELS = 0.999, 3
 #: Buckets of more sets are split by a further token.
 SPLIT = 256
 #: Leaves of more sets, or of more shingles in all, are compared in pairs of blocks of about so many.
@@ -44,7 +49,18 @@ BLOCK_SHINGLES = 1 << 20
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 2048
 
-_SEEDS = np.random.default_rng(41).integers(1, 1 << 63, RUNS * LEVELS, dtype=np.uint64)
+
+def runs_for(threshold: float, recall: float) -> int:
+    """How many runs find a pair at the threshold with the target recall, each with threshold**LEVELS at least."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold and recall must lie between 0 and 1")
+    return 1 if threshold == 1 else math.ceil(math.log(1 - recall) / math.log(1 - threshold**LEVELS))
+
+
+@functools.lru_cache(maxsize=4)
+def _seeds(runs: int) -> np.ndarray:
+    return np.random.default_rng(41).integers(1, 1 << 63, runs * LEVELS, dtype=np.uint64)
+
 
 
 def _set_hashes(found: np.ndarray) -> tuple[int, int]:
@@ -53,17 +69,18 @@ def _set_hashes(found: np.ndarray) -> tuple[int, int]:
     return int(np.int64(one)), int(np.int64(two))
 
 
-def _paths(found: np.ndarray) -> list[int]:
-    """For each run the keys of its buckets, level by level: RUNS * LEVELS numbers."""
-    chosen = [mix(found ^ s).min() for s in _SEEDS]
-    keys = np.array(chosen, np.uint64).reshape(RUNS, LEVELS)
-    keys[:, 0] = mix(keys[:, 0] ^ _SEEDS[:RUNS])
+def _paths(found: np.ndarray, runs: int) -> list[int]:
+    """For each run the keys of its buckets, level by level: runs * LEVELS numbers."""
+    seeds = _seeds(runs)
+    chosen = [mix(found ^ s).min() for s in seeds]
+    keys = np.array(chosen, np.uint64).reshape(runs, LEVELS)
+    keys[:, 0] = mix(keys[:, 0] ^ seeds[:runs])
     for level in range(1, LEVELS):
         keys[:, level] = mix(keys[:, level - 1] * np.uint64(3) ^ keys[:, level])
     return keys.ravel().astype(np.int64).tolist()
 
 
-def _sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def _sketch(docs: DataFrame, doc_id: str, text: str, words: int, runs: int) -> DataFrame:
     """For each row: id, n (shingles), a and b (hashes of the set), paths."""
 
     @lean
@@ -75,7 +92,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 one, two = _set_hashes(found) if len(found) else (0, 0)
                 a.append(one)
                 b.append(two)
-                paths.append(_paths(found) if len(found) else None)
+                paths.append(_paths(found, runs) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(paths, pa.list_(pa.int64()))],
                 ["id", "n", "a", "b", "paths"],
@@ -85,9 +102,9 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n int, a long, b long, paths array<long>")
 
 
-def _leaves(classes: DataFrame, split: int) -> DataFrame:
+def _leaves(classes: DataFrame, split: int, runs: int) -> DataFrame:
     """From (key, n, paths) to (leaf, members, shingles, key): the leaves of two classes or more, how many members and shingles they have, and the members."""
-    one_run = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("paths", r * LEVELS + 1, LEVELS)))
+    one_run = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * LEVELS + 1, LEVELS)))
     found, going = None, classes.select("key", "n", one_run.alias("path"))
     for level in range(LEVELS):
         keyed = going.select("key", "n", "path", F.col("path")[level].alias("leaf"))
@@ -160,7 +177,7 @@ def _compare(rows: DataFrame, threshold: float, words: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, links long, root long")
 
 
-def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, split: int = SPLIT, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(id, n, a, b, rep, size, links, component): one row for each row of docs.
 
     doc_id is a whole number. rep is the smallest id among the rows with the same set, size their number,
@@ -170,12 +187,12 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     own, each with its own text. Other columns, whatever their names, are not read. An empty table
     gives an empty frame.
     """
-    spark = docs.sparkSession
-    sketch = write(_sketch(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", words), "sketch").df
+    spark, runs = docs.sparkSession, runs_for(threshold, recall)
+    sketch = write(_sketch(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", words, runs), "sketch").df
     found = sketch.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("paths").alias("paths"))
     # The number of a class is its own: two texts of one id are two classes. Written once, so it stays.
     classes = write(found.withColumn("key", F.monotonically_increasing_id()), "classes").df
-    leaves = write(_leaves(classes.select("key", "n", "paths"), split), "members").df
+    leaves = write(_leaves(classes.select("key", "n", "paths"), split, runs), "members").df
     lists = leaves.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("leaf", "members", "shingles"))).alias("leaves"))
     wanted = small(write(classes.select("rep", "key", "size", "a", "b").join(lists, "key"), "wanted"))
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")

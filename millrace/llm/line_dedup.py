@@ -37,12 +37,17 @@ _NO_ID = -(1 << 63)
 _INK = r"(?U)[^\s\p{Zs}\p{Zl}\p{Zp}\x1c-\x1f]"
 
 
+def variant_blocks(line: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two hashes each of a line and of the line without its character i, and the places (-1, 0, 1, ...), block by block."""
+    at = -1
+    for one, two in _HASHES.deletions(np.frombuffer(line.encode(), np.uint8)):
+        yield one.view(np.int64), two.view(np.int64), np.arange(at, at + len(one), dtype=np.int32)
+        at += len(one)
+
+
 def hashed_variants(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes each of a line and of the line without its character i, and the places: -1, 0, 1, ..."""
-    data = np.frombuffer(line.encode(), np.uint8)
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    one, two = _HASHES.without(data, starts, np.append(starts[1:], len(data)))
-    return one.view(np.int64), two.view(np.int64), np.arange(-1, len(starts), dtype=np.int32)
+    """All blocks together."""
+    return tuple(np.concatenate(x) for x in zip(*variant_blocks(line), strict=True))
 
 
 def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +57,16 @@ def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A line's variants leave in blocks, so a long line needs little more than its own bytes."""
     for batch in batches:
-        ids, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         held, size = [], 0
-        for i, line in zip(ids, lines, strict=True):
-            found = hashed_variants(line)
-            held.append((*found, np.full(len(found[0]), i)))
-            size += len(found[0])
-            if size > 100_000:
-                yield _variant_batch(held)
-                held, size = [], 0
+        for i, line in zip(batch.column(0), batch.column(1), strict=True):
+            for found in variant_blocks(line.as_py()):
+                held.append((*found, np.full(len(found[0]), i.as_py())))
+                size += len(found[0])
+                if size > 100_000:
+                    yield _variant_batch(held)
+                    held, size = [], 0
         yield _variant_batch(held)
 
 

@@ -96,20 +96,43 @@ class Residues:
             done += more
         return out
 
-    def without(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes (of two residues each) of all bytes, first, and of the bytes without those from a start to its end."""
-        n, half = len(data), []
-        for i in range(4):
-            powers = self._powers(i, n + 1)
-            prefix = np.zeros(n + 1, np.uint64)
-            prefix[1:] = _reduced(np.cumsum(_reduced(self.tables[i][data] * powers[:n])))
-            # What stands right of a gap moves to the left by its width.
-            inverse = [pow(self.bases[i], -int(w), int(_P)) for w in range(1, 5)]
-            back = np.array([1, *inverse], np.uint64)[ends - starts]
-            rest = _reduced(_reduced(prefix[n] + _P - prefix[ends]) * back)
-            half.append(np.append(prefix[n], _reduced(prefix[starts] + rest)))
-        sizes = np.append(n, n - (ends - starts)).astype(np.uint64)
-        return tuple(mix((a << _SHIFT | b) ^ mix(sizes)) for a, b in (half[:2], half[2:]))
+    def deletions(self, data: np.ndarray, block: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Two hashes (of two residues each) of all UTF-8 bytes, and then of the bytes without each character in turn, block by block."""
+        n, edges = len(data), [0]
+        while edges[-1] < n:
+            end = min(edges[-1] + block, n)
+            while end < n and data[end] & 0xC0 == 0x80:
+                end += 1
+            edges.append(end)
+        powers = [self._powers(i, max(np.diff(edges, append=0).max(), 0) + 1) for i in range(4)]
+        # The residues of what stands before each block, and of the whole.
+        before = np.zeros((4, len(edges)), np.uint64)
+        for b, (first, last) in enumerate(zip(edges, edges[1:])):
+            for i in range(4):
+                own = _reduced(self.tables[i][data[first:last]] * powers[i][: last - first]).sum()
+                own = _reduced(np.array([own], np.uint64)) * np.uint64(pow(self.bases[i], first, int(_P)))
+                before[i, b + 1] = _reduced(before[i, b] + own)[0]
+        yield self._joined(before[:, -1:], np.array([n], np.uint64))
+        for b, (first, last) in enumerate(zip(edges, edges[1:])):
+            own = data[first:last]
+            starts = np.flatnonzero((own & 0xC0) != 0x80)
+            width = np.diff(starts, append=len(own))
+            keys = np.empty((4, len(starts)), np.uint64)
+            for i in range(4):
+                shift = np.uint64(pow(self.bases[i], first, int(_P)))
+                prefix = np.zeros(len(own) + 1, np.uint64)
+                np.cumsum(_reduced(self.tables[i][own] * powers[i][: len(own)]), out=prefix[1:])
+                prefix = _reduced(_reduced(_reduced(prefix) * shift) + before[i, b])
+                # What stands right of a gap moves to the left by its width.
+                back = np.array([1, *(pow(self.bases[i], -w, int(_P)) for w in range(1, 5))], np.uint64)[width]
+                rest = _reduced(_reduced(before[i, -1] + _P - prefix[starts + width]) * back)
+                keys[i] = _reduced(prefix[starts] + rest)
+            yield self._joined(keys, (n - width).astype(np.uint64))
+
+    @staticmethod
+    def _joined(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = mix(sizes)
+        return mix((keys[0] << _SHIFT | keys[1]) ^ sizes), mix((keys[2] << _SHIFT | keys[3]) ^ sizes)
 
 
 def forget_powers() -> None:

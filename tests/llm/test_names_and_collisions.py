@@ -1,7 +1,12 @@
 """Column names that get in the way, and texts that a polynomial modulo a power of two cannot tell apart."""
 
 import hashlib
+import random
+import tracemalloc
 
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, jaccard, line_dedup, mixing, polyhash
@@ -31,7 +36,7 @@ def test_poly_cannot_tell_and_residues_can():
     a, b = morse("ab"), morse("ba")
     for seed in range(3):
         poly = polyhash.Poly(seed)
-        ends = [poly.prefix(__import__("numpy").frombuffer(x.encode(), "u1"))[-1] for x in (a, b)]
+        ends = [poly.prefix(np.frombuffer(x.encode(), "u1"))[-1] for x in (a, b)]
         assert ends[0] == ends[1]
     assert not {x[0] for x in line_dedup.hashed_variants(a)[:2]} & {x[0] for x in line_dedup.hashed_variants(b)[:2]}
 
@@ -60,3 +65,43 @@ def test_words_that_a_collision_would_make_one_class(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.decisions(docs).collect()} == {0: (0, 1), 1: (1, 0), 2: (0, 1)}
     digests = {hashlib.sha256(r.text.encode()).hexdigest() for r in docs.where(F.col("doc_id") < 2).collect()}
     assert len(digests) == 2
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_blocks_of_a_long_line(block):
+    line = "aé漢😀xyz " * 9
+    whole = [np.concatenate(x) for x in zip(*line_dedup._HASHES.deletions(np.frombuffer(line.encode(), "u1")))]
+    parts = [np.concatenate(x) for x in zip(*line_dedup._HASHES.deletions(np.frombuffer(line.encode(), "u1"), block))]
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_a_line_of_many_megabytes_needs_little_memory():
+    line = "word " * 2_000_000
+    tracemalloc.start()
+    n = sum(len(x[0]) for x in line_dedup.variant_blocks(line))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(line) + 1 and peak < 80e6
+
+
+def test_runs_follow_threshold_and_recall(spark):
+    assert jaccard.runs_for(0.8, 0.999) == 10 and jaccard.runs_for(0.5, 0.999) == 52 and jaccard.runs_for(1.0, 0.9) == 1
+    for bad in ((0.0, 0.9), (1.1, 0.9), (0.8, 1.0)):
+        with pytest.raises(ValueError, match="between 0 and 1"):
+            jaccard.runs_for(*bad)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(60)]
+        near = list(base)
+        near[30] = "other"  # five of 56 shingles change: similarity 51 / 61
+        far = base[:46] + [rng.choice(words) for _ in range(14)]  # 42 of 70 at least
+        texts += [" ".join(x) for x in (base, near, far)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    for threshold in (0.5, 0.8):
+        links = {i: sum(j != i and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) for j in range(len(sets))) for i in range(len(sets))}
+        # All buckets are split to the last level.
+        found = {r.id: r.links for r in jaccard.link_classes(docs, threshold=threshold, split=1).collect()}
+        assert found == links and sum(links.values()) >= 80
