@@ -66,6 +66,11 @@ def stable_id(prefix: str, canonical: Column, digits: int = 24) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(ascii_json(canonical), 256), 1, digits))
 
 
+def request_hash(canonical: Column) -> Column:
+    """The SHA-256 of a canonical JSON body as it is sent, in ASCII."""
+    return F.sha2(ascii_json(canonical), 256)
+
+
 def identity(*parts: Column) -> Column:
     """SHA-256 over the parts with a zero byte between: source, revision, path and document make a document's identity."""
     return F.sha2(F.concat_ws("\0", *parts), 256)

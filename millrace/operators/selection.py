@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import seeded
+from millrace.sources.readers import GateError, demand_none
 from millrace.sources.staging import settle
 
 #: Groups of more rows are not walked by one task.
@@ -39,6 +40,22 @@ def top_by_hash(rows: DataFrame, seed: str, key: str, k: int, group: list[str] |
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def exactly_per_group(rows: DataFrame, seed: str, key: str, group: str, wanted: dict[str, int]) -> DataFrame:
+    """key, group, position: of each group exactly so many rows, those with the smallest seeded hashes, then all in the order of group and key.
+
+    A group with fewer rows, or rows of one key, is an error. Positions count from 0 over the chosen rows alone.
+    """
+    most = max(wanted.values(), default=0)
+    ranked = settle(top_by_hash(rows.where(F.col(group).isin(*wanted)).select(key, group), seed, key, most, [group]))
+    limit = F.coalesce(*[F.when(F.col(group) == g, n) for g, n in wanted.items()]) if wanted else F.lit(0)
+    chosen = settle(ranked.where(F.col("rank") <= limit).select(key, group))
+    counts = {r[0]: r[1] for r in chosen.groupBy(group).count().collect()}  # a row for each wanted group
+    if short := [g for g, n in wanted.items() if counts.get(g, 0) < n]:
+        raise GateError(f"not enough rows of {short}")
+    demand_none(chosen.groupBy(key).count().where("count > 1"), "keys chosen twice")
+    return running_offset(chosen.withColumn("_at", F.struct(group, key)), "_at", F.lit(1)).select(key, group, F.col("offset").alias("position"))
+
+
 def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, content: str, most: int, budget: int, hot: int = HOT_ROWS) -> DataFrame:
     """Greedy choice by seeded hash: of each group the rows in hash order whose size still fits, up to most rows.
 

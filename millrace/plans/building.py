@@ -12,6 +12,7 @@ from millrace.operators import generate as G
 from millrace.operators import measures as M
 from millrace.operators import quantise as Q
 from millrace.operators import schedule as P
+from millrace.operators import selection as S
 from millrace.operators import tokens as K
 from millrace.plans.catalog import _RESULTS_SQL, BYTES_SQL, _quantised_sql, _results
 from millrace.plans.corpora import _DIGEST_SQL, _EXAMPLES_SQL, _RECORDS_SQL, _examples, _split
@@ -19,7 +20,7 @@ from millrace.plans.registry import as_long, query, table
 from millrace.plans.streams import _packed
 from millrace.sources import flat_shards, shards, sinks
 from millrace.sources.cache import AnswerCache, canonical_payload
-from millrace.sources.readers import demand_none, first_reason
+from millrace.sources.readers import counted, demand_none, first_reason, licence_gate, strict_lines
 
 _UPDATES = 100
 _WIDE = "regexp_replace(hex(encode({0})), '(..)', '\\100', 'g')"
@@ -250,3 +251,92 @@ def ascii_maths(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), sign, F.lit(" 4")).alias("t"))
     plain = T.squeeze(T.ascii_maths(F.col("t")))
     return docs.select("doc_id", plain.alias("t")).select("doc_id", F.sha2("t", 256).alias("maths_sha256"), (F.length("t") == F.octet_length("t")).alias("is_ascii"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source AS source_id, CASE CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 3 WHEN 0 THEN 'eligible' WHEN 1 THEN 'row-filtered' ELSE 'excluded' END AS policy FROM documents WHERE doc_id % 5 > 0 AND source <> 'src1'),
+    r AS (SELECT source AS source_id, 'l' || (doc_id % 2) AS l FROM documents)
+    SELECT CASE WHEN s.policy IS NULL THEN 'unknown_source' WHEN s.policy = 'excluded' THEN 'excluded_source' WHEN s.policy <> 'eligible' THEN 'not_eligible' WHEN r.l <> 'l1' THEN 'licence_mismatch' ELSE 'accepted' END AS reason, count(*) AS n_rows
+    FROM r LEFT JOIN s ON r.source_id = s.source_id GROUP BY 1"""
+)
+def eligible_gate(spark, d):
+    """The gate that refuses row-filtered sources too, against a registry made of the sources that there are."""
+    docs = table(spark, d, "documents")
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 3
+    policy = F.when(number == 0, "eligible").when(number == 1, "row-filtered").otherwise("excluded")
+    known = docs.where("doc_id % 5 > 0 AND source <> 'src1'").select(F.col("source").alias("source_id"), policy.alias("policy"), F.lit("l1").alias("license_id"), F.array(F.lit("l0")).alias("allowed_row_licenses")).distinct()
+    records = docs.select(F.col("source").alias("source_id"), F.concat(F.lit("l"), F.col("doc_id") % 2).alias("license_id"))
+    return counted(licence_gate(records, known, eligible_only=True), F.col("reason"))
+
+
+_TRAIN_SQL = "CAST(CAST('0x' || substr(sha256('split-v1:' || CAST(p_partkey AS VARCHAR)), 1, 16) AS UBIGINT) % 10000 AS INTEGER) < 9000"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'arithmetic' ELSE 'physics' END AS task FROM part WHERE {_TRAIN_SQL} AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sha256('teacher:' || p_partkey), p_partkey) AS r FROM p)
+    SELECT p_partkey, task, row_number() OVER (ORDER BY task, p_partkey) - 1 AS position FROM r WHERE r <= CASE task WHEN 'arithmetic' THEN 20 ELSE 15 END"""
+)
+def teacher_selection(spark, d):
+    """Problems for a teacher: of the training split, of no frozen family, exactly so many of each task."""
+    task = F.when(F.col("p_size") % 2 == 0, "arithmetic").otherwise("physics")
+    frozen = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    pool = table(spark, d, "part").select("p_partkey", task.alias("task"), _split("p_partkey").alias("split")).where("split = 'train'")
+    return S.exactly_per_group(pool.join(frozen, "p_partkey", "left_anti"), "teacher", "p_partkey", "task", {"arithmetic": 20, "physics": 15})
+
+
+@query(
+    """SELECT event_id, sha256('{"messages":[{"content":"' || event_type || '","role":"user"},{"content":"caf\\u00e9","role":"assistant"}],"model":"m-' || (user_id % 3) || '","stop":null}') AS request FROM events"""
+)
+def request_hashes(spark, d):
+    """Requests named by the hash of their canonical bodies: fields in order at every level, nulls kept, ASCII only."""
+    events = table(spark, d, "events")
+    turn = lambda role, content: F.named_struct(F.lit("role"), F.lit(role), F.lit("content"), content)
+    body = events.select(F.lit(None).cast("string").alias("stop"), F.concat(F.lit("m-"), F.col("user_id") % 3).alias("model"), F.array(turn("user", F.col("event_type")), turn("assistant", F.lit("café"))).alias("messages"), "event_id")
+    sent = body.select("event_id", sinks.canonical_rows(body.drop("event_id")).alias("body"))
+    return sent.select("event_id", T.request_hash(F.col("body")).alias("request"))
+
+
+@query(
+    """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"facts":{"a":{"n":' || c_nationkey || ',"s":null},"z":{"n":1,"s":"' || c_mktsegment || '"}}}') AS row_sha256 FROM customer"""
+)
+def canonical_maps(spark, d):
+    """Rows with a map of structs as canonical JSON: keys and fields in order."""
+    fact = lambda n, s: F.struct(s.alias("s"), n.alias("n"))
+    facts = F.create_map(F.lit("z"), fact(F.lit(1), F.col("c_mktsegment")), F.lit("a"), fact(F.col("c_nationkey"), F.lit(None).cast("string")))
+    rows = table(spark, d, "customer").select(facts.alias("facts"), "c_custkey")
+    return rows.select("c_custkey", F.sha2(sinks.canonical_rows(rows), 256).alias("row_sha256"))
+
+
+@query("SELECT item_id, sha256(text || chr(10)) AS text_sha256, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_bytes FROM benchmark WHERE text IS NOT NULL")
+def whole_files(spark, d):
+    """Texts written as files of their own and read back whole, with their sizes and encoding checked."""
+    folder = shards.scratch_folder(spark, "texts")
+    table(spark, d, "benchmark").where("text IS NOT NULL").repartition("item_id").write.partitionBy("item_id").text(folder)
+    found = shards.whole_texts(spark, f"{folder}/*/*.txt")
+    item = as_long(F.regexp_extract("path", r"item_id=(-?\d+)", 1)).alias("item_id")
+    return found.select(item, F.sha2("text", 256).alias("text_sha256"), as_long(F.octet_length("text")).alias("n_bytes"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(sum(c_custkey) AS BIGINT) AS keys, count(c_acctbal) AS n_balances FROM customer")
+def strict_records(spark, d):
+    """Published fields written as JSON lines and read back by a reader that stops at the first bad line."""
+    rows = table(spark, d, "customer").withColumn("private", F.lit("x"))
+    kept = sinks.allowed(rows, ["c_custkey", "c_name"], ["c_acctbal", "c_never"])
+    folder = shards.scratch_folder(spark, "lines")
+    kept.write.json(folder)
+    read = strict_lines(spark, folder, "c_custkey long, c_name string, c_acctbal double", ["c_custkey", "c_name"], "c_custkey")
+    return read.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("c_custkey").alias("keys"), F.count("c_acctbal").alias("n_balances"))
+
+
+@query(f"WITH {_RECORDS_SQL} SELECT split, count(*) AS records, CAST(sum(b + 2) AS BIGINT) AS tokens FROM r WHERE doc_id % 2 = 1 GROUP BY split")
+def replaced_corpus(spark, d):
+    """A published corpus replaced by another one under the same name; a note beside it is replaced too."""
+    rows, folder = _packed(spark, d), shards.scratch_folder(spark, "replaced")
+    shards.publish(rows.where("record_id % 2 = 0"), folder)
+    shards.replace_corpus(spark, folder)
+    shards.publish(rows.where("record_id % 2 = 1"), folder)
+    for text in ('{"part":"even"}', '{"part":"odd"}'):
+        shards.write_json(spark, folder, "note.json", text)
+    demand_none(spark.read.json(f"{folder}/note.json").where("part <> 'odd'"), "an old note")
+    return shards.load(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("records"), as_long(F.sum("n_tokens")).alias("tokens"))

@@ -156,5 +156,5 @@ def canonical_payload(rows: DataFrame, request: str, schema: StructType | None =
     from millrace.functions.text import ascii_json
 
     names = schema.names if schema is not None else [c for c in rows.columns if c != request]
-    body = rows.select(F.col(request).alias("_request"), *names)
-    return body.select(F.col("_request").alias("request"), ascii_json(canonical_rows(rows.select(*names))).alias("payload"))
+    body = rows.select(F.col(request).alias("request"), canonical_rows(rows.select(*names)).alias("payload"))
+    return body.select("request", ascii_json(F.col("payload")).alias("payload"))  # a step of its own: no lambda may stand in its argument

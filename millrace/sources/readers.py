@@ -57,6 +57,23 @@ def parsed_problems(lines: DataFrame, context: int = 256) -> DataFrame:
     return read.select("question", "answer", "final", first_reason(rules).alias("reason"))
 
 
+def strict_lines(spark: SparkSession, path: str, schema: str, required: list[str], key: str | None = None) -> DataFrame:
+    """Rows of JSON lines; the first line that is no JSON, of other types or with a missing or unknown field stops the whole read.
+
+    Fields of schema that are not required may be null or absent. key, if given, names each row once.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    kinds = spark.createDataFrame([], schema).schema
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    unknown = F.size(F.array_except(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.array(*map(F.lit, kinds.names)))) > 0
+    demand_none(lines.where(F.json_object_keys("value").isNull() | unknown).select("value"), "lines with unknown fields, or no objects")
+    rows = lines.select(row.alias("r")).select("r.*")
+    demand_none(rows.where(F.exists(F.array(*[F.col(c).isNull() for c in required]), lambda x: x)), "lines without required fields")
+    if key:
+        demand_none(rows.groupBy(key).count().where("count > 1"), "repeated keys")
+    return rows
+
+
 def evaluation_set(spark: SparkSession, path: str, tasks: list[str]) -> DataFrame:
     """Evaluation rows; stops unless every row has its fields, a known task and a family of its own."""
     schema = "task string, prompt string, expected_answer string, expected_unit string, family_id string, source_id string"

@@ -18,12 +18,15 @@ def canonical_json(columns: list[str]) -> Column:
 
 
 def _sorted(value: Column, kind: T.DataType) -> Column:
-    """The value with the fields of all structs in the order of their names; NaN and infinity are errors."""
+    """The value with the fields of all structs, and the entries of all maps, in the order of their names; NaN and infinity are errors."""
     if isinstance(kind, T.StructType):
-        fields = [_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
-        return F.when(value.isNotNull(), F.struct(*fields))
+        fields = [x for f in sorted(kind.fields, key=lambda f: f.name) for x in (F.lit(f.name), _sorted(value[f.name], f.dataType))]
+        return F.when(value.isNotNull(), F.named_struct(*fields))
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.array_sort(F.map_entries(value)), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value")))
+        return F.when(value.isNotNull(), F.map_from_entries(entries))
     if isinstance(kind, T.DoubleType | T.FloatType):
         return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit("no finite number"))).otherwise(value)
     return value

@@ -15,7 +15,7 @@ from millrace.operators import corpora, generate, measures, schedule, selection
 from millrace.operators import tokens as K
 from millrace.sources import flat_shards, sinks
 from millrace.sources.cache import AnswerCache, canonical_payload
-from millrace.sources.readers import GateError
+from millrace.sources.readers import GateError, strict_lines
 
 
 @pytest.fixture
@@ -126,8 +126,8 @@ def test_probe_does_not_move_the_cache(spark, tmp_path):
 
 
 def test_canonical_payload(spark):
-    rows = spark.sql("SELECT 'k' AS request, 2 AS b, named_struct('z', 'é', 'a', CAST(NULL AS INT)) AS a")
-    assert tuple(canonical_payload(rows, "request").first()) == ("k", '{"a":{"a":null,"z":"\\u00e9"},"b":2}')
+    rows = spark.sql("SELECT 'k' AS request, 2 AS b, named_struct('z', 'é', 'a', CAST(NULL AS INT)) AS a, array(named_struct('y', 1, 'x', map('q', 2, 'p', 3))) AS c")
+    assert tuple(canonical_payload(rows, "request").first()) == ("k", '{"a":{"a":null,"z":"\\u00e9"},"b":2,"c":[{"x":{"p":3,"q":2},"y":1}]}')
 
 
 # Observed writes
@@ -302,3 +302,26 @@ def test_budget_walk_across_batches(spark):
         assert sorted(map(tuple, found.collect()), key=repr) == walked(rows, "s", 12, 55)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_exactly_so_many_of_each_group(spark, parts):
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)] + [(100, "other")], "k long, g string")
+    found = sorted(map(tuple, selection.exactly_per_group(rows, "s", "k", "g", {"a": 5, "b": 3}).collect()))
+    parts(7)
+    assert sorted(map(tuple, selection.exactly_per_group(rows, "s", "k", "g", {"a": 5, "b": 3}).collect())) == found
+    rank = lambda k: hashlib.sha256(f"s:{k}".encode()).hexdigest()
+    wanted = [(k, g) for g, n in (("a", 5), ("b", 3)) for k in sorted(sorted((k for k in range(40) if "ab"[k % 2] == g), key=rank)[:n])]
+    assert sorted(found, key=lambda r: r[2]) == [(*w, i) for i, w in enumerate(wanted)]
+    with pytest.raises(GateError, match="not enough"):
+        selection.exactly_per_group(rows, "s", "k", "g", {"a": 21})
+    with pytest.raises(GateError, match="chosen twice"):
+        selection.exactly_per_group(rows.unionByName(rows), "s", "k", "g", {"a": 40})
+
+
+@pytest.mark.parametrize("line, message", [('{"a": "x"}', "FAILFAST|Malformed|malformed|parse"), ("[1]", "no objects"), ("nonsense", "no objects"), ('{"a": 1, "z": 2}', "unknown fields"), ('{"b": "x"}', "required"), ('{"a": 2}', "repeated")])
+def test_strict_lines_stop_at_the_first_bad_one(spark, tmp_path, line, message):
+    (tmp_path / "good.json").write_text('{"a": 1, "b": "x"}\n\n{"a": 2}\n')
+    assert strict_lines(spark, f"{tmp_path}/good.json", "a long, b string", ["a"], "a").count() == 2
+    (tmp_path / "bad.json").write_text(line + "\n")
+    with pytest.raises(Exception, match=message):
+        strict_lines(spark, str(tmp_path), "a long, b string", ["a"], "a").collect()
