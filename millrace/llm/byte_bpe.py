@@ -396,7 +396,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", t
     the UTF-8 bytes of the text. Null counts as empty, an empty text has no tokens. Rows with the
     same id stay apart; other columns are not read; an empty table gives an empty frame. Texts of
     any length are cut into stretches of about a MB at ends of pieces. A single piece (a run of letters
-    without a break) is merged whole, which takes about 200 bytes for each of its bytes. The rank
+    without a break) is merged whole, which takes about 75 bytes for each of its bytes. The rank
     file is read on the driver (under a MB) and goes to the tasks with the function.
     """
     with open(ranks_path, "rb") as file:
