@@ -14,7 +14,7 @@ from millrace.plans.registry import as_long, query, table
 
 _BLOCK, _MOST = 160, 120
 _GENERATED_SQL = f"""g AS (SELECT item_id AS k, CASE WHEN item_id % 2 = 0 THEN 'think' ELSE 'direct' END AS mode, CAST(20 + item_id % 50 AS INTEGER) AS n_prompt, {_BODY_SQL.format("text")} AS b FROM benchmark),
-    h AS (SELECT k, mode, n_prompt, b[1:30] || CASE WHEN k % 3 = 0 THEN [262] ELSE [] END || b[31:60] || CASE WHEN k % 5 = 0 THEN [258] ELSE [] END || b[61:110] || CASE WHEN k % 7 <> 0 THEN [257] ELSE [] END || b[111:400] AS g FROM g)"""
+    h AS (SELECT k, mode, n_prompt, b[1:30] || CASE WHEN k % 3 = 0 THEN [262] ELSE [] END || b[31:60] || CASE WHEN k % 5 = 0 THEN [258] ELSE [] END || b[61:110] || CASE WHEN k % 7 <> 0 THEN [257] ELSE [] END || b[111:] AS g FROM g)"""
 
 
 def _generated(spark, d) -> DataFrame:
@@ -22,7 +22,7 @@ def _generated(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark").select(k.alias("k"), F.when(k % 2 == 0, "think").otherwise("direct").alias("mode"), (20 + k % 50).cast("int").alias("n_prompt"), K.byte_ids(F.col("text")).alias("b"))
     some = lambda rule, token: F.when(rule, F.array(F.lit(token))).otherwise(F.array().cast("array<int>"))
     k = F.col("k")
-    whole = F.concat(F.slice("b", 1, 30), some(k % 3 == 0, K.FINAL), F.slice("b", 31, 30), some(k % 5 == 0, K.USER), F.slice("b", 61, 50), some(k % 7 != 0, K.EOS), F.slice("b", 111, 290))
+    whole = F.concat(F.slice("b", 1, 30), some(k % 3 == 0, K.FINAL), F.slice("b", 31, 30), some(k % 5 == 0, K.USER), F.slice("b", 61, 50), some(k % 7 != 0, K.EOS), F.slice("b", 111, F.size("b")))
     return b.select("k", "mode", "n_prompt", whole.alias("generated"))
 
 
@@ -45,7 +45,7 @@ def rollout_split(spark, d):
 
 
 @query(
-    f"""WITH {_GENERATED_SQL}, t AS (SELECT k, k % 20 AS batch, g[1:10] AS p, g[11:20 + CAST(k % 30 AS INTEGER)] AS o FROM h), m AS (SELECT *, p || o AS w, len(p) + len(o) - 1 AS n FROM t),
+    f"""WITH {_GENERATED_SQL}, t AS (SELECT k, k % 20 AS batch, g[1:10] AS p, g[11:] AS o FROM h), m AS (SELECT *, p || o AS w, len(p) + len(o) - 1 AS n FROM t),
     x AS (SELECT *, max(n) OVER (PARTITION BY batch) - n AS behind FROM m)
     SELECT k, array_to_string(w[1:n] || list_transform(range(0, behind), lambda i: 263), ',') AS inputs, array_to_string(w[2:n + 1] || list_transform(range(0, behind), lambda i: 263), ',') AS targets,
     repeat('0', len(p) - 1) || repeat('1', len(o)) || repeat('0', behind) AS mask, round(-0.01 * len(o) * (len(o) + 1) / 2, 6) AS log_prob_sum FROM x"""
@@ -53,7 +53,7 @@ def rollout_split(spark, d):
 def trajectory_batches(spark, d):
     """Trajectories padded to the longest of their batch, with targets shifted by one and log probabilities in their places."""
     k = F.col("k")
-    rows = _generated(spark, d).select("k", (k % 20).alias("batch"), F.slice("generated", 1, 10).alias("prompt"), F.slice("generated", 11, (10 + k % 30).cast("int")).alias("generated"))
+    rows = _generated(spark, d).select("k", (k % 20).alias("batch"), F.slice("generated", 1, 10).alias("prompt"), F.slice("generated", 11, F.size("generated")).alias("generated"))
     rows = rows.withColumn("log_probs", F.transform("generated", lambda x, i: -0.01 * (i + 1)))
     text = lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
     total = F.aggregate("old_log_probs", F.lit(0.0), lambda s, x: s + x)
@@ -61,14 +61,14 @@ def trajectory_batches(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT l_returnflag, -CAST(l_discount AS DOUBLE) * 10 AS current, -CAST(l_tax AS DOUBLE) * 10 AS old, -0.3 AS reference, (l_linenumber - 3) / 2.0 AS advantage FROM lineitem WHERE l_linenumber <> 7),
+    """WITH t AS (SELECT l_returnflag, -CAST(l_discount AS DOUBLE) * 10 AS current, -CAST(l_tax AS DOUBLE) * 10 AS old, -0.3 AS reference, (l_linenumber - 3) / 2.0 AS advantage FROM lineitem),
     r AS (SELECT *, exp(current - old) AS r, exp(reference - current) - (reference - current) - 1 AS kl FROM t),
     s AS (SELECT *, least(r * advantage, least(greatest(r, 0.8), 1.2) * advantage) AS s FROM r)
     SELECT l_returnflag, count(*) AS generated_tokens, round(-avg(s - 0.04 * kl), 6) AS loss, round(avg(s), 6) AS surrogate, round(avg(r), 6) AS mean_ratio, round(avg(CAST(abs(r - 1) > 0.2 AS INTEGER)), 6) AS clip_fraction,
     round(avg(kl), 6) AS reference_kl, round(avg(old - current), 6) AS behavior_kl FROM s GROUP BY l_returnflag"""
 )
 def policy_loss(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <> 7").select(
+    rows = table(spark, d, "lineitem").select(
         "l_returnflag", (-F.col("l_discount").cast("double") * 10).alias("current"), (-F.col("l_tax").cast("double") * 10).alias("old"), F.lit(-0.3).alias("reference"), ((F.col("l_linenumber") - 3) / 2.0).alias("advantage")
     )
     return R.policy_loss(rows, ["l_returnflag"], 0.2, 0.04)
