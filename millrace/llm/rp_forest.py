@@ -36,8 +36,9 @@ LEAF, BLOCK = 512, 1024
 SAMPLE, DEPTH, ROUNDS = 4096, 6, 16
 #: Inner places of a subtree; the children of place p are 2p + 1 and 2p + 2.
 INNER = 2**DEPTH - 1
-#: Half the width of the spill zone, for unit vectors (a pair at the threshold is 0.37 apart; its
-#: projections differ by 0.05 in 64 dimensions).
+#: Half the width of the spill zone at THRESHOLD, for unit vectors (a pair at the threshold is 0.37 apart;
+#: its projections differ by 0.05 in 64 dimensions). At another threshold it is as many times as wide as
+#: pairs are farther apart, so that a split parts them as rarely.
 SPILL = 0.045
 #: A node is dense if a side would hold more than this share of it.
 DENSE = 0.9
@@ -61,7 +62,14 @@ def _names(root: int) -> np.ndarray:
     return np.append(np.int64(root), mix(np.arange(1, 2 * INNER + 1, dtype=np.uint64) * np.uint64(2654435761) ^ np.uint64(root & (1 << 64) - 1)).astype(np.int64))
 
 
-def _fit(root: int, x: np.ndarray, rows: float, leaf: int) -> np.ndarray:
+def spill_for(threshold: float) -> float:
+    """Half the width of the spill zone for pairs at a threshold."""
+    if not -1 < threshold <= 1:
+        raise ValueError("the threshold must lie between -1 and 1")
+    return SPILL * ((1 - threshold) / (1 - THRESHOLD)) ** 0.5
+
+
+def _fit(root: int, x: np.ndarray, rows: float, leaf: int, spill: float = SPILL) -> np.ndarray:
     """The cuts of the subtree at root, NaN where it ends: medians of the sample x, which stands for rows vectors."""
     at = x @ _directions(root, x.shape[1]).T
     cuts = np.full(INNER, np.nan, np.float32)
@@ -72,7 +80,7 @@ def _fit(root: int, x: np.ndarray, rows: float, leaf: int) -> np.ndarray:
             continue
         here = at[own, place]
         cut = np.float32(np.median(here))
-        left, right = here <= cut + SPILL, here >= cut - SPILL
+        left, right = here <= cut + spill, here >= cut - spill
         if max(left.mean(), right.mean()) > DENSE:
             continue
         cuts[place] = cut
@@ -80,7 +88,7 @@ def _fit(root: int, x: np.ndarray, rows: float, leaf: int) -> np.ndarray:
     return cuts
 
 
-def _route(root: int, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _route(root: int, x: np.ndarray, cuts: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
     """The rows of x and the numbers of their end nodes; a row within the spill zone has several."""
     at = x @ _directions(root, x.shape[1]).T
     cuts = np.append(cuts, np.full(INNER + 1, np.nan))
@@ -92,13 +100,13 @@ def _route(root: int, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.n
         ended.append((rows[ends], places[ends]))
         rows, places, cut = rows[~ends], places[~ends], cut[~ends]
         here = at[rows, places]
-        left, right = here <= cut + SPILL, here >= cut - SPILL
+        left, right = here <= cut + spill, here >= cut - spill
         rows, places = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * places[left] + 1, 2 * places[right] + 2])
     rows, places = (np.concatenate(z) for z in zip(*ended, strict=True))
     return rows, _names(root)[places]
 
 
-def _grow(rows: DataFrame, leaf: int) -> DataFrame:
+def _grow(rows: DataFrame, leaf: int, spill: float = SPILL) -> DataFrame:
     """From (key, vec, node) of the roots to (key, node, n, x, y) of the leaves: n members, x and y hashes of their set."""
     leaves = None
     kind = rows.schema["vec"].dataType.simpleString()
@@ -107,7 +115,7 @@ def _grow(rows: DataFrame, leaf: int) -> DataFrame:
     def fit(found: pd.DataFrame) -> pd.DataFrame:
         node = int(found["node"].iloc[0])
         x = np.stack(found["vec"].to_numpy()).astype(np.float64)
-        cuts = _fit(node, x / np.linalg.norm(x, axis=1, keepdims=True), float(found["n"].iloc[0]), leaf)
+        cuts = _fit(node, x / np.linalg.norm(x, axis=1, keepdims=True), float(found["n"].iloc[0]), leaf, spill)
         return pd.DataFrame({"node": [node], "cuts": [None if np.isnan(cuts[0]) else cuts]})
 
     @lean
@@ -118,7 +126,7 @@ def _grow(rows: DataFrame, leaf: int) -> DataFrame:
             takes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(node) else ():
                 cuts = batch.column(1)[int(own[0])].values.to_numpy()
-                inside, ends = _route(int(node[own[0]]), _unit(lists.take(pa.array(own))), cuts)
+                inside, ends = _route(int(node[own[0]]), _unit(lists.take(pa.array(own))), cuts, spill)
                 takes.append(own[inside])
                 names.append(ends)
             take = pa.array(np.concatenate(takes))
@@ -143,7 +151,7 @@ def _grow(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: leaf, one, two, block, key, size, leaves, vec; sorted by (leaf, one, two) within partitions."""
+    """rows: leaf, one, two, block, key, size, leaves, vec, kind; sorted by (leaf, one, two) within partitions."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +160,15 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             leaf, one, two = (held.column(i)[0].as_py() for i in range(3))
             block, key, size = (held.column(i).to_numpy() for i in range(3, 6))
+            kinds = held.column(8).dictionary_encode()
+            if len(kinds.dictionary) > 1 and len({len(v) for v in held.column(7)}) > 1:
+                raise ValueError("roots of vectors of different lengths share a number")  # once in 2**64 pairs of kinds
             x = _unit(held.column(7))
             linked = x @ x.T >= threshold
             np.fill_diagonal(linked, False)
+            if len(kinds.dictionary) > 1:  # another label whose root has the same number
+                code = kinds.indices.to_numpy()
+                linked &= code[:, None] == code[None, :]
             if one != two:  # inside the blocks others compare
                 linked &= block[:, None] != block[None, :]
             if linked.any():
@@ -172,7 +186,7 @@ def near_duplicates(
     reachable. Rows with a null id, a null label, or a vector that is null, empty, zero or holds null or
     non-finite components link with nothing: 0 links, their own component, kept. Rows that share an id
     are rows of their own, each with its own vector and label; kept says that the row's id is its
-    component's. Equal vectors are linked and never compared. Other columns, whatever their names, are
+    component's. Equal vectors (of one label, by 128 bits of hash) are linked and never compared. Other columns, whatever their names, are
     not read. An empty table gives an empty frame.
     """
     spark = table.sparkSession
@@ -182,7 +196,8 @@ def near_duplicates(
     fine = F.col(vec_id).isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False))
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine &= F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
-    kind = F.xxhash64(F.size(vec), F.col(label)) if label else F.xxhash64(F.size(vec))
+    # Length and label themselves, so that no two labels are taken for one.
+    kind = F.to_json(F.struct(F.size(vec).alias("n"), F.col(label).alias("label"))) if label else F.size(vec).cast("string")
     if label:
         fine &= F.col(label).isNotNull()
     plain = table.select(F.col(vec_id).cast("long").alias("id"), vec.alias("vec"), kind.alias("kind"), fine.alias("fine"))
@@ -192,14 +207,14 @@ def near_duplicates(
     # The number of a class is its own: two vectors of one id are two classes. Written once, so it stays.
     classes = write(found.withColumn("key", F.monotonically_increasing_id()), "classes").df
     roots = classes.select("key", "vec", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64("kind", t))).alias("node"))
-    members = write(_grow(roots, leaf).where("n > 1"), "leaves").df
+    members = write(_grow(roots, leaf, spill_for(threshold)).where("n > 1"), "leaves").df
     first = small(write(members.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node").distinct(), "first"))
     members = members.join(first, "node").select("key", "node", "n")
     lists = members.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("leaves"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.join(small(write(lists, "lists")), "key").join(classes.select("key", "size", "vec"), "key")
+    placed = members.join(small(write(lists, "lists")), "key").join(classes.select("key", "size", "vec", "kind"), "key")
     placed = placed.select("*", F.pmod(F.xxhash64("key", "node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select(F.col("node").alias("leaf"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "size", "leaves", "vec")
+    placed = placed.select(F.col("node").alias("leaf"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "size", "leaves", "vec", "kind")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     compared = write(_compare(placed.repartition(parts, "leaf", "one", "two").sortWithinPartitions("leaf", "one", "two"), threshold), "found").df
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, jaccard, line_dedup, mixing, polyhash
+from millrace.llm import exact_dedup, jaccard, line_dedup, mixing, polyhash, rp_forest
 
 SCHEMA = "doc_id long, text string, source string, `_mr_hash` string, `a.b` string, c0 int, `_mr_drop` string"
 ROWS = [(i, t, "s", "x", "dot", 7, "d") for i, t in enumerate(["same words here and there again", "same words here and there again", "other", None, ""])]
@@ -105,3 +105,17 @@ def test_runs_follow_threshold_and_recall(spark):
         # All buckets are split to the last level.
         found = {r.id: r.links for r in jaccard.link_classes(docs, threshold=threshold, split=1).collect()}
         assert found == links and sum(links.values()) >= 80
+
+
+def test_labels_whose_roots_share_a_number(spark, monkeypatch):
+    """Were all roots one node, labels would still be kept apart; and the spill follows the threshold."""
+    rows = [(i, [1.0, i * 1e-3], label) for i in range(6) for label in (1, 2)]
+    table = spark.createDataFrame([(2 * i + label, v, label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    whole = rp_forest.F.xxhash64
+    monkeypatch.setattr(rp_forest.F, "xxhash64", lambda *c: whole(F.lit("same"), *c[1:]) if isinstance(c[0], str) and c[0] == "kind" else whole(*c))
+    assert {r.n_links for r in rp_forest.near_duplicates(table).collect()} == {5}
+    monkeypatch.undo()
+    assert {r.n_links for r in rp_forest.near_duplicates(table).collect()} == {5}
+    assert rp_forest.spill_for(0.93) == rp_forest.SPILL and rp_forest.spill_for(0.72) == pytest.approx(2 * rp_forest.SPILL)
+    with pytest.raises(ValueError, match="threshold"):
+        rp_forest.spill_for(1.5)
