@@ -1,8 +1,8 @@
 """Packed corpora as flat files that a loader maps into memory: {split}.tokens.bin and {split}.loss.bin.
 
 A split's file is the stream of its records in record_id order: tokens as little-endian unsigned numbers of
-16 bits, and a byte 0 or 1 for each token that says whether it is a target. Records are dealt by
-ranges of (split, record_id). From the partitions' sums each partition knows where its stretch of a file
+16 bits, and a byte 0 or 1 for each token that says whether it is a target. Records are compressed on the way, for
+they take three bytes for each byte of text, and dealt by ranges of (split, record_id). From the partitions' sums each partition knows where its stretch of a file
 begins, and writes it there; a task that runs again writes the same bytes to the same place. What the
 tasks have to tell (a row for each stretch) becomes the manifest at the commit, and only then the
 folder appears. The place must be a mounted file system that driver and executors share; elsewhere
@@ -32,6 +32,8 @@ from millrace.operators.tokens import VOCABULARY
 from millrace.sources.readers import GateError, demand_none
 from millrace.sources.staging import settle
 
+#: How records are compressed between tasks.
+CODEC = "zstd"
 #: Tokens read at once when files are checked.
 READ_TOKENS = 1 << 19
 #: Partitions whose sums the driver holds at most (a row for each and split).
@@ -86,8 +88,20 @@ def wrong_value(tokens: np.ndarray, mask: np.ndarray, vocabulary: int) -> str |
     return "a mask that is not 0 or 1" if len(mask) and int(mask.max()) > 1 else None
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(split, record_id, n, body): tokens and mask of a record behind each other, compressed."""
+    for batch in batches:
+        n, bodies = [], []
+        for tokens, mask in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if len(tokens) != 2 * len(mask):
+                raise GateError("tokens and mask differ in length")
+            n.append(len(mask))
+            bodies.append(pa.compress(tokens + mask, CODEC, asbytes=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(bodies, pa.binary())], ["split", "record_id", "n", "body"])
+
+
 class FlatWriter(DataSourceArrowWriter):
-    """Rows (_part, split, record_id, tokens, mask) in the order of the stream."""
+    """Rows (_part, split, record_id, n, body) in the order of the stream."""
 
     def __init__(self, options: dict):
         self.staging, self.folder = options["staging"], options["folder"]
@@ -121,19 +135,18 @@ class FlatWriter(DataSourceArrowWriter):
         return Written(done)
 
     def _append(self, stretch: Stretch, files: list, rows: pa.RecordBatch) -> None:
-        tokens, mask = values(rows.column(3), "<u2"), values(rows.column(4), "u1")
-        if error := wrong_value(tokens, mask, self.vocabulary):
-            raise GateError(error)
-        for (file, sha), data in zip(files, (tokens, mask), strict=True):
-            file.write(data.data)
-            sha.update(data.data)
-        for t, m in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True):
-            if len(t) != 2 * len(m):
-                raise GateError("tokens and mask differ in length")
-            stretch.digest = stretch.digest.then(hashlib.sha256(t + m).hexdigest())
-        stretch.records += len(rows)
-        stretch.tokens += len(tokens)
-        stretch.targets += int(mask.sum())
+        for n, body in zip(rows.column(3).to_pylist(), rows.column(4), strict=True):
+            whole = pa.decompress(body.as_buffer(), 3 * n, CODEC, asbytes=True)
+            tokens, mask = np.frombuffer(whole, "<u2", n), np.frombuffer(whole, "u1", n, 2 * n)
+            if error := wrong_value(tokens, mask, self.vocabulary):
+                raise GateError(error)
+            for (file, sha), data in zip(files, (tokens, mask), strict=True):
+                file.write(data.data)
+                sha.update(data.data)
+            stretch.digest = stretch.digest.then(hashlib.sha256(whole).hexdigest())
+            stretch.records += 1
+            stretch.tokens += n
+            stretch.targets += int(mask.sum())
 
     @staticmethod
     def _close(done: list[Stretch], files: list) -> None:
@@ -188,9 +201,10 @@ def publish_flat(records: DataFrame, folder: str, splits: tuple[str, ...] = ("tr
     spark, target = records.sparkSession, mounted(folder)
     if os.path.exists(target):
         raise GateError(f"{folder} exists")
-    rows = records.select("split", "record_id", "tokens", "mask")
+    kind = records.schema["record_id"].dataType.simpleString()
+    rows = records.select("split", "record_id", "tokens", "mask").mapInArrow(_squeezed, f"split string, record_id {kind}, n long, body binary")
     ordered = settle(rows.repartitionByRange("split", "record_id").sortWithinPartitions("split", "record_id").select(F.spark_partition_id().alias("_part"), "*"))
-    sums = ordered.groupBy("split", "_part").agg(F.sum(F.length("mask")).alias("n"))
+    sums = ordered.groupBy("split", "_part").agg(F.sum("n").alias("n"))
     # A row for each partition and split, no more than the partitions Spark itself keeps track of.
     found = sums.orderBy("split", "_part").limit(MOST_PARTITIONS + 1).collect()
     if len(found) > MOST_PARTITIONS:
