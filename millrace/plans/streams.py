@@ -72,7 +72,7 @@ def flat_shards_read(spark, d):
     n AS (SELECT split, token, lead(token) OVER w AS target, lead(pos) OVER w > 0 AS eligible FROM t WINDOW w AS (PARTITION BY split ORDER BY doc_id, pos))
     SELECT split, token, target, count(*) AS n, count(*) FILTER (eligible) AS n_eligible FROM n WHERE target IS NOT NULL GROUP BY ALL"""
 )
-def next_tokens(spark, d):
+def stream_next_tokens(spark, d):
     """What follows on each token in the packed stream, borders of records included."""
     return stream.next_tokens(_packed(spark, d))
 
