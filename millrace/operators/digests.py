@@ -64,13 +64,15 @@ def stream_digests(rows: DataFrame, group: str, order: str, mark: Column) -> Dat
                 found[g] = found.get(g, Digest()).then(m)
         part = TaskContext.get().partitionId()
         columns = [list(found), [part] * len(found), *([d[i] for d in found.values()] for i in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch_type(kind), pa.int32(), *[pa.int64()] * 3], strict=True)], ["g", "part", "n", "a", "b"])
+        kinds = [batch_type(kind), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["g", "part", "n", "a", "b"])
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g, n, a, b, behind = (c.to_pylist() for c in batch.columns)
             moved = [Digest(0, x, y).shifted(z) for x, y, z in zip(a, b, behind, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in moved], pa.int64()), pa.array([m[1] for m in moved], pa.int64())], ["g", "n", "a", "b"])
+            residues = [pa.array([m[i] for m in moved], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *residues], ["g", "n", "a", "b"])
 
     parts = settle(sorted_.select("g", "m").mapInArrow(fold, f"g {kind}, part int, n long, a long, b long"))
     behind = F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("part").rowsBetween(1, W.unboundedFollowing)), F.lit(0))

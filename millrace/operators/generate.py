@@ -47,7 +47,8 @@ def example(route: Column, counter: Column, seed: str) -> Column:
     a = F.when(quotient, (draw(1, 99) + 1) * b).otherwise(draw(1, 1000))
     number = lambda x: F.when(whole, x.cast("decimal(12,2)")).otherwise((x.cast("decimal(12,2)") / 100).cast("decimal(12,2)"))
     nested = route == "nested"
-    return F.struct(number(a).alias("a"), operator.alias("operator"), number(b).alias("b"), F.when(nested, sign(3, 3)).alias("outer_operator"), F.when(nested, draw(4, 100).cast("decimal(12,2)")).alias("c"))
+    outer, c = F.when(nested, sign(3, 3)), F.when(nested, draw(4, 100).cast("decimal(12,2)"))
+    return F.struct(number(a).alias("a"), operator.alias("operator"), number(b).alias("b"), outer.alias("outer_operator"), c.alias("c"))
 
 
 def _told(e: str) -> list[Column]:
@@ -84,7 +85,8 @@ def problems(quotas: DataFrame, frozen: DataFrame, seed: str) -> DataFrame:
         made = made.withColumn("family_id", family(F.col("expression"))).join(known, "family_id", "left_anti")
         pool = made if pool is None else pool.unionByName(made)
         # Of a family's candidates the first stays.
-        pool = settle(pool.groupBy("family_id").agg(F.min_by(F.struct("route", "counter", "expression", "answer", "worked"), F.struct("route", "counter")).alias("r")).select("r.*", "family_id"))
+        first = F.min_by(F.struct("route", "counter", "expression", "answer", "worked"), F.struct("route", "counter"))
+        pool = settle(pool.groupBy("family_id").agg(first.alias("r")).select("r.*", "family_id"))
         counts = pool.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
         if quotas.join(counts, "route", "left").where("quota > coalesce(n, 0)").isEmpty():
             return _first(pool, quotas)

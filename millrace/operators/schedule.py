@@ -52,11 +52,13 @@ def schedule_errors(schedule: DataFrame, updates: int, tasks: tuple[str, ...] =
     """
     size = len(tasks) * len(modes)
     total = schedule.agg(F.count(F.lit(1)).alias("n")).select(F.lit("size").alias("reason"), F.abs(F.col("n") - updates * size).alias("n"))
-    repeated = [
-        schedule.groupBy(c).count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit(reason).alias("reason"), "n") for c, reason in (("schedule_id", "repeated_id"), ("family_id", "repeated_family"))
-    ]
-    of = lambda c, values, n: F.lit(False) if not values else ~F.forall(F.array(*[F.count_if(F.col(c) == v) for v in values]), lambda x: x == n)
-    each = schedule.groupBy("update").agg((F.count(F.lit(1)) != size).alias("update_size"), of("mode", modes, len(tasks)).alias("mode_balance"), of("task", tasks, len(modes)).alias("task_balance"))
+    twice = lambda c: schedule.groupBy(c).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
+    names = {"schedule_id": "repeated_id", "family_id": "repeated_family"}
+    repeated = [twice(c).select(F.lit(reason).alias("reason"), "n") for c, reason in names.items()]
+    of = lambda c, values, n: ~F.forall(F.array(*[F.count_if(F.col(c) == v) for v in values]), lambda x: x == n)
+    each = schedule.groupBy("update").agg(
+        (F.count(F.lit(1)) != size).alias("update_size"), of("mode", modes, len(tasks)).alias("mode_balance"), of("task", tasks, len(modes)).alias("task_balance")
+    )
     inside = F.col("update").between(1, updates)
     wrong = each.agg(
         (F.count_if(F.col("update_size") | ~F.coalesce(inside, F.lit(False))) + F.lit(updates) - F.count_if(inside)).alias("update_size"),

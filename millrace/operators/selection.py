@@ -64,7 +64,8 @@ def within_budget(rows: DataFrame, seed: str, group: str, key: str, size: str, c
     carried from batch to batch, so nothing is held. Larger groups go by prefix sums, see in_rounds.
     Returns (group, key, size).
     """
-    walk = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"), F.col(content).alias("c"), seeded(seed, F.col(key)).alias("h"))
+    names = {"g": F.col(group), "k": F.col(key), "s": F.col(size).cast("long"), "c": F.col(content), "h": seeded(seed, F.col(key))}
+    walk = rows.select(*[c.alias(name) for name, c in names.items()])
     walk = settle(walk.groupBy("g", "c").agg(F.min_by(F.struct("h", "k", "s"), F.struct("h", "k")).alias("r")).select("g", "r.*"))
     large = settle(walk.groupBy("g").count().where(F.col("count") > hot).select(F.col("g").alias("_g")))
     several = not large.isEmpty()
@@ -107,7 +108,8 @@ def in_rounds(walk: DataFrame, most: int, budget: int) -> DataFrame:
     order, and then leaves out what can never fit again; so rounds are as few as the times that the walk
     is stopped by a large row, and no task holds a group.
     """
-    left = settle(walk.select("g", "k", "s", "h", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")).where((F.col("s") <= budget) & (F.lit(most) > 0)))
+    open_ = walk.where((F.col("s") <= budget) & (F.lit(most) > 0))
+    left = settle(open_.select("g", "k", "s", "h", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")))
     chosen = left.select("g", "k", "s").limit(0)
     while not left.isEmpty():
         placed = running_offset(left, "h", F.col("s"), ["g"]).withColumnRenamed("offset", "before")
