@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A text is normalised as the model says (here: spaces become the mark, one is put in front), cut
-where no piece can reach across, and each segment is merged by a score-ordered agenda: all adjacent
+between any two characters that no piece holds side by side, and each segment is merged by a score-ordered agenda: all adjacent
 symbol pairs that form a piece wait in a heap, the best score goes first and the leftmost of equals;
 a merge adds the pairs with both neighbours. Symbols that are no piece fall back to bytes.
 
-Segments repeat, so each worker keeps the ids of those it has seen, in flat arrays of bounded size. Texts
-are cut and segments numbered by Arrow, and the ids of a stretch of texts are gathered at once. The
-new short segments of a batch are merged together: their agendas are the rows of one array, of which
-every round takes each row's best pair. Long segments have a heap each. Each Arrow batch is checked
+Segments repeat, so each worker keeps the ids of those it has seen, in flat arrays of bounded size; when
+they are full, the segments seen again stay. Texts are cut on their code points, segments are numbered by
+Arrow, and the ids of a stretch of texts are gathered at once. The
+new short segments of a batch are merged together: their agendas are the columns of one array, of which
+every round takes each column's best pair. Long segments have a heap each. Each Arrow batch is checked
 against the sentencepiece library: where a text's ids differ, the library's ids are returned and
 agenda_agrees is false.
 """
@@ -18,7 +19,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -26,7 +26,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +40,12 @@ CACHE_SEGMENTS = 250_000
 SHORT = 24
 #: Segments merged in one array, which then stays in the processor's cache.
 LEARN_ROWS = 4_000
-#: Before these a text is cut after a letter, if no piece has the two together.
-STOPS = ".,;:!?"
-LETTER = "[A-Za-zÀ-ɏ]"
+#: Bits of a place in a segment of SHORT characters.
+PLACE_BITS = 5
+#: Classes of characters; those beyond share the last one, and are cut less.
+CLASSES = 2048
+#: Code points looked up at once.
+STRETCH = 1 << 20
 #: Ids of symbols that are no piece: this and the code point.
 LONE = 1 << 21
 #: The score rank of a pair that forms no piece.
@@ -68,23 +70,32 @@ class Agenda:
         self.bytes = {int(processor.id_to_piece(i)[1:-1], 16): i for i in range(n) if processor.is_byte(i)}
         self.unknown = processor.unk_id()
         merged = [p for p in self.ids if len(p) > 1]
-        inner = set("".join(merged))
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in merged):
-            raise ValueError("pieces reach across spaces: texts of this vocabulary cannot be cut at the mark")
-        # Two characters that stand together in no piece are never merged into one, so the text may be
-        # cut between them: before marks, around a new line and, after a letter, before these stops.
-        self.lines = "\n" not in inner
-        self.stops = "".join(c for c in STOPS if not any(re.search(LETTER + re.escape(c), p) for p in merged))
+        self._neighbours(merged)
 
         # The symbol of each code point.
         self.single = np.arange(LONE, LONE + 0x110000, dtype=np.int32)
         for piece in self.ids:
             if len(piece) == 1:
                 self.single[ord(piece)] = self.ids[piece]
+        self.single[ord(" ")] = self.single[ord(MARK)]
         self._pairs(merged)
 
+    def _neighbours(self, merged: list[str]) -> None:
+        """Which characters stand side by side in a piece. Others are never merged into one, so texts may be cut between them.
+
+        Characters of no longer piece have class 0.
+        """
+        self.classes = np.zeros(0x110000, np.uint16)
+        for i, char in enumerate(sorted(set("".join(merged)))):
+            self.classes[ord(char)] = min(i + 1, CLASSES - 1)
+        self.classes[ord(" ")] = self.classes[ord(MARK)]
+        self.joined = np.zeros(CLASSES * CLASSES, bool)
+        beside = {piece[i : i + 2] for piece in merged for i in range(len(piece) - 1)}
+        for left, right in beside:
+            self.joined[int(self.classes[ord(left)]) * CLASSES + int(self.classes[ord(right)])] = True
+
     def _pairs(self, merged: list[str]) -> None:
-        """All pairs of symbols that form a piece: their keys in order, ranks and ids."""
+        """All pairs of symbols that form a piece: their keys, ranks and ids, in a hash table with open places."""
         found = []
         for piece in merged:
             for i in range(1, len(piece)):
@@ -95,33 +106,67 @@ class Agenda:
         # Equal scores must stay equal, so that the leftmost pair wins.
         scores = sorted({x[1] for x in found})
         place = {x: i for i, x in enumerate(scores)}
-        self.pair_keys = np.array([x[0] for x in found] or [-1], np.int64)
-        self.pair_ranks = np.array([place[x[1]] for x in found] or [NEVER], np.int32)
-        self.pair_ids = np.array([x[2] for x in found] or [0], np.int32)
+        bits = max(8, (4 * len(found)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.pair_keys = np.full(1 << bits, -1, np.int64)
+        self.pair_ranks = np.full(1 << bits, NEVER, np.int32)
+        self.pair_ids = np.zeros(1 << bits, np.int32)
+        keys = np.array([x[0] for x in found], np.int64)
+        for at, (key, score, piece) in zip(self._slot(keys).tolist(), found, strict=True):
+            while self.pair_keys[at] >= 0:
+                at = (at + 1) & (len(self.pair_keys) - 1)
+            self.pair_keys[at], self.pair_ranks[at], self.pair_ids[at] = key, place[score], piece
 
     def _symbol(self, symbol: str) -> int:
         return self.ids[symbol] if symbol in self.ids else LONE + ord(symbol)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of the piece that two symbols form."""
-        key = left.astype(np.int64) << 22 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], np.int32(NEVER)), self.pair_ids[at]
+        """Rank and id of the piece that two symbols form; a symbol of -1 forms none."""
+        key = (left.astype(np.int64) << 22) | right
+        key[(left | right) < 0] = -1  # as open places, which are NEVER
+        at = self._slot(key)
+        found = self.pair_keys[at]
+        further = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
+        while len(further):
+            at[further] = (at[further] + 1) & (len(self.pair_keys) - 1)
+            found = self.pair_keys[at[further]]
+            further = further[(found != key[further]) & (found >= 0)]
+        ranks = self.pair_ranks[at]
+        ranks[self.pair_keys[at] != key] = NEVER
+        return ranks, self.pair_ids[at]
 
     def clear(self) -> None:
         """Forget all segments. The empty one has no ids."""
         self.rows = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)
+
+    def trim(self) -> None:
+        """Forget the segments that came in one call only; all of them, if that leaves over half of the table."""
+        stay = self.again[: len(self.rows)]
+        stay[0] = True  # the empty one
+        which = np.flatnonzero(stay)
+        sizes = self.sizes[which].astype(np.int64)
+        segments = np.array(list(self.rows), object)[which].tolist()
+        starts, flat = self.starts[which], self.flat
+        self.clear()
+        if 2 * len(which) <= self.cache and sizes.sum() <= 8 * self.cache:
+            ends = np.cumsum(sizes)
+            self._store(segments[1:], sizes[1:], flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])])
 
     def _store(self, segments: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Append segments and their ids, one after the other."""
         first, last = len(self.rows), len(self.rows) + len(segments)
         if last > len(self.starts):
-            self.starts, self.sizes = (np.resize(x, 2 * last) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.again = (np.resize(x, 2 * last) for x in (self.starts, self.sizes, self.again))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.sizes[first:last] = sizes
+        self.again[first:last] = False
         self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
@@ -129,43 +174,55 @@ class Agenda:
 
     def learn(self, segments: list[str]) -> None:
         """Put new short segments of one length range into the table, all merged together."""
-        width = max(map(len, segments))
-        symbols = np.full((len(segments), width + 1), -1, np.int32)
+        n = len(segments)
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-        lengths = np.array([len(x) for x in segments])
-        columns = np.arange(width + 1)
-        symbols[columns < lengths[:, None]] = self.single[codes]
-        ranks, ids = self._look(symbols[:, :-1], symbols[:, 1:])
-        rows, cols = np.arange(len(segments)), columns[:-1]
-        done_rows, done_symbols = [], []
-        while len(rows):
-            at = ranks.argmin(axis=1)  # the leftmost of equal ranks
-            n = np.arange(len(rows))
-            active = ranks[n, at] != NEVER
-            if not active.all():
-                done_rows.append(rows[~active])
-                done_symbols.append(symbols[~active])
-                rows, symbols, ranks, ids, at = rows[active], symbols[active], ranks[active], ids[active], at[active]
-                n = np.arange(len(rows))
-                if not len(rows):
-                    break
-            symbols[n, at] = ids[n, at]
-            # What stands right of the merged pair moves one place to the left.
-            right = cols > at[:, None]
-            np.copyto(symbols[:, :-1], symbols[:, 1:], where=right)
-            np.copyto(ranks[:, :-1], ranks[:, 1:], where=right[:, :-1])
-            np.copyto(ids[:, :-1], ids[:, 1:], where=right[:, :-1])
-            symbols[:, -1], ranks[:, -1] = -1, NEVER
-            for side in (at - 1, at):
-                ok = side >= 0
-                r, i = self._look(symbols[n[ok], side[ok]], symbols[n[ok], side[ok] + 1])
-                ranks[n[ok], side[ok]], ids[n[ok], side[ok]] = r, i
-        for which, left in zip(done_rows, done_symbols, strict=True):
-            there, odd = left >= 0, (left >= LONE).any(axis=1)
-            plain = ~odd
-            self._store([segments[i] for i in which[plain].tolist()], there[plain].sum(axis=1), left[plain][there[plain]])
-            for row, ends, n in zip(which[odd].tolist(), left[odd].tolist(), there[odd].sum(axis=1).tolist(), strict=True):
-                self._store_one(segments[row], [i for x in ends[:n] for i in ([x] if x < LONE else self._fallback(chr(x - LONE)))])
+        lengths = np.fromiter(map(len, segments), np.int64, n)
+        width, ends = int(lengths.max()), np.cumsum(lengths)
+        column = np.repeat(np.arange(n), lengths)
+        line = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
+        # A symbol in line i of its column; the line after the last one stands for what is beyond both ends.
+        place = line * n + column
+        chars = self.single[codes]
+        symbols = np.full((width + 1) * n, -1, np.int32)
+        symbols[place] = chars
+        following = np.append(chars[1:], np.int32(-1))
+        following[ends - 1] = -1
+        # The agenda: rank and line of the pair that begins here, the id of its piece, and its neighbours' lines.
+        agenda, pieces = np.full((width + 1) * n, NEVER, np.int32), np.zeros((width + 1) * n, np.int32)
+        ranks, pieces[place] = self._look(chars, following)
+        agenda[place] = self._due(ranks, line)
+        lines = np.arange(width + 1)
+        after, before = np.repeat(lines + 1, n), np.repeat(lines - 1, n)
+        after[place[ends - 1]] = width
+        before[:n] = width
+        table = agenda.reshape(width + 1, n)
+        while True:
+            best = table.min(axis=0)  # the leftmost of equal ranks
+            active = np.flatnonzero(best != NEVER)
+            if not len(active):
+                break
+            at = best[active] & ((1 << PLACE_BITS) - 1)
+            here = at * n + active
+            right = after[here] * n + active
+            beyond = after[right]
+            next_, last = beyond * n + active, before[here]
+            previous = last * n + active
+            symbols[here], symbols[right], agenda[right] = pieces[here], -1, NEVER
+            after[here], before[next_] = beyond, at
+            sides = np.concatenate([previous, here])
+            ranks, pieces[sides] = self._look(symbols[sides], symbols[np.concatenate([here, next_])])
+            agenda[sides] = self._due(ranks, np.concatenate([last, at]))
+        left = symbols.reshape(width + 1, n).T
+        there, odd = left >= 0, (left >= LONE).any(axis=1)
+        plain = ~odd
+        self._store([segments[i] for i in np.flatnonzero(plain).tolist()], there[plain].sum(axis=1), left[plain][there[plain]])
+        for i in np.flatnonzero(odd).tolist():
+            self._store_one(segments[i], [x for s in left[i][there[i]].tolist() for x in ([s] if s < LONE else self._fallback(chr(s - LONE)))])
+
+    @staticmethod
+    def _due(ranks: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Ranks with their lines, so that the least is the leftmost of the best."""
+        return np.where(ranks == NEVER, NEVER, (ranks << PLACE_BITS) | lines)
 
     def _store_one(self, segment: str, ids: list[int]) -> None:
         self._store([segment], np.array([len(ids)]), np.array(ids, np.int32))
@@ -201,52 +258,66 @@ class Agenda:
     def learn_long(self, segment: str) -> None:
         """Put one long segment into the table, merged by a heap of its own."""
         ids: list[int] = []
-        for symbol in self.merge(segment):
+        for symbol in self.merge(segment.replace(" ", MARK)):
             ids += [self.ids[symbol]] if symbol in self.ids else self._fallback(symbol)
         self._store_one(segment, ids)
 
-    def cut(self, texts: pa.Array) -> pa.ListArray:
-        """The segments of each text, with marks for spaces and one in front; some may be empty."""
-        free = next((c for c in map(chr, range(9)) if not pc.any(pc.match_substring(texts, c)).as_py()), None)
-        marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
-        if free is None:  # every sign is in use: texts are segments as they are
-            return pa.LargeListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int64()), pc.replace_substring(marked, " ", MARK))
-        marked = pc.replace_substring(pc.replace_substring_regex(marked, f"([ {MARK}]+)", f"{free}\\1"), " ", MARK)
-        if self.lines:
-            marked = pc.replace_substring(marked, "\n", f"{free}\n{free}")
-        if self.stops:
-            marked = pc.replace_substring_regex(marked, f"({LETTER})([{re.escape(self.stops)}])", f"\\1{free}\\2")
-        return pc.split_pattern(marked, free)
+    def cut(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where the segments begin in code points, of which texts begin at firsts."""
+        begins = np.ones(len(codes), bool)
+        for low in range(0, len(codes) - 1, STRETCH):
+            kinds = self.classes[codes[low : low + STRETCH + 1]].astype(np.int32)
+            np.logical_not(self.joined[kinds[:-1] * CLASSES + kinds[1:]], out=begins[low + 1 : low + len(kinds)])
+        begins[firsts[firsts < len(codes)]] = True
+        return np.flatnonzero(begins)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
-        lists = self.cut(pa.array(texts, pa.large_string()))
-        offsets = lists.offsets.to_numpy()
-        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        spaced = [" " + x if x else "" for x in texts]
+        whole = "".join(spaced)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        firsts = np.cumsum([0, *map(len, spaced)])
+        begins = self.cut(codes, firsts)
+        coded = _strings(whole, codes, begins).dictionary_encode()
         segments = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(self.rows.get, segments, repeat(-1)), np.int64, len(segments))
-        if len(self.rows) + (known < 0).sum() > self.cache or self.used > 16 * self.cache:
-            self.clear()
-            known = np.fromiter(map(self.rows.get, segments, repeat(-1)), np.int64, len(segments))
+        for forget in (self.trim, self.clear):
+            if len(self.rows) + (known < 0).sum() > self.cache or self.used > 16 * self.cache:
+                forget()
+                known = np.fromiter(map(self.rows.get, segments, repeat(-1)), np.int64, len(segments))
+        self.again[known[known >= 0]] = True
         open_ = np.flatnonzero(known < 0)
         new = [segments[i] for i in open_.tolist()]
-        for low, high in ((0, 8), (8, 12), (12, 16), (16, SHORT)):
-            some = [x for x in new if low < len(x) <= high]
-            for start in range(0, len(some), LEARN_ROWS):
-                self.learn(some[start : start + LEARN_ROWS])
-        for segment in new:
-            if len(segment) > SHORT:
-                self.learn_long(segment)
+        long = [x for x in new if len(x) > SHORT]
+        # Those of about one length are merged together.
+        short = sorted((x for x in new if len(x) <= SHORT), key=len)
+        for start in range(0, len(short), LEARN_ROWS):
+            self.learn(short[start : start + LEARN_ROWS])
+        for segment in long:
+            self.learn_long(segment)
         known[open_] = np.fromiter(map(self.rows.__getitem__, new), np.int64, len(new))
         row = known[coded.indices.to_numpy()]
         size = self.sizes[row].astype(np.int64)
         ends = np.cumsum(size)
         at = np.repeat(self.starts[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         ids = self.flat[at].tolist()
-        cuts = np.append(0, ends)[offsets - offsets[0]].tolist()
+        cuts = np.append(0, ends)[np.searchsorted(begins, firsts)].tolist()
         return [ids[first:last] for first, last in zip(cuts, cuts[1:])]
 
 
+def _strings(whole: str, codes: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The segments of a text, which share its bytes; codes are its code points."""
+    data = whole.encode()
+    if len(data) == len(codes):
+        places = np.append(begins, len(codes))
+    else:
+        widths = np.ones(len(codes), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            widths += codes >= least
+        places = np.append(0, np.cumsum(np.add.reduceat(widths, begins, dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data))
+
+
 @lru_cache(maxsize=2)
 def _loaded(model: bytes):
     import sentencepiece
